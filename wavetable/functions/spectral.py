@@ -26,19 +26,21 @@ SAVGOL_POLYORDER = 2
 SAVGOL_DERIV = 1
 
 
-def _spectral_function(kernel):
+def _spectral_function(kernel, name="spectral"):
     def apply(spectra: pa.Array) -> pa.Array:
         with np.errstate(divide="ignore", invalid="ignore"):
             return to_lists(kernel(to_block(spectra)))
 
+    apply.__name__ = name
     return F.arrow_udf(apply, SPECTRUM)
 
 
-def _scoring_function(kernel, returns=None):
+def _scoring_function(kernel, returns=None, name="score"):
     def apply(spectra: pa.Array) -> pa.Array:
         with np.errstate(divide="ignore", invalid="ignore"):
             return to_scalars(kernel(to_block(spectra)))
 
+    apply.__name__ = name
     return F.arrow_udf(apply, returns or T.DoubleType())
 
 
@@ -52,7 +54,7 @@ def snv(spectrum: Column | str) -> Column:
         spread[spread <= 1e-14 * size] = np.nan
         return centred / spread
 
-    return _spectral_function(kernel)(spectrum)
+    return _spectral_function(kernel, "snv")(spectrum)
 
 
 def check_savgol(window: int, polyorder: int, deriv: int) -> None:
@@ -95,7 +97,7 @@ def savgol(
         tail = x[:, -window:] @ weights[half + 1 :].T
         return np.concatenate([head, inner, tail], axis=1)
 
-    return _spectral_function(kernel)(spectrum)
+    return _spectral_function(kernel, "savgol")(spectrum)
 
 
 def msc(spectrum: Column | str, reference) -> Column:
@@ -109,34 +111,34 @@ def msc(spectrum: Column | str, reference) -> Column:
         slope[slope == 0] = np.nan
         return (x - x.mean(axis=1, keepdims=True)) / slope + reference.mean()
 
-    return _spectral_function(kernel)(spectrum)
+    return _spectral_function(kernel, "msc")(spectrum)
 
 
 def standardize(spectrum: Column | str, mean, scale) -> Column:
     """Channel-wise ``(x - mean) / scale``; a zero scale counts as one."""
     mean = np.asarray(mean, dtype=np.float64)
     scale = unit_where_zero(scale)
-    return _spectral_function(lambda x: (x - mean) / scale)(spectrum)
+    return _spectral_function(lambda x: (x - mean) / scale, "standardize")(spectrum)
 
 
 def project(spectrum: Column | str, mean, scale, loadings) -> Column:
     """Scores of the standardised spectrum on the columns of ``loadings``."""
     mean = np.asarray(mean, dtype=np.float64)
     weights = np.asarray(loadings, dtype=np.float64) / unit_where_zero(scale)[:, None]
-    return _spectral_function(lambda x: (x - mean) @ weights)(spectrum)
+    return _spectral_function(lambda x: (x - mean) @ weights, "project")(spectrum)
 
 
 def hotelling_t2(spectrum: Column | str, mean, scale, loadings, eigenvalues) -> Column:
     """Sum of squared scores, each divided by the variance of its component."""
     mean = np.asarray(mean, dtype=np.float64)
     weights = np.asarray(loadings) / unit_where_zero(scale)[:, None] / np.sqrt(eigenvalues)
-    return _scoring_function(lambda x: (((x - mean) @ weights) ** 2).sum(axis=1))(spectrum)
+    return _scoring_function(lambda x: (((x - mean) @ weights) ** 2).sum(axis=1), name="hotelling_t2")(spectrum)
 
 
 def linear_score(spectrum: Column | str, coefficients, intercept: float) -> Column:
     """``spectrum . coefficients + intercept``."""
     coefficients = np.asarray(coefficients, dtype=np.float64)
-    return _scoring_function(lambda x: x @ coefficients + intercept)(spectrum)
+    return _scoring_function(lambda x: x @ coefficients + intercept, name="linear_score")(spectrum)
 
 
 def count_extreme_channels(spectrum: Column | str, mean, std, threshold: float) -> Column:

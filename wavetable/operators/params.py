@@ -35,6 +35,10 @@ def ints(name, doc=""):
     return declare(name, doc, TypeConverters.toListInt)
 
 
+def texts(name, doc=""):
+    return declare(name, doc, TypeConverters.toListString)
+
+
 class Settings(Params, DefaultParamsReadable, DefaultParamsWritable):
     """Keyword parameters with defaults; ``self.value("x")`` reads one, None when it is unset."""
 
