@@ -169,6 +169,11 @@ def random_features(spectrum: Column | str, directions, phases) -> Column:
     return _spectral_function(lambda x: size * np.cos(x @ directions + phases))(spectrum)
 
 
+def whole(spectrum: Column | str) -> Column:
+    """The spectrum itself, or NULL when a channel is missing."""
+    return _spectral_function(lambda x: x, "whole")(spectrum)
+
+
 def take_channels(spectrum: Column | str, channels) -> Column:
     """Channels at the given positions, in the given order (stays in the JVM)."""
     spectrum = F.col(spectrum) if isinstance(spectrum, str) else spectrum

@@ -18,6 +18,16 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def filter_late(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on a condition that is computed from whole spectra.
+
+    Spark rewrites the condition of a filter for every alias of every column in it. A spectrum packed
+    from hundreds of renamed columns makes that exponential, so a non-deterministic term (never true)
+    keeps the condition out of the rewriting. There is nothing to push down in such a condition.
+    """
+    return df.filter(condition | (F.spark_partition_id() < 0))
+
+
 def split_columns(names) -> tuple[list[str], list[str]]:
     """(channel names, other names), each in the given order."""
     names = list(names.columns if isinstance(names, DataFrame) else names)

@@ -6,12 +6,11 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml import Estimator, Model
+from pyspark.sql import functions as F
 
 from wavetable.functions.spectral import linear_score, unit_where_zero
-from wavetable.operators.columns import channel_names
-from wavetable.operators.moments import Moments, dense_fits, first_moments, moments, scatter_times
+from wavetable.operators.moments import Moments, dense_fits, first_moments, moments, provisional_shift, scatter_times
 from wavetable.operators.params import Settings, a_flag, a_float, an_int, floats
-from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -105,11 +104,9 @@ def fit_latent_wide(df, n_components: int, scale: bool, spectrum: str, label: st
 
 
 def fit_table(df, n_components: int, scale: bool, spectrum: str, label: str) -> Latent:
-    first = df.select(F.size(spectrum).alias("p")).filter("p > 0").first()
-    if first is None:
-        raise ValueError("no spectrum to fit")
-    if dense_fits(first["p"]):
-        return fit_latent(moments(df, spectrum, label), n_components, scale)
+    shift = provisional_shift(df, spectrum, label)
+    if dense_fits(len(shift) - 1):
+        return fit_latent(moments(df, spectrum, label, shift), n_components, scale)
     return fit_latent_wide(df, n_components, scale, spectrum, label)
 
 
@@ -122,10 +119,10 @@ class PLSRegressor(Estimator, Settings):
 
     def _fit(self, df):
         fit = fit_table(df, self.value("nComponents"), self.value("scale"), self.spectrum, self.label)
-        return self._copyValues(latent_model(fit, channels=channel_names(df, self.spectrum)))
+        return self._copyValues(latent_model(fit))
 
 
-def latent_model(fit: Latent, components: int | None = None, channels=None) -> "LinearSpectralModel":
+def latent_model(fit: Latent, components: int | None = None) -> "LinearSpectralModel":
     coefficients = fit.coefficients(components)
     return LinearSpectralModel(coefficients=coefficients, intercept=fit.intercept(coefficients))
 

@@ -118,13 +118,21 @@ class FoldMoments:
 
 def provisional_shift(df: DataFrame, spectrum: str = "spectrum", label: str | None = "label") -> np.ndarray:
     """One observed row; any point near the data keeps the sums well conditioned."""
-    columns = [F.col(spectrum).cast("array<double>").alias("x")]
-    columns.append(F.col(label).cast("double").alias("y") if label else F.lit(0.0).alias("y"))
-    complete = F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v))
-    row = df.select(*columns).filter(complete & F.col("y").isNotNull()).first()
+
+    def first_complete(batches):
+        for batch in batches:
+            x = to_block(batch.column("x"))
+            y = np.asarray(batch.column("y").to_numpy(zero_copy_only=False), dtype=np.float64)
+            good = np.flatnonzero(np.isfinite(x).all(axis=1) & np.isfinite(y)) if x.shape[1] else []
+            if len(good):
+                row = np.append(x[good[0]], y[good[0]])
+                yield pa.RecordBatch.from_pydict({"vals": pa.array([row], pa.list_(pa.float64()))})
+                return
+
+    row = _inputs(df, spectrum, label, None).mapInArrow(first_complete, "vals array<double>").first()
     if row is None:
         raise ValueError("no row has a complete spectrum and a label")
-    return np.array([*row["x"], row["y"]], dtype=np.float64)
+    return np.array(row["vals"], dtype=np.float64)
 
 
 def _inputs(df, spectrum, label, fold):
@@ -132,17 +140,17 @@ def _inputs(df, spectrum, label, fold):
         F.col(spectrum).cast("array<double>").alias("x"),
         (F.col(label).cast("double") if label else F.lit(0.0)).alias("y"),
         (F.col(fold).cast("int") if fold else F.lit(0)).alias("fold"),
-    ).filter("x is not null and y is not null and fold is not null")
+    )
 
 
 def _rows_of(batch: pa.RecordBatch, shift: np.ndarray):
-    """Design rows ``(1, x - shift, y - shift_y)`` of complete spectra, and their folds."""
+    """Design rows ``(1, x - shift, y - shift_y)`` and folds of rows that miss nothing."""
     x = to_block(batch.column("x"))
-    y = np.asarray(batch.column("y"))
-    folds = np.asarray(batch.column("fold"))
-    if x.shape[1] != len(shift) - 1:
-        x = np.full((len(x), len(shift) - 1), np.nan) if x.shape[1] == 0 else x
-    good = np.isfinite(x).all(axis=1) & np.isfinite(y)
+    y = np.asarray(batch.column("y").to_numpy(zero_copy_only=False), dtype=np.float64)
+    folds = batch.column("fold").to_numpy(zero_copy_only=False)
+    if x.shape[1] == 0:
+        x = np.full((len(x), len(shift) - 1), np.nan)
+    good = np.isfinite(x).all(axis=1) & np.isfinite(y) & batch.column("fold").is_valid().to_numpy(zero_copy_only=False)
     rows = np.empty((int(good.sum()), len(shift) + 1))
     rows[:, 0] = 1.0
     rows[:, 1:-1] = x[good] - shift[:-1]
@@ -180,10 +188,10 @@ def moment_table(
 
 
 def fold_moments(
-    df: DataFrame, spectrum: str = "spectrum", label: str | None = "label", fold: str | None = None
+    df: DataFrame, spectrum: str = "spectrum", label: str | None = "label", fold: str | None = None, shift=None
 ) -> FoldMoments:
     """The summed table on the driver. Its size depends on p and the folds, never on the rows."""
-    shift = provisional_shift(df, spectrum, label)
+    shift = provisional_shift(df, spectrum, label) if shift is None else shift
     size = len(shift) + 1
     if size * size * 8 > MAX_DENSE_BYTES:
         raise ValueError(f"{size - 2} channels are too many for a dense moment table")
@@ -199,8 +207,8 @@ def fold_moments(
     )
 
 
-def moments(df: DataFrame, spectrum: str = "spectrum", label: str | None = "label") -> Moments:
-    return fold_moments(df, spectrum, label).total
+def moments(df: DataFrame, spectrum: str = "spectrum", label: str | None = "label", shift=None) -> Moments:
+    return fold_moments(df, spectrum, label, None, shift).total
 
 
 def gram_entries(df: DataFrame, spectrum: str = "spectrum", label: str | None = "label", fold: str | None = None) -> DataFrame:
@@ -244,6 +252,20 @@ def scatter_times(df: DataFrame, mean: np.ndarray, vector: np.ndarray, spectrum:
     return _sum_rows(_inputs(df, spectrum, label, None), function, len(mean))
 
 
+def channel_sums(df: DataFrame, spectrum: str):
+    """``(n, shift, sums, sums of squares)`` of the shifted channels of complete spectra: one pass, O(p) state."""
+    shift = provisional_shift(df, spectrum, None)
+    p = len(shift) - 1
+
+    def function(batch):
+        rows, _ = _rows_of(batch, shift)
+        x = rows[:, 1:-1]
+        return np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
+
+    total = _sum_rows(_inputs(df, spectrum, None, None), function, 2 * p + 1)
+    return int(round(total[0])), shift[:-1], total[1 : p + 1], total[p + 1 :]
+
+
 def first_moments(df: DataFrame, spectrum: str, label: str):
     """``(n, mean, label mean, S_xy, channel sums of squares)`` by two O(p) passes."""
     shift = provisional_shift(df, spectrum, label)

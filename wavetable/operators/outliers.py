@@ -7,6 +7,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.sql import functions as F
 
 from wavetable.functions.spectral import count_extreme_channels, hotelling_t2
+from wavetable.operators.columns import filter_late
 from wavetable.operators.moments import moments
 from wavetable.operators.params import Settings, a_flag, a_float, a_text, an_int, floats
 from wavetable.operators.stats import channel_stats
@@ -107,5 +108,5 @@ class OutlierModel(Model, Settings):
         flag = tests[0] if len(tests) == 1 else tests[0] | tests[1]
         flagged = flagged.withColumn(self.output, F.coalesce(flag, F.lit(False)))
         if self.value("removeOutliers"):
-            flagged = flagged.filter(~F.col(self.output))
+            flagged = filter_late(flagged, ~F.col(self.output))
         return flagged if self.value("keepScores") else flagged.drop(*scores)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wavetable.functions.spectral import random_features
 from wavetable.operators.latent import LinearSpectralModel, PLSRegressor
-from wavetable.operators.moments import Moments, _inputs, _rows_of, moments, provisional_shift
+from wavetable.operators.moments import Moments, _inputs, _rows_of, dense_fits, moments, provisional_shift
 from wavetable.operators.params import Settings, a_float, a_text, an_int, floats
 from wavetable.operators.transform import AsVector
 
@@ -138,13 +138,11 @@ class ElasticNet(Estimator, Settings):
     DEFAULTS = {"alpha": 1.0, "l1Ratio": 0.5, "maxIter": 1000, "tol": 1e-10, "outputCol": "prediction"}
 
     def _fit(self, df):
-        from wavetable.operators.moments import dense_fits
-
-        first = df.select(F.size(self.spectrum).alias("p")).filter("p > 0").first()
-        if first is not None and not dense_fits(first["p"]):
+        shift = provisional_shift(df, self.spectrum, self.label)
+        if not dense_fits(len(shift) - 1):
             fit = fit_elastic_net_wide(df, self.value("alpha"), self.value("l1Ratio"), self.spectrum, self.label)
             return self._copyValues(LinearSpectralModel(coefficients=fit[0], intercept=fit[1]))
-        m = moments(df, self.spectrum, self.label)
+        m = moments(df, self.spectrum, self.label, shift)
         w, b = elastic_net(m, self.value("alpha"), self.value("l1Ratio"), self.value("maxIter"), self.value("tol"))
         return self._copyValues(LinearSpectralModel(coefficients=w, intercept=b))
 

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavetable.functions.metrics import regression_metrics
-from wavetable.operators.columns import numeric_columns, quoted, split_columns
+from wavetable.functions.spectral import whole
+from wavetable.operators.columns import filter_late, numeric_columns, quoted, split_columns
+from wavetable.operators.moments import channel_sums
 from wavetable.operators.position import exact_median
 
 # Replicate aggregations.
@@ -17,31 +19,22 @@ REPLICATE_METHODS = ["mean", "median", "max", "min"]
 
 
 def _vector(spectrum: str):
-    return array_to_vector(F.col(spectrum).cast("array<double>"))
-
-
-def _complete(df: DataFrame, spectrum: str) -> DataFrame:
-    whole = F.col(spectrum).isNotNull() & ~F.exists(spectrum, lambda v: v.isNull() | F.isnan(v))
-    return df.filter(whole)
+    return array_to_vector(whole(F.col(spectrum).cast("array<double>")))
 
 
 def channel_stats(df: DataFrame, spectrum: str = "spectrum") -> tuple[int, np.ndarray, np.ndarray]:
-    """``(rows, mean, population deviation)`` per channel: one pass, O(p) state."""
-    metrics = Summarizer.metrics("count", "mean", "variance")
-    row = _complete(df, spectrum).agg(metrics.summary(_vector(spectrum)).alias("s")).first()["s"]
-    n = int(row["count"])
-    if n == 0:
-        raise ValueError("no row has a complete spectrum")
-    mean = np.array(row["mean"].toArray())
-    variance = np.maximum(np.array(row["variance"].toArray()) * (n - 1) / n, 0.0)
-    variance[variance <= 1e-28 * mean * mean] = 0.0
-    return n, mean, np.sqrt(variance)
+    """``(rows, mean, population deviation)`` per channel of the complete spectra: one pass, O(p) state."""
+    n, shift, sums, squares = channel_sums(df, spectrum)
+    raw = squares / n
+    variance = raw - (sums / n) ** 2
+    return n, shift + sums / n, np.sqrt(np.where(variance > 1e-13 * raw, variance, 0.0))
 
 
 def mean_spectrum(df: DataFrame, spectrum: str = "spectrum", by=()) -> DataFrame:
     """``(by..., channel, mean)``; arrays are averaged before anything is exploded."""
     by = [by] if isinstance(by, str) else list(by)
-    means = _complete(df, spectrum).groupBy(*by).agg(Summarizer.mean(_vector(spectrum)).alias("m"))
+    vectors = filter_late(df.select(*by, _vector(spectrum).alias("v")), F.col("v").isNotNull())
+    means = vectors.groupBy(*by).agg(Summarizer.mean(F.col("v")).alias("m"))
     return means.select(*by, F.posexplode(vector_to_array("m")).alias("channel", "mean"))
 
 
@@ -49,14 +42,15 @@ def replicate_spectra(df: DataFrame, sample: str, method: str = "mean", spectrum
     """One spectrum per sample: channel-wise mean, median, max or min of its scans."""
     if method not in REPLICATE_METHODS:
         raise ValueError(f"unknown aggregation method: {method}")
-    whole = _complete(df, spectrum)
     if method == "median":
-        long = whole.select(sample, F.posexplode(F.col(spectrum).cast("array<double>")).alias("channel", "value"))
+        complete = df.select(sample, whole(F.col(spectrum).cast("array<double>")).alias("x"))
+        long = complete.select(sample, F.posexplode("x").alias("channel", "value"))
         medians = exact_median(long, [sample, "channel"], "value", "value")
         points = F.array_sort(F.collect_list(F.struct("channel", "value")))
         return medians.groupBy(sample).agg(F.transform(points, lambda s: s["value"]).alias(spectrum))
-    summary = getattr(Summarizer, method)(_vector(spectrum))
-    return whole.groupBy(sample).agg(summary.alias("v")).select(sample, vector_to_array("v").alias(spectrum))
+    vectors = filter_late(df.select(sample, _vector(spectrum).alias("x")), F.col("x").isNotNull())
+    summary = getattr(Summarizer, method)(F.col("x"))
+    return vectors.groupBy(sample).agg(summary.alias("v")).select(sample, vector_to_array("v").alias(spectrum))
 
 
 def replicate_columns(df: DataFrame, sample: str, columns, method: str = "mean") -> DataFrame:

@@ -268,7 +268,9 @@ class Study:
             source = self.split if self.fit_on == "all" else self.split.filter("split = 'train'")
             model = Pipeline(stages=stages).fit(source)
             table = model.transform(self.split).select(self.row_id, "label", "spectrum", "split")
-            self._tables[key] = durable(table.filter("spectrum is not null and label is not null"))
+            self._tables[key] = durable(
+                columns.filter_late(table, F.col("spectrum").isNotNull() & F.col("label").isNotNull())
+            )
         return self._tables[key]
 
     def train(self, transform: str, savgol: bool) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavetable.operators.columns import channel_names, nan_to_null, quoted, unpack
+from wavetable.operators.columns import channel_names, generic_names, nan_to_null, quoted, unpack
 from wavetable.operators.stats import long_metrics
 
 FORMATS = {".csv": "csv", ".parquet": "parquet", ".json": "json", ".orc": "orc"}
@@ -72,8 +72,9 @@ def write_dataset(
     """
     features = df.drop(label)
     if format == "csv":
-        first = df.select(F.size(spectrum).alias("p")).filter("p > 0").first()
-        names = channel_names(df, spectrum) or [f"feature_{i}" for i in range(first["p"] if first else 0)]
+        names = channel_names(df, spectrum)
+        if not names:
+            names = generic_names(df.agg(F.max(F.size(spectrum)).alias("p")).first()["p"] or 0)
         features = unpack(features, names, spectrum)
     has_split = split in df.columns
     write_table(features, f"{folder}/features", format, [split] if has_split else ())
