@@ -17,6 +17,8 @@ def to_block(lists: pa.Array) -> np.ndarray:
     width = int(sizes[0]) if sizes.size else 0
     if sizes.size and (sizes != width).any():
         raise ValueError("spectra of one column must all have the same number of channels")
+    if width == 0:
+        return np.empty((len(lists), 0))
     if present.all():
         return values.reshape(len(lists), width)
     block = np.full((len(lists), width), np.nan)

@@ -28,8 +28,11 @@ SAVGOL_DERIV = 1
 
 def _spectral_function(kernel, name="spectral"):
     def apply(spectra: pa.Array) -> pa.Array:
+        block = to_block(spectra)
+        if block.shape[1] == 0:  # nothing but missing spectra in this batch
+            return pa.nulls(len(block), pa.list_(pa.float64()))
         with np.errstate(divide="ignore", invalid="ignore"):
-            return to_lists(kernel(to_block(spectra)))
+            return to_lists(kernel(block))
 
     apply.__name__ = name
     return F.arrow_udf(apply, SPECTRUM)
@@ -37,8 +40,11 @@ def _spectral_function(kernel, name="spectral"):
 
 def _scoring_function(kernel, returns=None, name="score"):
     def apply(spectra: pa.Array) -> pa.Array:
+        block = to_block(spectra)
+        if block.shape[1] == 0:
+            return pa.nulls(len(block), pa.float64())
         with np.errstate(divide="ignore", invalid="ignore"):
-            return to_scalars(kernel(to_block(spectra)))
+            return to_scalars(kernel(block))
 
     apply.__name__ = name
     return F.arrow_udf(apply, returns or T.DoubleType())
@@ -89,9 +95,7 @@ def savgol(
 
     def kernel(x):
         if x.shape[1] < window:
-            if len(x) and x.shape[1]:
-                raise ValueError("window must not be longer than the spectrum")
-            return x
+            raise ValueError("window must not be longer than the spectrum")
         inner = np.lib.stride_tricks.sliding_window_view(x, window, axis=1) @ weights[half]
         head = x[:, :window] @ weights[:half].T
         tail = x[:, -window:] @ weights[half + 1 :].T
@@ -152,9 +156,9 @@ def count_extreme_channels(spectrum: Column | str, mean, std, threshold: float)
 
     def apply(spectra: pa.Array) -> pa.Array:
         x = to_block(spectra)
-        missing = np.isnan(x).any(axis=1) if x.shape[1] else np.ones(len(x), dtype=bool)
         if x.shape[1] == 0:
             return pa.nulls(len(x), pa.int32())
+        missing = np.isnan(x).any(axis=1)
         counts = (np.abs((x - mean) / std) > threshold).sum(axis=1).astype(np.int32)
         return pa.array(counts, mask=missing)
 

@@ -40,8 +40,9 @@ def column_profile(df: DataFrame) -> dict[str, tuple[int, int, bool]]:
     """``{column: (rows, present values, min equals max)}`` from one aggregation, no distinct."""
     orderable = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     spans = [F.count(F.lit(1)).alias("n")]
+    floating = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
     for i, name in enumerate(df.columns):
-        column = quoted(name)
+        column = F.when(~F.isnan(quoted(name)), quoted(name)) if name in floating else quoted(name)
         spans.append(F.count(column).alias(f"c{i}"))
         if name in orderable:
             spans.append(F.min(column).eqNullSafe(F.max(column)).alias(f"e{i}"))

@@ -60,7 +60,8 @@ def prepare_spectra(
     ``stages=None`` means SNV, an empty list means no correction.
     """
     stages = correction_stages("snv") if stages is None else list(stages)
-    distinct = clean.drop_duplicates(df, row_id)
+    # written once: the later passes must not repeat the shuffle that finds duplicates
+    distinct = durable(clean.drop_duplicates(df, row_id))
     cleaned = clean.drop_uninformative(distinct, keep=(row_id,))
     numeric = columns.filter_numeric(cleaned, [c for c in exclude if c != target])
     channels, others = columns.split_columns(numeric)
@@ -99,7 +100,7 @@ def load_and_prepare(
     row_id: str = ROW,
 ) -> Prepared:
     """Read, clean, impute and run a named chain; non-channel columns stay beside the spectrum."""
-    df = clean.drop_duplicates(read_table(spark, path, schema, row_id=row_id), row_id)
+    df = durable(clean.drop_duplicates(read_table(spark, path, schema, row_id=row_id), row_id))
     df = clean.add_sample_id(df, row_id)
     if remove_constant:
         df = clean.drop_uninformative(df, keep=(row_id,))
@@ -379,7 +380,7 @@ def run_experiment(
         df, target, stages, exclude, remove_outliers, outlier_method, fit_on=learn, row_id=row_id
     )
     labelled = clean.require_label(done.table)
-    table = labelled.join(split.select(row_id, "split"), row_id)
+    table = durable(labelled.join(split.select(row_id, "split"), row_id))
     train = table.filter("split = 'train'")
     if selection != "none":
         chooser = selector(selection, n_features, row_id, **(selector_options or {}))
