@@ -76,7 +76,7 @@ def test_single_experiment_saves_everything(spark, raw, tmp_path):
     df = tables.read_table(spark, raw[0])
     _, metrics, _ = jobs.run_experiment(
         df, "Brix", "pls", "none", selection="vip", n_features=6, params={"n_components": 3}, exclude=["ID"],
-        remove_outliers=False, folder=folder,
+        outlier_method="pca", fit_on="all", folder=folder,
     )
     row = metrics.first()
     assert row["r2"] > 0.5

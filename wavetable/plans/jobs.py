@@ -52,17 +52,19 @@ def prepare_spectra(
     threshold: float = 3.0,
     fit_on: DataFrame | None = None,
     row_id: str = ROW,
+    distinct: bool = False,
 ) -> Prepared:
     """Clean a wide table, correct its spectra and drop outliers.
 
     Duplicates, empty and constant columns and non-numeric columns go; outliers are judged on the
     uncorrected spectra; numeric columns that are no channels follow the channels untransformed.
-    ``stages=None`` means SNV, an empty list means no correction.
+    ``stages=None`` means SNV, an empty list means no correction. ``distinct`` tells that the rows
+    are known to be free of duplicates.
     """
     stages = correction_stages("snv") if stages is None else list(stages)
     # written once: the later passes must not repeat the shuffle that finds duplicates
-    distinct = durable(clean.drop_duplicates(df, row_id))
-    cleaned = clean.drop_uninformative(distinct, keep=(row_id,))
+    rows = df if distinct else durable(clean.drop_duplicates(df, row_id))
+    cleaned = clean.drop_uninformative(rows, keep=(row_id,))
     numeric = columns.filter_numeric(cleaned, [c for c in exclude if c != target])
     channels, others = columns.split_columns(numeric)
     extras = [c for c in others if c not in (target, row_id)]
@@ -373,14 +375,20 @@ def run_experiment(
     and selection learn from the training rows only; ``"all"`` lets them see every row.
     """
     spark = df.sparkSession
-    split = two_way_split(df, row_id, test_size, seed)
+    if fit_on not in ("train", "all"):
+        raise ValueError("fit_on must be 'train' or 'all'")
+    rows = durable(clean.drop_duplicates(df, row_id))
+    split = two_way_split(rows, row_id, test_size, seed)
     learn = split.filter("split = 'train'") if fit_on == "train" else None
     stages = correction_stages(transform, savgol, window, polyorder, deriv)
     done = prepare_spectra(
-        df, target, stages, exclude, remove_outliers, outlier_method, fit_on=learn, row_id=row_id
+        rows, target, stages, exclude, remove_outliers, outlier_method, fit_on=learn, row_id=row_id, distinct=True
     )
     labelled = clean.require_label(done.table)
-    table = durable(labelled.join(split.select(row_id, "split"), row_id))
+    if fit_on == "train":
+        table = durable(labelled.join(split.select(row_id, "split"), row_id))
+    else:
+        table = durable(two_way_split(durable(labelled), row_id, test_size, seed))
     train = table.filter("split = 'train'")
     if selection != "none":
         chooser = selector(selection, n_features, row_id, **(selector_options or {}))
