@@ -74,7 +74,19 @@ def test_cut_points_refine_crowded_bins(spark, monkeypatch):
     monkeypatch.setattr(position, "BINS", 4)
     ids = [*range(40), *range(10**9, 10**9 + 40)]
     df = spark.createDataFrame([(i,) for i in ids], "row_id long")
-    assert position.id_cut_points(df, "row_id", [1, 40, 41, 63, 80]) == {1: 0, 40: 39, 41: 10**9, 63: ids[62], 80: ids[79]}
+    assert position.id_cut_points(df, "row_id", lambda n: [1, 40, 41, 63, n]) == (80, {1: 0, 40: 39, 41: 10**9, 63: ids[62], 80: ids[79]})
+
+
+def test_hash_cut_points_refine_crowded_prefixes(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(position, "SMALL", 2)
+    monkeypatch.setattr(position, "HEX_DIGITS", 1)
+    ids = [*range(60), *[7] * 30]  # one id repeated, so its key can never be told apart
+    df = spark.createDataFrame([(i,) for i in ids], "row_id long")
+    keys = sorted(hashlib.md5(f"42:{i}".encode()).hexdigest() for i in ids)
+    wanted = [1, 5, 17, 44, 60, 89, 90]
+    assert position.hash_cut_points(df, "row_id", lambda n: wanted) == (90, {r: keys[r - 1] for r in wanted})
 
 
 def test_contiguous_folds_follow_the_id(spark):

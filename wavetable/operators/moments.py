@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from wavetable.functions.arrow import to_block
 
 # The dense table is (p + 2)^2 doubles per fold on the driver; wider tables use `scatter_times`.
-MAX_DENSE_BYTES = 1 << 30
+MAX_DENSE_BYTES = 1 << 29
 TABLE_SCHEMA = "fold int, part int, vals array<double>"
 
 

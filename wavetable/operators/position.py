@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BINS = 4096
+HEX_DIGITS = 3
 SMALL = 20_000
 
 
@@ -23,65 +24,58 @@ def shuffle_key(row_id: str | Column, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), row_id.cast("string")))
 
 
-def md5_number(key: Column) -> Column:
-    """First 60 bits of an md5 text as a long; monotone in the text."""
-    return F.conv(F.substring(key, 1, 15), 16, 10).cast("long")
+def cut_points(df: DataFrame, key: Column, number: Column, ranks_of, low: int, high: int) -> tuple[int, dict[int, object]]:
+    """``(rows, {rank: key of the row at that 1-based rank})`` in key order.
 
-
-def cut_points(df: DataFrame, key: Column, number: Column, ranks, low: int, high: int) -> dict[int, object]:
-    """``{rank: key of the row at that 1-based rank}`` in key order.
-
-    ``number`` is a long that never decreases with ``key`` and lies in ``[low, high]``. Each pass
-    counts ``BINS`` bins inside every interval that may still hold a wanted rank.
+    ``number`` is a long that never decreases with ``key`` and lies in ``[low, high]``;
+    ``ranks_of(rows)`` names the wanted ranks. Each pass counts ``BINS`` bins inside every interval
+    that may still hold a wanted rank; the first one also yields the row count.
     """
-    ranks = sorted({int(r) for r in ranks if r > 0})
-    if not ranks:
-        return {}
     keyed = df.select(key.alias("k"), number.alias("x"))
-    # open interval -> rows below it and the ranks searched in it
-    spans = {(low, high): (0, ranks)}
-    found: dict[int, object] = {}
+    total, spans, found = None, [(low, high, 0, None)], {}
     while spans:
-        bounds = sorted(spans)
-        pieces = []
-        for low_, high_ in bounds:
-            width = max(1, -(-(high_ - low_ + 1) // BINS))
-            pieces.append((low_, high_, width))
-        inside = F.array(
-            *[
-                F.when(
-                    F.col("x").between(F.lit(lo), F.lit(hi)),
-                    F.struct(F.lit(i).alias("span"), F.expr(f"(x - ({lo}L)) div {w}L").alias("bin")),
-                )
-                for i, (lo, hi, w) in enumerate(pieces)
-            ]
-        )
-        counts = (
-            keyed.select(F.explode(F.filter(inside, lambda s: s.isNotNull())).alias("s"))
-            .groupBy("s.span", "s.bin")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .orderBy("span", "bin")
-            .collect()
-        )
-        following: dict = {}
-        finals = []
-        for i, (lo, hi, w) in enumerate(pieces):
-            below, wanted = spans[(lo, hi)]
-            position = below
-            for row in (r for r in counts if r["span"] == i):
-                here = [r for r in wanted if position < r <= position + row["n"]]
+        counts = _bin_counts(keyed, [(lo, hi, _width(lo, hi)) for lo, hi, _, _ in spans])
+        if total is None:
+            total = sum(n for _, n in counts[0])
+            spans = [(low, high, 0, sorted({int(r) for r in ranks_of(total) if 0 < r <= total}))]
+        following, finals = [], []
+        for (lo, hi, position, wanted), bins in zip(spans, counts):
+            for place, n in bins:
+                here = [r for r in wanted if position < r <= position + n]
                 if here:
-                    start = lo + row["bin"] * w
-                    stop = min(hi, start + w - 1)
-                    if row["n"] <= SMALL or start == stop:
-                        finals.append((start, stop, position, here))
-                    else:
-                        following[(start, stop)] = (position, here)
-                position += row["n"]
+                    start = lo + place * _width(lo, hi)
+                    stop = min(hi, start + _width(lo, hi) - 1)
+                    (finals if n <= SMALL or start == stop else following).append((start, stop, position, here))
+                position += n
         if finals:
             found.update(_keys_at(keyed, finals))
         spans = following
-    return found
+    return total, found
+
+
+def _width(low: int, high: int) -> int:
+    return max(1, -(-(high - low + 1) // BINS))
+
+
+def _bin_counts(keyed: DataFrame, pieces) -> list[list[tuple[int, int]]]:
+    """Per piece ``(low, high, width)`` the ``(bin, rows)`` pairs, in order; at most BINS each."""
+    x = F.col("x")
+    bins = [F.expr(f"(x - ({lo}L)) div {w}L") for lo, _, w in pieces]
+    if len(pieces) == 1:
+        lo, hi, _ = pieces[0]
+        placed = keyed.filter(x.between(F.lit(lo), F.lit(hi))).select(F.lit(0).alias("span"), bins[0].alias("bin"))
+    else:
+        # intervals do not overlap
+        span, place = F.lit(None).cast("int"), F.lit(None).cast("long")
+        for i, (lo, hi, _) in enumerate(pieces):
+            inside = x.between(F.lit(lo), F.lit(hi))
+            span, place = F.when(inside, F.lit(i)).otherwise(span), F.when(inside, bins[i]).otherwise(place)
+        placed = keyed.select(span.alias("span"), place.alias("bin")).filter("span is not null")
+    rows = placed.groupBy("span", "bin").agg(F.count(F.lit(1)).alias("n")).collect()
+    out: list[list[tuple[int, int]]] = [[] for _ in pieces]
+    for row in rows:
+        out[row["span"]].append((row["bin"], row["n"]))
+    return [sorted(part) for part in out]
 
 
 def _keys_at(keyed: DataFrame, finals) -> dict[int, object]:
@@ -89,7 +83,8 @@ def _keys_at(keyed: DataFrame, finals) -> dict[int, object]:
     wanted = F.lit(False)
     for start, stop, _, _ in finals:
         wanted = wanted | F.col("x").between(F.lit(start), F.lit(stop))
-    rows = keyed.filter(wanted).groupBy("x", "k").agg(F.count(F.lit(1)).alias("n")).orderBy("x", "k").collect()
+    rows = keyed.filter(wanted).groupBy("x", "k").agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = sorted(rows, key=lambda r: (r["x"], r["k"]))
     found = {}
     for start, stop, below, ranks in finals:
         position = below
@@ -102,19 +97,47 @@ def _keys_at(keyed: DataFrame, finals) -> dict[int, object]:
     return found
 
 
-def hash_cut_points(df: DataFrame, row_id: str, ranks, seed: int = 42) -> dict[int, str]:
-    """Cut points of the ``md5`` order."""
-    key = shuffle_key(row_id, seed)
-    return cut_points(df, key, md5_number(key), ranks, 0, (1 << 60) - 1)
-
-
-def id_cut_points(df: DataFrame, row_id: str, ranks) -> dict[int, int]:
-    """Cut points of an integer id."""
+def hash_cut_points(df: DataFrame, row_id: str, ranks_of, seed: int = 42) -> tuple[int, dict[int, str]]:
+    """The same for the ``md5`` order, counted by hex prefixes: three digits are 4096 even bins."""
+    keyed = df.select(shuffle_key(row_id, seed).alias("k"))
+    total, digits, found = None, HEX_DIGITS, {}
+    spans: dict[str, tuple[int, list[int]]] = {"": (0, [])}
+    finals: dict[str, tuple[int, list[int]]] = {}
+    while spans:
+        inside = keyed if total is None else keyed.filter(F.substring("k", 1, digits - HEX_DIGITS).isin(list(spans)))
+        rows = inside.groupBy(F.substring("k", 1, digits).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+        counts = sorted((r["p"], r["n"]) for r in rows)
+        if total is None:
+            total = sum(n for _, n in counts)
+            spans = {"": (0, sorted({int(r) for r in ranks_of(total) if 0 < r <= total}))}
+        following = {}
+        for parent, (position, wanted) in spans.items():
+            for prefix, n in (c for c in counts if c[0].startswith(parent)):
+                here = [r for r in wanted if position < r <= position + n]
+                if here and digits >= 32:
+                    found.update({r: prefix for r in here})
+                elif here:
+                    (finals if n <= SMALL else following)[prefix] = (position, here)
+                position += n
+        spans, digits = following, digits + HEX_DIGITS
+    if finals:
+        starts = F.lit(False)
+        for size in {len(p) for p in finals}:
+            starts = starts | F.substring("k", 1, size).isin([p for p in finals if len(p) == size])
+        keys = sorted(r["k"] for r in keyed.filter(starts).collect())
+        for prefix, (position, wanted) in finals.items():
+            mine = [k for k in keys if k.startswith(prefix)]
+            found.update({r: mine[r - position - 1] for r in wanted})
+    return total, found
+
+
+def id_cut_points(df: DataFrame, row_id: str, ranks_of) -> tuple[int, dict[int, int]]:
+    """Row count and cut points of an integer id."""
     span = df.agg(F.min(row_id).alias("lo"), F.max(row_id).alias("hi")).first()
     if span["lo"] is None:
-        return {}
+        return 0, {}
     key = F.col(row_id).cast("long")
-    return cut_points(df, key, key, ranks, int(span["lo"]), int(span["hi"]))
+    return cut_points(df, key, key, ranks_of, int(span["lo"]), int(span["hi"]))
 
 
 def with_position(df: DataFrame, row_id: str, output: str = "position", rows_per_task: int = 2_000_000) -> DataFrame:
@@ -147,18 +170,15 @@ def with_position(df: DataFrame, row_id: str, output: str = "position", rows_per
     return placed.withColumn(output, start + inside - 1).drop("__bucket")
 
 
-def rank_within(df: DataFrame, groups, row_id: str, seed: int = 42, output: str = "rank", bins: int = 256) -> DataFrame:
+def rank_within(df: DataFrame, groups, row_id: str, seed: int = 42, output: str = "rank", digits: int = 2) -> DataFrame:
     """1-based rank in ``md5`` order inside each group, plus the group size ``<output>_of``.
 
-    A group is cut into ``bins`` slices of its hash range, so that one group holding much of the
-    table is still ranked by many tasks.
+    A group is cut into ``16 ** digits`` even slices by key prefix, so that one group holding much of
+    the table is still ranked by many tasks.
     """
     groups = [groups] if isinstance(groups, str) else list(groups)
-    key = shuffle_key(row_id, seed)
-    sliced = df.withColumn("__key", key).withColumn(
-        "__slice", F.conv(F.substring("__key", 1, 4), 16, 10).cast("int") % F.lit(65536) * bins / 65536
-    )
-    sliced = sliced.withColumn("__slice", F.floor("__slice").cast("int"))
+    keyed = df.withColumn("__key", shuffle_key(row_id, seed))
+    sliced = keyed.withColumn("__slice", F.substring("__key", 1, digits))
     counts = sliced.groupBy(*groups, "__slice").agg(F.count(F.lit(1)).alias("__n"))
     in_group = Window.partitionBy(*groups)
     counts = counts.select(

@@ -275,21 +275,31 @@ def epsilon_fit(data: DataFrame, c: float, epsilon: float, steps: int, stages=(1
     p = len(shift) - 1
     zero = np.zeros(p + 1)
     spread = data.agg(F.stddev_pop("label")).first()[0] or 1.0
-    # start from the ridge solution with the same weight on the label
     theta = np.zeros(p + 1)
     theta[0] = data.agg(F.avg("label")).first()[0]
+    ridge = np.concatenate([[0.0], np.ones(p)])
     for stage in stages:
         width = max(stage * spread, 1e-6)
+        loss, gradient, curve = _epsilon_pass(data, theta, epsilon, width, zero)
         for _ in range(steps):
-            value, gradient, curve = _epsilon_pass(data, theta, epsilon, width, zero)
-            ridge = np.concatenate([[0.0], np.ones(p)])
-            gradient = c * gradient + ridge * theta
-            if np.abs(gradient).max() <= 1e-6 * max(1.0, c * value):
+            objective = c * loss + 0.5 * theta[1:] @ theta[1:]
+            slope = c * gradient + ridge * theta
+            if np.abs(slope).max() <= 1e-6 * max(1.0, objective):
                 break
             hessian = c * curve + np.diag(ridge) + 1e-9 * np.eye(p + 1) * max(1.0, c * curve[0, 0])
-            direction = -np.linalg.solve(hessian, gradient)
-            theta, moved = _line_search(data, theta, direction, c, epsilon, width)
-            if not moved:
+            step = -np.linalg.solve(hessian, slope)
+            # the full step usually helps, and its pass already is the next iteration's
+            trial = theta + step
+            after = _epsilon_pass(data, trial, epsilon, width, zero)
+            gain = objective - (c * after[0] + 0.5 * trial[1:] @ trial[1:])
+            if gain <= 0:
+                trial, moved = _line_search(data, theta, step, c, epsilon, width)
+                if not moved:
+                    break
+                after = _epsilon_pass(data, trial, epsilon, width, zero)
+                gain = objective - (c * after[0] + 0.5 * trial[1:] @ trial[1:])
+            theta, (loss, gradient, curve) = trial, after
+            if gain <= 1e-7 * objective:
                 break
     return theta[1:], float(theta[0])
 
@@ -335,7 +345,7 @@ def _pieces(total, size):
 
 def _line_search(data, theta, direction, c, epsilon, width):
     """Best of several step lengths, all tried in one pass."""
-    lengths = np.array([0.0, 1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001])
+    lengths = np.array([0.0, 0.7, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001])
     trials = theta[:, None] + direction[:, None] * lengths
     zero = np.zeros(len(theta))
 

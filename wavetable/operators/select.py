@@ -315,9 +315,9 @@ class _Scorer:
                     found = [subset_score(table, np.asarray(c, dtype=int), *settings) for c in batch["channels"]]
                     yield pd.DataFrame({"candidate": batch["candidate"], "score": found})
 
-            tasks = max(1, min(len(rows), self.spark.sparkContext.defaultParallelism))
+            # a list is spread over the default parallelism without a shuffle
             candidates = self.spark.createDataFrame(rows, "candidate int, channels array<int>")
-            scored = candidates.repartition(tasks).mapInPandas(score, "candidate int, score double")
+            scored = candidates.mapInPandas(score, "candidate int, score double")
             for row in scored.collect():
                 self.known[order[row["candidate"]]] = row["score"]
         return [self.known[k] for k in keys]

@@ -31,9 +31,12 @@ def assign_splits(
     output: str = "split",
 ) -> DataFrame:
     """Column ``train`` / ``val`` / ``test``: the smallest hash keys are test, the next ones val."""
-    n = df.count()
+    def ends(n):
+        test, val = part_sizes(n, test_size, val_size)
+        return test, test + val
+
+    n, cuts = hash_cut_points(df, row_id, ends, seed)
     test, val = part_sizes(n, test_size, val_size)
-    cuts = hash_cut_points(df, row_id, [test, test + val], seed)
     return df.withColumn(output, _label(shuffle_key(row_id, seed), cuts, test, val))
 
 
@@ -94,16 +97,14 @@ def _fold_column(key: Column, cuts: dict, ends: list[int]) -> Column:
 
 def shuffled_folds(df: DataFrame, folds: int = 5, row_id: str = "row_id", seed: int = 42, output: str = "fold") -> DataFrame:
     """Exact-size folds 0..k-1 in hash order."""
-    ends = fold_ends(df.count(), folds)
-    cuts = hash_cut_points(df, row_id, ends, seed)
-    return df.withColumn(output, _fold_column(shuffle_key(row_id, seed), cuts, ends))
+    n, cuts = hash_cut_points(df, row_id, lambda n: fold_ends(n, folds), seed)
+    return df.withColumn(output, _fold_column(shuffle_key(row_id, seed), cuts, fold_ends(n, folds)))
 
 
 def contiguous_folds(df: DataFrame, folds: int = 5, row_id: str = "row_id", output: str = "fold") -> DataFrame:
     """Exact-size folds 0..k-1 in id order."""
-    ends = fold_ends(df.count(), folds)
-    cuts = id_cut_points(df, row_id, ends)
-    return df.withColumn(output, _fold_column(F.col(row_id).cast("long"), cuts, ends))
+    n, cuts = id_cut_points(df, row_id, lambda n: fold_ends(n, folds))
+    return df.withColumn(output, _fold_column(F.col(row_id).cast("long"), cuts, fold_ends(n, folds)))
 
 
 def hash_folds(df: DataFrame, folds: int = 5, row_id: str = "row_id", seed: int = 42, output: str = "fold") -> DataFrame:
