@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 BINS = 4096
 HEX_DIGITS = 3
+VALUE_SLICES = 16
 SMALL = 20_000
 
 
@@ -202,8 +203,10 @@ def rank_within(df: DataFrame, groups, row_id: str, seed: int = 42, output: str
 def exact_median(df: DataFrame, keys, value: str, output: str = "median", accuracy: int = 10_000) -> DataFrame:
     """Exact median per group (mean of both middle values) for groups of any size.
 
-    A mergeable sketch first brackets the middle of each group; a second pass counts what lies
-    below the bracket and looks only at the few values inside it, counted by value beforehand.
+    A mergeable sketch first brackets the middle of each group; a second pass counts equal values,
+    drops what lies above the bracket, sums up what lies below it and looks only at the few values
+    inside. The bracket is joined per group and value slice, so a group with much of the table is
+    spread over many tasks.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     data = df.select(*keys, F.col(value).cast("double").alias("__v")).filter("__v is not null")
@@ -212,24 +215,24 @@ def exact_median(df: DataFrame, keys, value: str, output: str = "median", accura
         F.percentile_approx("__v", [0.5 - margin, 0.5 + margin], accuracy).alias("__b"),
         F.count(F.lit(1)).alias("__n"),
     )
-    sketch = sketch.select(
-        *[F.col(k).alias(f"__r_{k}") for k in keys],
-        F.col("__b")[0].alias("__lo"),
-        F.col("__b")[1].alias("__hi"),
-        "__n",
-    )
+    values = data.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
     if keys:
-        match = None
+        slices = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(VALUE_SLICES - 1).cast("long")))
+        sketch = sketch.select(
+            *[F.col(k).alias(f"__r_{k}") for k in keys], F.col("__b")[0].alias("__lo"), F.col("__b")[1].alias("__hi"),
+            "__n", slices.alias("__r_slice"),
+        )
+        match = F.pmod(F.xxhash64("__v"), F.lit(VALUE_SLICES)) == F.col("__r_slice")
         for k in keys:
-            equal = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
-            match = equal if match is None else match & equal
-        joined = data.join(sketch, match)
+            match = match & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+        joined = values.join(sketch, match)
     else:
         edge = sketch.first()
-        joined = data.select(
+        low, high = edge["__b"] or (None, None)
+        joined = values.select(
             "*",
-            F.lit(edge["__lo"]).cast("double").alias("__lo"),
-            F.lit(edge["__hi"]).cast("double").alias("__hi"),
+            F.lit(low).cast("double").alias("__lo"),
+            F.lit(high).cast("double").alias("__hi"),
             F.lit(edge["__n"]).cast("long").alias("__n"),
         )
     # values below the bracket share one entry per group, so they vanish in the partial aggregation
@@ -237,7 +240,7 @@ def exact_median(df: DataFrame, keys, value: str, output: str = "median", accura
     counted = (
         joined.filter(F.col("__v") <= F.col("__hi"))
         .groupBy(*keys, spot.alias("__v"))
-        .agg(F.count(F.lit(1)).alias("__c"), F.first("__n").alias("__n"))
+        .agg(F.sum("__c").alias("__c"), F.first("__n").alias("__n"))
     )
     order = Window.partitionBy(*keys).orderBy(F.col("__v").asc_nulls_first())
     ranked = counted.withColumn("__upto", F.sum("__c").over(order)).withColumn(

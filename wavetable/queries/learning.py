@@ -49,8 +49,8 @@ _PC = """a as (select row_id, x[1] as a, x[2] as b from t),
 )
 def pca_two_channels(spark, folder):
     scans = two_channels(spark, folder)
-    scores = long_values(ChannelPCA(nComponents=2).fit(scans).transform(scans), "row_id", digits=9)
-    return scores.withColumn("v", rounded(F.abs("v")))
+    scores = ChannelPCA(nComponents=2).fit(scans).transform(scans)
+    return long_values(scores.withColumn("spectrum", F.transform("spectrum", F.abs)), "row_id")
 
 
 @query("pca_scores")
