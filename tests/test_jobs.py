@@ -8,6 +8,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from wavetable.operators.latent import PLSRegressor
+from wavetable.operators.outliers import OutlierDetector
 from wavetable.operators.transform import SNV, SavGol
 from wavetable.plans import jobs
 from wavetable.queries.registry import spectra, wide
@@ -145,7 +146,8 @@ def test_stream_equals_table(spark, tmp_path):
     scans = spectra(spark, SMALL)
     from pyspark.ml import Pipeline
 
-    model = Pipeline(stages=[SNV(), SavGol(), PLSRegressor(nComponents=3)]).fit(scans)
+    detector = OutlierDetector(threshold=2.5, removeOutliers=True)
+    model = Pipeline(stages=[detector, SNV(), SavGol(), PLSRegressor(nComponents=3)]).fit(scans)
     scans.repartition(4).write.parquet(str(tmp_path / "in"))
     stream = read_scans(spark, str(tmp_path / "in"), scans.schema, files_per_batch=1)
     write_scores(score_stream(stream, model), str(tmp_path / "out"), str(tmp_path / "state"), keep=["row_id", "prediction"]).awaitTermination()
@@ -157,7 +159,6 @@ def test_stream_equals_table(spark, tmp_path):
 def test_outlier_removal_on_many_imputed_channels_plans_quickly(spark, tmp_path):
     """Whole-spectrum conditions over many derived columns must not blow up the optimizer."""
     from wavetable.operators import clean, columns
-    from wavetable.operators.outliers import OutlierDetector
 
     df = clean.impute(columns.nan_to_null(wide(spark, SMALL)), exclude=["row_id"])
     packed = columns.pack(columns.with_target(df, "Brix"))

@@ -31,13 +31,24 @@ def assign_splits(
     output: str = "split",
 ) -> DataFrame:
     """Column ``train`` / ``val`` / ``test``: the smallest hash keys are test, the next ones val."""
+    return df.withColumn(output, split_column(df, row_id, test_size, val_size, seed))
+
+
+def split_column(
+    df: DataFrame, row_id: str = "row_id", test_size: float = 0.2, val_size: float | None = 0.2, seed: int = 42
+) -> Column:
+    """The split of the rows of ``df`` as a column of ``row_id`` alone.
+
+    It also labels tables derived from ``df``, without a join.
+    """
+
     def ends(n):
         test, val = part_sizes(n, test_size, val_size)
         return test, test + val
 
     n, cuts = hash_cut_points(df, row_id, ends, seed)
     test, val = part_sizes(n, test_size, val_size)
-    return df.withColumn(output, _label(shuffle_key(row_id, seed), cuts, test, val))
+    return _label(shuffle_key(row_id, seed), cuts, test, val)
 
 
 def _label(key: Column, cuts: dict, test: int, val: int) -> Column:
@@ -51,9 +62,13 @@ def _label(key: Column, cuts: dict, test: int, val: int) -> Column:
 
 def two_way_split(df: DataFrame, row_id: str = "row_id", test_size: float = 0.2, seed: int = 42, output: str = "split") -> DataFrame:
     """Train and test only; ``test_size`` between 0.1 and 0.5."""
+    return df.withColumn(output, two_way_column(df, row_id, test_size, seed))
+
+
+def two_way_column(df: DataFrame, row_id: str = "row_id", test_size: float = 0.2, seed: int = 42) -> Column:
     if not 0.1 <= test_size <= 0.5:
         raise ValueError("test_size must be between 0.1 and 0.5")
-    return assign_splits(df, row_id, test_size, None, seed, output)
+    return split_column(df, row_id, test_size, None, seed)
 
 
 def stratified_splits(

@@ -6,7 +6,7 @@ import time
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavetable.functions.metrics import METRICS
@@ -16,7 +16,7 @@ from wavetable.operators.outliers import OutlierDetector
 from wavetable.operators.regress import create_model
 from wavetable.operators.search import GRIDS, adaptive_search, grid_search
 from wavetable.operators.select import FOLDS, CARSSelector, GeneticSelector, VIPSelector, with_folds
-from wavetable.operators.splits import assign_splits, two_way_split
+from wavetable.operators.splits import assign_splits, two_way_column, two_way_split
 from wavetable.operators.stats import evaluate, target_summary
 from wavetable.plans.chains import build_chain, correction_stages
 from wavetable.session import durable
@@ -50,7 +50,7 @@ def prepare_spectra(
     remove_outliers: bool = True,
     outlier_method: str = "zscore",
     threshold: float = 3.0,
-    fit_on: DataFrame | None = None,
+    fit_on: Column | None = None,
     row_id: str = ROW,
     distinct: bool = False,
 ) -> Prepared:
@@ -58,8 +58,8 @@ def prepare_spectra(
 
     Duplicates, empty and constant columns and non-numeric columns go; outliers are judged on the
     uncorrected spectra; numeric columns that are no channels follow the channels untransformed.
-    ``stages=None`` means SNV, an empty list means no correction. ``distinct`` tells that the rows
-    are known to be free of duplicates.
+    ``stages=None`` means SNV, an empty list means no correction. ``fit_on`` is a condition on the row
+    id that picks the rows to learn from; ``distinct`` tells that there are no duplicates.
     """
     stages = correction_stages("snv") if stages is None else list(stages)
     # written once: the later passes must not repeat the shuffle that finds duplicates
@@ -70,7 +70,7 @@ def prepare_spectra(
     extras = [c for c in others if c not in (target, row_id)]
     labelled = columns.with_target(numeric, target, required=False)
     packed = columns.pack(labelled, channels)
-    source = packed if fit_on is None else packed.join(fit_on.select(row_id), row_id, "left_semi")
+    source = packed if fit_on is None else packed.filter(fit_on)
     before = []
     if remove_outliers:
         before = [OutlierDetector(method=outlier_method, threshold=threshold, removeOutliers=True)]
@@ -378,15 +378,15 @@ def run_experiment(
     if fit_on not in ("train", "all"):
         raise ValueError("fit_on must be 'train' or 'all'")
     rows = durable(clean.drop_duplicates(df, row_id))
-    split = two_way_split(rows, row_id, test_size, seed)
-    learn = split.filter("split = 'train'") if fit_on == "train" else None
+    split = two_way_column(rows, row_id, test_size, seed)
+    learn = split == "train" if fit_on == "train" else None
     stages = correction_stages(transform, savgol, window, polyorder, deriv)
     done = prepare_spectra(
         rows, target, stages, exclude, remove_outliers, outlier_method, fit_on=learn, row_id=row_id, distinct=True
     )
     labelled = clean.require_label(done.table)
     if fit_on == "train":
-        table = durable(labelled.join(split.select(row_id, "split"), row_id))
+        table = durable(labelled.withColumn("split", split))
     else:
         table = durable(two_way_split(durable(labelled), row_id, test_size, seed))
     train = table.filter("split = 'train'")
