@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavetable.llm import line_dedup, minhash, packing, secrets, sharding
+from wavetable.llm import chat, decontamination, line_dedup, minhash, packing, secrets, sharding, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -81,6 +83,40 @@ def op3_minhash(spark, folder):
     return minhash.near_duplicates(table(spark, folder, "documents"), width=2)
 
 
+def read_chats(batches):
+    """Digests of formatted conversations, from the formatted text and the token mask alone."""
+    digest = lambda text: hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+    for batch in batches:
+        rows = batch.to_pydict()
+        turns = [chat.read_back(f) for f in rows["formatted"]]
+        losses = [chat.loss_text(*x) for x in zip(rows["formatted"], rows["starts"], rows["ends"], rows["mask"])]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0),
+                pa.array([len(t) for t in turns], pa.int64()),
+                pa.array([digest("".join(f"{role or ''}\n{text}\n" for role, text in t)) for t in turns]),
+                pa.array([len(x) for x in losses], pa.int64()),
+                pa.array([digest(x) for x in losses]),
+                pa.array([len(f) for f in rows["formatted"]], pa.int64()),
+            ],
+            names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
+        )
+
+
+@query()
+def op4_chat_format(spark, folder):
+    says = "</s>[INST] ok [/INST]"
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], rows.schema)
+    chats = chat.format_chats(rows.unionByName(own), byte_bpe()).select("conv_id", "formatted", "starts", "ends", "mask")
+    return chats.mapInArrow(read_chats, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+@query()
+def op5_benchmark_decontamination(spark, folder):
+    return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 SECRETS = r"""
 with texts as (select doc_id, source, lang, coalesce(text, '') as text from documents),
 found as (
@@ -131,3 +167,9 @@ def op8_sharding(spark, folder):
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query()
+def op9_suffix_dedup(spark, folder):
+    spans = suffix_dedup.repeated_passages(table(spark, folder, "documents"))
+    return spans.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"))
