@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavetable.llm import chat, decontamination, line_dedup, minhash, packing, secrets, sharding, suffix_dedup
+from wavetable.llm import chat, decontamination, line_dedup, minhash, packing, quality_classifier, quality_rules, secrets, sharding, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -161,6 +161,13 @@ def op6_secret_scan(spark, folder):
     )
 
 
+@query()
+def op7_quality_rules(spark, folder):
+    docs = table(spark, folder, "documents")
+    found = quality_rules.apply_rules(docs, quality_rules.fit(docs, table(spark, folder, "labels")))
+    return found.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "score")
+
+
 @query()
 def op8_sharding(spark, folder):
     placed = sharding.shard(table(spark, folder, "documents"), 16)
@@ -173,3 +180,12 @@ def op8_sharding(spark, folder):
 def op9_suffix_dedup(spark, folder):
     spans = suffix_dedup.repeated_passages(table(spark, folder, "documents"))
     return spans.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"))
+
+
+@query()
+def op10_quality_classifier(spark, folder):
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    network = quality_classifier.fit(docs, labels.filter(~held_out))
+    scored = quality_classifier.classify(docs, network)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
