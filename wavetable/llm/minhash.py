@@ -178,30 +178,28 @@ def components(edges: DataFrame) -> DataFrame:
     split by skew joins. Every round is written to the shared folder.
     """
 
-    def star(directed: DataFrame, large: bool) -> DataFrame:
-        low = directed.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low")) if large else directed.groupBy("a").agg(F.min("b").alias("low"))
-        linked = directed.join(low, "a")
-        if large:  # each larger neighbour to the smallest id around
-            return linked.filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        return linked.filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select("a", F.col("low").alias("b")))
+    def star(directed: DataFrame, low: DataFrame) -> DataFrame:
+        return directed.join(low, "a").select("a", "b", "low")
 
-    def larger_first(df: DataFrame) -> DataFrame:
-        return df.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-    state, before = written(larger_first(edges)), None
+    state, before = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
     while True:
         mark = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
-            return state.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
-                state.select(F.col("b").alias("id"), F.col("b").alias("component"))
-            ).distinct()
+            ends = F.explode(F.array("a", "b")).alias("id")
+            return state.select(ends, F.col("b").alias("component")).distinct()
         before = mark
+        # large star: every larger neighbour to the smallest id around
         both = state.union(state.select("b", "a"))
-        state = written(larger_first(star(larger_first(star(both, True)), False)))
+        around = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
+        large = star(both, around).filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        # small star: every smaller neighbour, and the id itself, to the smallest one
+        below = large.groupBy("a").agg(F.min("b").alias("low"))
+        small = star(large, below).filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        state = written(small.union(below.select("a", F.col("low").alias("b"))).distinct())
 
 
 def links(signed: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between the documents of ``signed``, enough of them to connect every component.
+    """Pairs (a, b) of ``signed`` documents that connect the same components as all links; each is a link or a chain of links.
 
     ``signed`` has one row for each set (see ``signatures``); ``texts`` (id, text) holds at least its documents.
     """
@@ -218,7 +216,8 @@ def links(signed: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
 
     found = decided(members.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")))
     for number in range(1, ROUNDS + 1):
-        placed = members.select("id", "band").join(components(found), "id", "left")
+        known = components(found)
+        placed = members.select("id", "band").join(known, "id", "left")
         placed = written(placed.withColumn("component", F.coalesce("component", "id")))
         pick = F.min(F.struct(F.xxhash64("id", F.lit(number)).alias("order"), F.col("id").alias("centre"), F.col("component").alias("of"))).alias("pick")
         mixed_bands = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), pick).filter("x <> y")
@@ -231,7 +230,7 @@ def links(signed: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
             x = left.select("band", F.col("id").alias("a"), F.col("component").alias("ca"), block.alias("i")).withColumn("j", every)
             y = left.select("band", F.col("id").alias("b"), F.col("component").alias("cb"), block.alias("j")).withColumn("i", every)
             pairs = x.join(y, ["band", "i", "j"]).filter("a < b and ca <> cb").select("a", "b")
-        found = written(found.union(decided(pairs)))
+        found = known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(decided(pairs))
     return found
 
 
