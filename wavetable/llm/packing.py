@@ -26,7 +26,7 @@ from wavetable.llm.common import number_within, slices_for, written
 
 CAPACITY = 1024
 #: Length groups of the large pieces.
-GROUPS = 100
+GROUPS = 200
 #: Pieces of at most this share of the capacity are small.
 SMALL_SHARE = 1 / 8
 #: Words whose ids a Python worker keeps.
