@@ -37,7 +37,7 @@ def test_spectra_of_different_length_are_an_error(spark):
         df.select(spectral.snv("spectrum")).collect()
 
 
-@pytest.mark.parametrize("window,order,deriv", [(15, 2, 1), (15, 2, 2), (5, 2, 0), (7, 3, 1), (161, 3, 0)])
+@pytest.mark.parametrize("window,order,deriv", [(15, 2, 1), (15, 2, 2), (5, 2, 0), (7, 3, 1), (151, 3, 0)])
 def test_savgol_equals_a_polynomial_fit_at_every_point(scans, window, order, deriv):
     x, _, df = scans
     out = matrix(SavGol(window=window, polyorder=order, deriv=deriv).transform(df))
@@ -53,7 +53,7 @@ def test_savgol_settings_are_checked(scans):
         with pytest.raises(ValueError):
             SavGol(**bad)
     with pytest.raises(Exception, match="longer than the spectrum"):
-        SavGol(window=163).transform(scans[2]).collect()
+        SavGol(window=153).transform(scans[2]).collect()
 
 
 def test_derivative_beyond_the_order_is_zero():
@@ -105,7 +105,7 @@ def test_pca_equals_svd(scans, standardize):
     z = x - x.mean(axis=0)
     z = z / x.std(axis=0) if standardize else z
     _, s, vt = np.linalg.svd(z, full_matrices=False)
-    assert np.allclose(model.array("eigenvalues"), s[:5] ** 2 / 39)
+    assert np.allclose(model.array("eigenvalues"), s[:5] ** 2 / (len(x) - 1))
     assert np.allclose(np.abs(matrix(model.transform(df))), np.abs(z @ vt[:5].T), atol=1e-8)
     assert (model.components[np.abs(model.components).argmax(axis=0), range(5)] > 0).all()
 

@@ -174,8 +174,9 @@ def random_features(spectrum: Column | str, directions, phases) -> Column:
 
 
 def whole(spectrum: Column | str) -> Column:
-    """The spectrum itself, or NULL when a channel is missing."""
-    return _spectral_function(lambda x: x, "whole")(spectrum)
+    """The spectrum itself, or NULL when a channel is missing (stays in the JVM)."""
+    spectrum = F.col(spectrum) if isinstance(spectrum, str) else spectrum
+    return F.when(~F.exists(spectrum, lambda v: v.isNull() | F.isnan(v)), spectrum)
 
 
 def take_channels(spectrum: Column | str, channels) -> Column:

@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Tables up to this many rows x channels may be sent to every executor.
-BROADCAST_ROWS = 100_000
-
-
 def beside(left: DataFrame, right: DataFrame, key: str = "row_id", how: str = "inner") -> DataFrame:
     """Columns of both tables side by side, aligned on ``key``; ``full_outer`` keeps lone rows."""
     return left.join(right, key, how)
@@ -27,11 +23,9 @@ def removed(rows: DataFrame, kept: DataFrame, key: str = "row_id") -> DataFrame:
 def apply_channel_params(long: DataFrame, params: DataFrame, key: str = "channel") -> DataFrame:
     """Long spectra with the fitted parameters of their channel.
 
-    The parameter table has one row per channel. It is broadcast after its size was checked, and
-    joined by the planner's choice otherwise.
+    The parameter table has one row per channel; the planner chooses the join by its measured size.
     """
-    small = params.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return long.join(F.broadcast(params) if small else params, key)
+    return long.join(params, key)
 
 
 def experiment_grid(models: DataFrame, methods: list[dict]) -> DataFrame:

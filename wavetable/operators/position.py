@@ -17,12 +17,13 @@ BINS = 4096
 HEX_DIGITS = 3
 VALUE_SLICES = 16
 SMALL = 20_000
+SLICE_ROWS = 500_000
 
 
 def shuffle_key(row_id: str | Column, seed: int = 42) -> Column:
-    """``md5(seed:row_id)``: a reproducible random order key, the same on every engine."""
+    """``md5(seed:row_id)``: a reproducible random order key, the same on every engine; rows without an id share one."""
     row_id = F.col(row_id) if isinstance(row_id, str) else row_id
-    return F.md5(F.concat(F.lit(f"{seed}:"), row_id.cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(row_id.cast("string"), F.lit(""))))
 
 
 def cut_points(df: DataFrame, key: Column, number: Column, ranks_of, low: int, high: int) -> tuple[int, dict[int, object]]:
@@ -144,11 +145,11 @@ def id_cut_points(df: DataFrame, row_id: str, ranks_of) -> tuple[int, dict[int,
 def with_position(df: DataFrame, row_id: str, output: str = "position", rows_per_task: int = 2_000_000) -> DataFrame:
     """0-based position in the order of an integer id.
 
-    Approximate quantiles cut the id range into tasks of similar size, exact counts give each
-    task its offset, and the numbering runs inside the tasks in parallel.
+    Approximate quantiles cut the id range into tasks of similar size however many there are, exact
+    counts give each task its offset, and the numbering runs inside the tasks in parallel.
     """
     total = df.count()
-    tasks = int(min(max(1, -(-total // rows_per_task)), 2000))
+    tasks = int(max(1, -(-total // rows_per_task)))
     edges: list[int] = []
     if tasks > 1:
         shares = [i / tasks for i in range(1, tasks)]
@@ -164,20 +165,26 @@ def with_position(df: DataFrame, row_id: str, output: str = "position", rows_per
     sizes = {r["__bucket"]: r["n"] for r in placed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets, running = [], 0
     for i in range(len(edges) + 1):
-        offsets.append(running)
+        offsets.append((i, running))
         running += sizes.get(i, 0)
-    start = F.get(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("__bucket"))
+    starts = df.sparkSession.createDataFrame(offsets, "__bucket int, __start long")  # one row a task
     inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(row_id))
-    return placed.withColumn(output, start + inside - 1).drop("__bucket")
+    numbered = placed.withColumn("__inside", inside).join(F.broadcast(starts), "__bucket")
+    return numbered.withColumn(output, F.col("__start") + F.col("__inside") - 1).drop("__bucket", "__start", "__inside")
 
 
-def rank_within(df: DataFrame, groups, row_id: str, seed: int = 42, output: str = "rank", digits: int = 2) -> DataFrame:
+def rank_within(df: DataFrame, groups, row_id: str, seed: int = 42, output: str = "rank", digits: int | None = None) -> DataFrame:
     """1-based rank in ``md5`` order inside each group, plus the group size ``<output>_of``.
 
     A group is cut into ``16 ** digits`` even slices by key prefix, so that one group holding much of
-    the table is still ranked by many tasks.
+    the table is still ranked by many tasks. Without ``digits`` the largest group's size sets them.
     """
     groups = [groups] if isinstance(groups, str) else list(groups)
+    if digits is None:
+        largest = df.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
+        digits = 2
+        while largest > SLICE_ROWS * 16**digits:
+            digits += 1
     keyed = df.withColumn("__key", shuffle_key(row_id, seed))
     sliced = keyed.withColumn("__slice", F.substring("__key", 1, digits))
     counts = sliced.groupBy(*groups, "__slice").agg(F.count(F.lit(1)).alias("__n"))

@@ -102,8 +102,10 @@ def create_model(model_type: str, spectrum: str = "spectrum", label: str = "labe
 
 
 def depth(max_depth) -> int:
-    """Unlimited depth becomes the deepest tree Spark grows."""
-    return DEEPEST if max_depth is None else min(int(max_depth), DEEPEST)
+    """Unlimited depth becomes the deepest tree Spark grows; a deeper one is an error."""
+    if max_depth is not None and int(max_depth) > DEEPEST:
+        raise ValueError(f"max_depth {max_depth}: Spark grows trees of at most {DEEPEST} levels")
+    return DEEPEST if max_depth is None else int(max_depth)
 
 
 def feature_share(max_features) -> str:
@@ -140,7 +142,9 @@ class ElasticNet(Estimator, Settings):
     def _fit(self, df):
         shift = provisional_shift(df, self.spectrum, self.label)
         if not dense_fits(len(shift) - 1):
-            fit = fit_elastic_net_wide(df, self.value("alpha"), self.value("l1Ratio"), self.spectrum, self.label)
+            fit = fit_elastic_net_wide(
+                df, self.value("alpha"), self.value("l1Ratio"), self.spectrum, self.label, self.value("maxIter"), self.value("tol")
+            )
             return self._copyValues(LinearSpectralModel(coefficients=fit[0], intercept=fit[1]))
         m = moments(df, self.spectrum, self.label, shift)
         w, b = elastic_net(m, self.value("alpha"), self.value("l1Ratio"), self.value("maxIter"), self.value("tol"))
@@ -171,7 +175,7 @@ def elastic_net(m: Moments, alpha: float, l1_ratio: float, max_iter: int = 1000,
     return w, float(m.label_mean - w @ m.mean)
 
 
-def fit_elastic_net_wide(df: DataFrame, alpha: float, l1_ratio: float, spectrum="spectrum", label="label"):
+def fit_elastic_net_wide(df: DataFrame, alpha: float, l1_ratio: float, spectrum="spectrum", label="label", max_iter: int = 1000, tol: float = 1e-10):
     """The same objective with Spark's solver, which scales the label: penalties are rescaled for it."""
     level = df.agg(F.stddev_samp(label).alias("s")).first()["s"]
     l1, l2 = alpha * l1_ratio / level, alpha * (1 - l1_ratio)
@@ -180,7 +184,7 @@ def fit_elastic_net_wide(df: DataFrame, alpha: float, l1_ratio: float, spectrum=
         array_to_vector(F.col(spectrum).cast("array<double>")).alias("features"), (F.col(label) / level).alias("label")
     )
     solver = LinearRegression(
-        standardization=False, regParam=total, elasticNetParam=l1 / total if total else 0.0, maxIter=1000, tol=1e-10
+        standardization=False, regParam=total, elasticNetParam=l1 / total if total else 0.0, maxIter=max_iter, tol=tol
     )
     fit = solver.fit(data)
     return fit.coefficients.toArray() * level, fit.intercept * level

@@ -219,6 +219,7 @@ class Experiment:
 
 def standard_study(with_selection: bool = True) -> list[Experiment]:
     """Nine plain experiments and, with selection, three models by six selections."""
+    # fixed values: the experiments of the study, in their order
     plain = [
         Experiment("xgb", "snv"),
         Experiment("xgb", "msc"),
@@ -270,10 +271,9 @@ class Study:
             stages = correction_stages(transform, savgol, window, polyorder, deriv)
             source = self.split if self.fit_on == "all" else self.split.filter("split = 'train'")
             model = Pipeline(stages=stages).fit(source)
-            table = model.transform(self.split).select(self.row_id, "label", "spectrum", "split")
-            self._tables[key] = durable(
-                columns.filter_late(table, F.col("spectrum").isNotNull() & F.col("label").isNotNull())
-            )
+            labelled = self.split.filter(F.col("label").isNotNull())
+            table = model.transform(labelled).select(self.row_id, "label", "spectrum", "split")
+            self._tables[key] = durable(columns.filter_late(table, F.col("spectrum").isNotNull()))
         return self._tables[key]
 
     def train(self, transform: str, savgol: bool) -> DataFrame:
@@ -329,7 +329,7 @@ class Study:
                     save_model(model, f"{folder}/models/{e.name}", {"metrics": scores, "experiment": e.name}, self.spark)
                     log_run(self.spark, f"{folder}/log", "study", e.name, e.params, scores, {"status": status})
             except Exception as error:  # recorded, and the study goes on
-                scores, status, message = {}, "failed", str(error)[:500]
+                scores, status, message = {}, "failed", str(error)
             rows.append(
                 (e.name, e.model_type, e.transform, e.savgol, e.tuned, e.selection, e.n_features, status, message,
                  *[scores.get(m) for m in METRICS], time.time() - started)

@@ -251,10 +251,11 @@ def splits_stacked(spark, folder):
     return splits.stack_splits(**parts)
 
 
-@query("names_removed", "select distinct l_partkey as key from lineitem except select l_partkey from lineitem where l_returnflag = 'A'")
+@query("names_removed", "select c_custkey as key from customer except select o_custkey from orders where o_orderstatus = 'P'")
 def names_removed(spark, folder):
-    keys = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("key"), "l_returnflag")
-    return combine.names_difference(keys.select("key"), keys.filter("l_returnflag = 'A'").select("key"))
+    left = table(spark, folder, "customer").select(F.col("c_custkey").alias("key"))
+    right = table(spark, folder, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("key"))
+    return combine.names_difference(left, right)
 
 
 @query("names_merged", "select c_custkey as key from customer union select o_custkey from orders")
