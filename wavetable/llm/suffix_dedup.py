@@ -27,6 +27,8 @@ from wavetable.llm.minhash import mixed, words_of
 
 #: Shortest passage in words.
 LEAST = 50
+#: Suffixes of one head that one task compares.
+HOT = 20_000
 FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 2**64)
 
@@ -90,14 +92,14 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
-def contexts(texts: DataFrame, head: int, window: int, reach: int) -> DataFrame:
-    """(id, text_hash, pos, head, right, left, runs): up to ``reach`` 32-bit word hashes on either side of repeated heads.
+def contexts(texts: DataFrame, head: int, reach: int) -> DataFrame:
+    """(id, text_hash, pos, head, right, left, n): up to ``reach`` 32-bit word hashes on either side of repeated heads.
 
-    ``texts`` has ``places``, the repeated positions of a text. ``left`` runs away from the head. ``runs`` are
-    the hashes of the passages of head + reach words around the head, from the leftmost that exists.
+    ``texts`` has ``places``, (pos, n) of the repeated heads of a text, where n suffixes have that head.
+    ``left`` runs away from the head.
     """
-    fields = [("id", texts.schema["id"].dataType), ("text_hash", T.LongType()), ("pos", T.IntegerType()), ("head", T.LongType()), ("right", T.BinaryType()), ("left", T.BinaryType())]
-    schema = T.StructType([T.StructField(*f) for f in [*fields, ("first", T.IntegerType()), ("runs", T.ArrayType(T.LongType()))]])
+    fields = [("id", texts.schema["id"].dataType), ("text_hash", T.LongType()), ("pos", T.IntegerType()), ("head", T.LongType()), ("right", T.BinaryType()), ("left", T.BinaryType()), ("n", T.LongType())]
+    schema = T.StructType([T.StructField(*f) for f in fields])
 
     def cut(batches):
         for batch in batches:
@@ -107,16 +109,14 @@ def contexts(texts: DataFrame, head: int, window: int, reach: int) -> DataFrame:
                 rows = []
                 for i, (text, places) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist())):
                     hashes = word_hashes(text)
-                    heads, passages = run_hashes(hashes, head), run_hashes(hashes, head + reach).view(np.int64)
-                    words = (hashes >> np.uint64(32)).astype("<u4")
-                    for pos in sorted(set(places)):
-                        first = max(0, pos - reach)
+                    heads, words = run_hashes(hashes, head).view(np.int64), (hashes >> np.uint64(32)).astype("<u4")
+                    for pos, n in sorted((x["pos"], x["n"]) for x in places):
                         rows.append(i)
-                        values = (pos, heads[pos].view(np.int64), words[pos + head : pos + head + reach].tobytes(), words[first:pos][::-1].tobytes(), first, passages[first : pos + 1])
+                        values = (pos, heads[pos], words[pos + head : pos + head + reach].tobytes(), words[max(0, pos - reach) : pos][::-1].tobytes(), n)
                         for column, value in zip(out[2:], values):
                             column.append(value)
                 take = pa.array(rows, pa.int64())
-                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int64()))
+                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), *[pa.array(c, k) for c, k in zip(out[2:], kinds)]], names=schema.names)
 
     return texts.select("id", "text_hash", "text", "places").mapInArrow(cut, schema)
@@ -129,51 +129,72 @@ def side(column: pa.Array, reach: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(v.ljust(4 * reach, b"\0") for v in values), "<u4").reshape(len(values), reach), lengths
 
 
+def prefixes(words: np.ndarray, factor: int) -> np.ndarray:
+    """Hash of the first 0, 1, ... words of each row."""
+    out = np.zeros((len(words), words.shape[1] + 1), np.uint64)
+    for k in range(words.shape[1]):
+        out[:, k + 1] = mixed(out[:, k] * np.uint64(factor) + words[:, k] + np.uint64(1))
+    return out
+
+
 def compare_neighbours(ordered: DataFrame, head: int, reach: int) -> DataFrame:
-    """Passages that sorted neighbours of different documents share, and which suffixes stand for their class.
+    """Passages that sorted neighbours of different documents share, and keys of the passages still to be counted.
 
-    Rows (id, text_hash, start, end, shared, first, runs): the match extended right and left, ``shared`` if it
-    has head + reach words or more; ``runs`` is null unless the suffix is the first or last of equal ones.
-    The first and last suffix of a task lack a neighbour and always stand for themselves.
+    Rows (id, text_hash, pos, start, end, shared, open, least, keys): the match extended right and left,
+    ``shared`` if it has head + reach words or more. ``open`` suffixes may share more with others than with
+    their neighbours. ``keys`` stand for the passages of head + reach words with least, least + 1, ... words
+    before the head; open suffixes have them, and the first and last of equal suffixes beside open ones.
     """
     kind = ordered.schema["id"].dataType
-    names = [("id", kind), ("text_hash", T.LongType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("shared", T.BooleanType()), ("first", T.IntegerType()), ("runs", T.ArrayType(T.LongType()))]
+    names = [("id", kind), ("text_hash", T.LongType()), ("pos", T.IntegerType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("shared", T.BooleanType()), ("open", T.BooleanType()), ("least", T.IntegerType()), ("keys", T.ArrayType(T.LongType()))]
     schema = T.StructType([T.StructField(*f) for f in names])
 
+    def judged(table: pa.Table, before: bool, after: bool) -> pa.RecordBatch:
+        """Rows of ``table`` but the first, if ``before``, and the last, if ``after``: those are there as neighbours."""
+        n = table.num_rows
+        get = lambda name: table.column(name).combine_chunks()
+        ids, heads, pos, members = get("id").to_numpy(zero_copy_only=False), get("head").to_numpy(), get("pos").to_numpy(), get("n").to_numpy()
+        (right, right_n), (left, left_n) = side(get("right"), reach), side(get("left"), reach)
+        same = heads[1:] == heads[:-1]
+
+        def common(x, lengths):
+            differ = x[1:] != x[:-1]
+            found = np.where(differ.any(axis=1), differ.argmax(axis=1), reach)
+            return np.where(same, np.minimum(found, np.minimum(lengths[1:], lengths[:-1])), 0)
+
+        r, l = common(right, right_n), common(left, left_n)
+        equal = same & (r == right_n[1:]) & (r == right_n[:-1]) & (l == left_n[1:]) & (l == left_n[:-1])
+        other = same & (ids[1:] != ids[:-1])
+        low, high, whole = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+        for rows in (slice(1, n), slice(0, n - 1)):  # with the one before, with the one after
+            size = np.where(other, head + r + l, 0)
+            better = size > (high - low)[rows]
+            low[rows] = np.where(better, pos[rows] - l, low[rows])
+            high[rows] = np.where(better, pos[rows] + head + r, high[rows])
+            whole[rows] |= other & (l == left_n[rows]) & (r == right_n[rows])
+        # of two suffixes each has met the only other one
+        unsure = ~whole & (members > 2)
+        group = np.concatenate([[0], np.cumsum(~same)])
+        beside = np.bincount(group, unsure) > 0
+        beside[[0, -1]] = True  # the rest of these may be in other batches
+        stands = (~np.append(False, equal) | ~np.append(equal, False)) & (members > 2) & (beside[group] | (members > HOT))
+        wanted = np.flatnonzero(unsure | stands)
+        fronts, behinds = prefixes(left[wanted], FACTOR), prefixes(right[wanted], INVERSE)
+        a = np.arange(reach + 1)
+        keys = mixed(mixed(fronts * np.uint64(3) + behinds[:, reach - a]) + heads[wanted].view(np.uint64)[:, None] + a.astype(np.uint64))
+        least = np.maximum(0, reach - right_n)
+        lists: list = [None] * n
+        for k, i in enumerate(wanted):
+            lists[i] = keys[k, least[i] : left_n[i] + 1].view(np.int64)
+        columns = [
+            get("id"), get("text_hash"), get("pos"), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(high - low >= head + reach),
+            pa.array(unsure), pa.array(least, pa.int32()), pa.array(lists, pa.list_(pa.int64())),
+        ]
+        first, last = int(before), n - int(after)
+        return pa.RecordBatch.from_arrays(columns, names=schema.names).slice(first, last - first)
+
     def extend(batches):
-        held = None  # the last row so far, still without its next neighbour
-
-        def judged(table: pa.Table, before: bool, after: bool):
-            n = table.num_rows
-            get = lambda name: table.column(name).combine_chunks()
-            ids, heads, pos = get("id").to_numpy(zero_copy_only=False), get("head").to_numpy(), get("pos").to_numpy()
-            (right, right_n), (left, left_n) = side(get("right"), reach), side(get("left"), reach)
-            same = heads[1:] == heads[:-1]
-
-            def common(x, lengths):
-                differ = x[1:] != x[:-1]
-                found = np.where(differ.any(axis=1), differ.argmax(axis=1), reach)
-                return np.where(same, np.minimum(found, np.minimum(lengths[1:], lengths[:-1])), 0)
-
-            r, l = common(right, right_n), common(left, left_n)
-            equal = same & (r == right_n[1:]) & (r == right_n[:-1]) & (l == left_n[1:]) & (l == left_n[:-1])
-            other = same & (ids[1:] != ids[:-1])
-            low, high = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            for rows, links in ((slice(1, n), other), (slice(0, n - 1), other)):  # with the one before, the one after
-                size = np.where(links, head + r + l, 0)
-                better = size > (high - low)[rows]
-                low[rows] = np.where(better, pos[rows] - l, low[rows])
-                high[rows] = np.where(better, pos[rows] + head + r, high[rows])
-            shared = high - low >= head + reach
-            stands = ~np.append(False, equal) | ~np.append(equal, False)
-            rows = slice(1 if before else 0, n - 1 if after else n)
-            runs = get("runs")
-            runs = pa.compute.if_else(pa.array(stands), runs, pa.nulls(n, runs.type))
-            columns = [get("id"), get("text_hash"), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(shared), get("first"), runs]
-            whole = pa.RecordBatch.from_arrays(columns, names=schema.names)
-            return whole.slice(rows.start, rows.stop - rows.start)
-
-        tail = None  # up to two rows: the one before the held one, and the held one
+        tail, done = None, False  # the last two rows, of which the first is done; at the start one row
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -181,11 +202,12 @@ def compare_neighbours(ordered: DataFrame, head: int, reach: int) -> DataFrame:
             if tail is not None:
                 table = pa.concat_tables([tail, table])
             if table.num_rows > 1:
-                yield judged(table, held is not None, True)
-                held = True
-            tail = table.slice(max(0, table.num_rows - 2)) if table.num_rows > 1 else table
+                yield judged(table, done, True)
+                done, tail = True, table.slice(table.num_rows - 2)
+            else:
+                tail = table
         if tail is not None:
-            yield judged(tail, tail.num_rows > 1, False)
+            yield judged(tail, done, False)
 
     return ordered.mapInArrow(extend, schema)
 
@@ -200,18 +222,20 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     head = least // 2
     reach = least - head
-    window = least - head + 1
-    kept = written(suffixes(docs, id_col, text_col, head, window))
-    often = kept.groupBy("head").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("head")
-    places = kept.join(often, "head", "left_semi").groupBy("id", "text_hash").agg(F.collect_set("pos").alias("places"))
+    kept = written(suffixes(docs, id_col, text_col, head, reach + 1))
+    often = kept.groupBy("head").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("head", "n")
+    places = kept.join(often, "head").groupBy("id", "text_hash").agg(F.collect_set(F.struct("pos", "n")).alias("places"))
     texts = keyed(docs, id_col, text_col).join(places, ["id", "text_hash"])  # repeated rows too; distinct below
-    found = written(contexts(texts, head, window, reach))
-    matched = written(compare_neighbours(found.orderBy("head", "right", "left", "id", "pos"), head, reach))
-    near = matched.filter("shared").select("id", "text_hash", F.col("start"), F.col("end"))
-    runs = matched.filter("runs is not null").select("id", "text_hash", F.posexplode("runs").alias("k", "run"))
-    known = runs.groupBy("run").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("run")
-    every = found.select("id", "text_hash", "first", F.posexplode("runs").alias("k", "run"))
-    exact = every.join(known, "run", "left_semi").select("id", "text_hash", (F.col("first") + F.col("k")).alias("start"), (F.col("first") + F.col("k") + least).alias("end"))
+    # a head of many suffixes is dealt to several tasks; what neighbours then miss is counted below
+    part = F.pmod(F.xxhash64("id"), F.floor(F.col("n") / HOT) + 1)
+    ordered = contexts(texts, head, reach).withColumn("part", part).repartition("head", "part").sortWithinPartitions("head", "right", "left", "id", "pos")
+    matched = written(compare_neighbours(ordered.drop("part"), head, reach))
+    near = matched.filter("shared").select("id", "text_hash", "start", "end")
+    keys = matched.filter("keys is not null").select("id", F.explode("keys").alias("key"))
+    known = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key")
+    every = matched.filter("open").select("id", "text_hash", "pos", "least", F.posexplode("keys").alias("k", "key"))
+    start = F.col("pos") - F.col("least") - F.col("k")
+    exact = every.join(known, "key", "left_semi").select("id", "text_hash", start.alias("start"), (start + least).alias("end"))
     return merged(near.union(exact).distinct()).withColumnRenamed("id", id_col)
 
 
