@@ -383,9 +383,9 @@ def test_sharding_few_groups(spark):
 def brute_passages(rows, least):
     texts = {(i, t or ""): words(t) for i, t in rows}
     owners = defaultdict(set)
-    for (i, _), w in texts.items():
+    for (i, text), w in texts.items():
         for k in range(len(w) - least + 1):
-            owners[tuple(w[k : k + least])].add(i)
+            owners[tuple(w[k : k + least])].add((i, text))
     out = set()
     for (i, _), w in texts.items():
         span = None

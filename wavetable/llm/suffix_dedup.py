@@ -63,16 +63,16 @@ def selected(heads: np.ndarray, window: int) -> np.ndarray:
 
 
 def suffixes(docs: DataFrame, id_col: str, text_col: str, head: int, window: int) -> DataFrame:
-    """(id, text_hash, pos, head) of the kept suffixes."""
+    """(doc, pos, head) of the kept suffixes."""
     schema = T.StructType(
-        [T.StructField("id", docs.schema[id_col].dataType), T.StructField("text_hash", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("head", T.LongType())]
+        [T.StructField("doc", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("head", T.LongType())]
     )
 
     def find(batches):
         for batch in batches:
             for low in range(0, len(batch), 1024):
                 rows, places, heads = [], [], []
-                for i, text in enumerate(batch.column(2).slice(low, 1024).to_pylist(), low):
+                for i, text in enumerate(batch.column(1).slice(low, 1024).to_pylist(), low):
                     runs = run_hashes(word_hashes(text), head)
                     pos = selected(runs, window)
                     rows.append(np.full(len(pos), i))
@@ -80,25 +80,26 @@ def suffixes(docs: DataFrame, id_col: str, text_col: str, head: int, window: int
                     heads.append(runs[pos])
                 take = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(places), pa.int32()), pa.array(np.concatenate(heads).view(np.int64))],
+                    [batch.column(0).take(take), pa.array(np.concatenate(places), pa.int32()), pa.array(np.concatenate(heads).view(np.int64))],
                     names=schema.names,
                 )
 
-    return keyed(docs, id_col, text_col).mapInArrow(find, schema)
+    return keyed(docs, id_col, text_col).select("doc", "text").mapInArrow(find, schema)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, id, text): ``doc`` stands for the id and the text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return docs.select(F.xxhash64(F.col(id_col), text).alias("doc"), F.col(id_col).alias("id"), text.alias("text"))
 
 
 def contexts(texts: DataFrame, head: int, reach: int) -> DataFrame:
-    """(id, text_hash, pos, head, right, left, n): up to ``reach`` 32-bit word hashes on either side of repeated heads.
+    """(doc, pos, head, right, left, n): up to ``reach`` 32-bit word hashes on either side of repeated heads.
 
     ``texts`` has ``places``, (pos, n) of the repeated heads of a text, where n suffixes have that head.
     ``left`` runs away from the head.
     """
-    fields = [("id", texts.schema["id"].dataType), ("text_hash", T.LongType()), ("pos", T.IntegerType()), ("head", T.LongType()), ("right", T.BinaryType()), ("left", T.BinaryType()), ("n", T.LongType())]
+    fields = [("doc", T.LongType()), ("pos", T.IntegerType()), ("head", T.LongType()), ("right", T.BinaryType()), ("left", T.BinaryType()), ("n", T.LongType())]
     schema = T.StructType([T.StructField(*f) for f in fields])
 
     def cut(batches):
@@ -107,19 +108,19 @@ def contexts(texts: DataFrame, head: int, reach: int) -> DataFrame:
                 part = batch.slice(low, 256)
                 out: list[list] = [[] for _ in schema.fields]
                 rows = []
-                for i, (text, places) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist())):
+                for i, (text, places) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
                     hashes = word_hashes(text)
                     heads, words = run_hashes(hashes, head).view(np.int64), (hashes >> np.uint64(32)).astype("<u4")
                     for pos, n in sorted((x["pos"], x["n"]) for x in places):
                         rows.append(i)
                         values = (pos, heads[pos], words[pos + head : pos + head + reach].tobytes(), words[max(0, pos - reach) : pos][::-1].tobytes(), n)
-                        for column, value in zip(out[2:], values):
+                        for column, value in zip(out[1:], values):
                             column.append(value)
                 take = pa.array(rows, pa.int64())
                 kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), *[pa.array(c, k) for c, k in zip(out[2:], kinds)]], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), *[pa.array(c, k) for c, k in zip(out[1:], kinds)]], names=schema.names)
 
-    return texts.select("id", "text_hash", "text", "places").mapInArrow(cut, schema)
+    return texts.select("doc", "text", "places").mapInArrow(cut, schema)
 
 
 def side(column: pa.Array, reach: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,20 +141,19 @@ def prefixes(words: np.ndarray, factor: int) -> np.ndarray:
 def compare_neighbours(ordered: DataFrame, head: int, reach: int) -> DataFrame:
     """Passages that sorted neighbours of different documents share, and keys of the passages still to be counted.
 
-    Rows (id, text_hash, pos, start, end, shared, open, least, keys): the match extended right and left,
-    ``shared`` if it has head + reach words or more. ``open`` suffixes may share more with others than with
-    their neighbours. ``keys`` stand for the passages of head + reach words with least, least + 1, ... words
-    before the head; open suffixes have them, and the first and last of equal suffixes beside open ones.
+    Rows (doc, pos, start, end, shared, open, least, keys): the match extended right and left, ``shared`` if it
+    has head + reach words or more. ``open`` suffixes may share more with others than with their neighbours.
+    ``keys`` stand for the passages of head + reach words with least, least + 1, ... words before the head;
+    open suffixes have them, and the first and last of equal suffixes beside open ones.
     """
-    kind = ordered.schema["id"].dataType
-    names = [("id", kind), ("text_hash", T.LongType()), ("pos", T.IntegerType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("shared", T.BooleanType()), ("open", T.BooleanType()), ("least", T.IntegerType()), ("keys", T.ArrayType(T.LongType()))]
+    names = [("doc", T.LongType()), ("pos", T.IntegerType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("shared", T.BooleanType()), ("open", T.BooleanType()), ("least", T.IntegerType()), ("keys", T.ArrayType(T.LongType()))]
     schema = T.StructType([T.StructField(*f) for f in names])
 
     def judged(table: pa.Table, before: bool, after: bool) -> pa.RecordBatch:
         """Rows of ``table`` but the first, if ``before``, and the last, if ``after``: those are there as neighbours."""
         n = table.num_rows
         get = lambda name: table.column(name).combine_chunks()
-        ids, heads, pos, members = get("id").to_numpy(zero_copy_only=False), get("head").to_numpy(), get("pos").to_numpy(), get("n").to_numpy()
+        ids, heads, pos, members = get("doc").to_numpy(), get("head").to_numpy(), get("pos").to_numpy(), get("n").to_numpy()
         (right, right_n), (left, left_n) = side(get("right"), reach), side(get("left"), reach)
         same = heads[1:] == heads[:-1]
 
@@ -187,7 +187,7 @@ def compare_neighbours(ordered: DataFrame, head: int, reach: int) -> DataFrame:
         for k, i in enumerate(wanted):
             lists[i] = keys[k, least[i] : left_n[i] + 1].view(np.int64)
         columns = [
-            get("id"), get("text_hash"), get("pos"), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(high - low >= head + reach),
+            get("doc"), get("pos"), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(high - low >= head + reach),
             pa.array(unsure), pa.array(least, pa.int32()), pa.array(lists, pa.list_(pa.int64())),
         ]
         first, last = int(before), n - int(after)
@@ -213,45 +213,47 @@ def compare_neighbours(ordered: DataFrame, head: int, reach: int) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """(id, text_hash, start_word, end_word): maximal unions of passages of ``least`` or more words that other documents hold too.
+    """(id, start_word, end_word): maximal unions of passages of ``least`` or more words that other documents hold too.
 
     Words are separated by ASCII white space and compared without the case of A-Z; ends are exclusive. Every
     occurrence is returned, the first one too. Null, empty and shorter texts have none. Repeated rows (equal
-    id and text) are one document and return their spans once; an id with several texts returns spans for
-    each text_hash, and its own texts don't count as other documents. Other columns are not carried on.
+    id and text) are one document and return their spans once; rows of one id with different texts are
+    different documents. Other columns are not carried on.
     """
     head = least // 2
     reach = least - head
     kept = written(suffixes(docs, id_col, text_col, head, reach + 1))
-    often = kept.groupBy("head").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("head", "n")
-    places = kept.join(often, "head").groupBy("id", "text_hash").agg(F.collect_set(F.struct("pos", "n")).alias("places"))
-    texts = keyed(docs, id_col, text_col).join(places, ["id", "text_hash"])  # repeated rows too; distinct below
+    often = kept.groupBy("head").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("head", "n")
+    places = kept.join(often, "head").groupBy("doc").agg(F.collect_set(F.struct("pos", "n")).alias("places"))
+    texts = keyed(docs, id_col, text_col).select("doc", "text").join(places, "doc")
     # a head of many suffixes is dealt to several tasks; what neighbours then miss is counted below
-    part = F.pmod(F.xxhash64("id"), F.floor(F.col("n") / HOT) + 1)
-    ordered = contexts(texts, head, reach).withColumn("part", part).repartition("head", "part").sortWithinPartitions("head", "right", "left", "id", "pos")
+    part = F.pmod(F.xxhash64("doc"), F.floor(F.col("n") / HOT) + 1)
+    ordered = contexts(texts, head, reach).withColumn("part", part).repartition("head", "part").sortWithinPartitions("head", "right", "left", "doc", "pos")
     matched = written(compare_neighbours(ordered.drop("part"), head, reach))
-    near = matched.filter("shared").select("id", "text_hash", "start", "end")
-    keys = matched.filter("keys is not null").select("id", F.explode("keys").alias("key"))
-    known = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key")
-    every = matched.filter("open").select("id", "text_hash", "pos", "least", F.posexplode("keys").alias("k", "key"))
+    near = matched.filter("shared").select("doc", "start", "end")
+    keys = matched.filter("keys is not null").select("doc", F.explode("keys").alias("key"))
+    known = keys.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low <> high").select("key")
     start = F.col("pos") - F.col("least") - F.col("k")
-    exact = every.join(known, "key", "left_semi").select("id", "text_hash", start.alias("start"), (start + least).alias("end"))
-    return merged(near.union(exact).distinct()).withColumnRenamed("id", id_col)
+    every = matched.filter("open").select("doc", "pos", "least", "shared", F.col("start").alias("from"), F.col("end").alias("to"), F.posexplode("keys").alias("k", "key"))
+    every = every.select("doc", "key", start.alias("start"), "shared", "from", "to")
+    every = every.filter(~F.col("shared") | (F.col("start") < F.col("from")) | (F.col("start") + least > F.col("to"))).select("doc", "key", "start")
+    exact = every.join(known, "key", "left_semi").select("doc", "start", (F.col("start") + least).alias("end"))
+    ids = keyed(docs, id_col, text_col).select("doc", "id").distinct()
+    return merged(near.union(exact)).join(ids, "doc").select(F.col("id").alias(id_col), "start_word", "end_word")
 
 
 def merged(spans: DataFrame) -> DataFrame:
-    """Unions of overlapping or touching spans (id, text_hash, start, end) of a text."""
-    order = Window.partitionBy("id", "text_hash").orderBy("start", "end")
+    """Unions of overlapping or touching spans (doc, start, end) of a document."""
+    order = Window.partitionBy("doc").orderBy("start", "end")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     begins = F.when(reached.isNull() | (F.col("start") > reached), 1).otherwise(0)
     number = F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0))
     groups = spans.withColumn("begins", begins).withColumn("number", number)
-    return groups.groupBy("id", "text_hash", "number").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word")).drop("number")
+    return groups.groupBy("doc", "number").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word")).drop("number")
 
 
 def cut_passages(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start_word, end_word, passage): the words of each span, joined by single spaces, as they stand in the text."""
-    rows = docs.withColumn("text_hash", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).select(id_col, "text_hash", F.col(text_col).alias("text"))
-    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    """(id, start_word, end_word, passage): the words of each span, joined by single spaces; ids must be unique."""
+    words = F.filter(F.split(F.col(text_col), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     passage = F.array_join(F.slice(words, F.col("start_word") + 1, F.col("end_word") - F.col("start_word")), " ")
-    return rows.join(spans, [id_col, "text_hash"]).select(id_col, "start_word", "end_word", passage.alias("passage"))
+    return docs.select(id_col, text_col).join(spans, id_col).select(id_col, "start_word", "end_word", passage.alias("passage"))
