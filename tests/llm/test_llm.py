@@ -174,6 +174,34 @@ def test_near_duplicates_chain(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_components(rows, 2)
 
 
+@pytest.mark.parametrize("width", [2, 5])
+def test_near_duplicates_in_large_groups(spark, monkeypatch, width):
+    """Variants of two templates around the threshold; all buckets count as large, so pairs come from the groups' cores."""
+    monkeypatch.setattr(minhash, "FEW", 1)
+    rng, rows = random.Random(3), []
+    templates = [prose(21, 120).split(), prose(22, 120).split()]
+    for k in range(90):
+        words = [*templates[k % 3 == 0]]
+        for place in rng.sample(range(120), rng.randint(0, 9 if width == 2 else 4)):
+            words[place] = rng.choice(["one", "two", f"own{k}"])
+        rows.append((k, " ".join(words)))
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=width).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_components(rows, width)
+
+
+def test_remaining_keeps_every_link(spark, monkeypatch):
+    """Without known components, the pairs hold every link of a group."""
+    monkeypatch.setattr(minhash, "FEW", 1)
+    rng, words, rows = random.Random(4), prose(23, 60).split(), []
+    for k in range(40):
+        rows.append((k, " ".join(rng.choice(["one", "two", f"own{k}"]) if rng.random() < 0.03 else w for w in words)))
+    sets = {k: set(minhash.shingles(text, 2).tolist()) for k, text in rows}
+    linked = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    members = spark.createDataFrame([(0, k, k) for k, _ in rows], "band long, id long, component long")
+    pairs = minhash.remaining(members, spark.createDataFrame(rows, "id long, text string"), 2, 80)
+    assert linked and linked <= {tuple(p) for p in pairs.collect()}
+
+
 def test_near_duplicates_of_nothing(empty):
     assert minhash.near_duplicates(empty).collect() == []
 

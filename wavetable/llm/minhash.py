@@ -3,9 +3,9 @@
 Documents with equal shingle sets are one class from the start, so copies cost one row each. Classes that
 share a band are candidates. The signature sketch drops pairs that can't reach the threshold, and full sets
 decide. Within a bucket not all pairs are formed: every member meets the bucket's smallest class first, and
-after the components are known only pairs of classes that are still in different components are left, each
-of which is then decided too. So no link that changes a component is lost, and a large bucket of true copies
-costs one pair a member.
+after the components are known only pairs of classes that are still in different components are left. Those
+that can be links by the shingles that they hold beside the bucket's common ones are then decided too. So no
+link that changes a component is lost, and a large bucket of true copies costs one pair a member.
 """
 
 from __future__ import annotations
@@ -28,7 +28,9 @@ BANDS, ROWS = 57, 6
 SKETCH, LEAST = 128, 70
 #: Rounds in which members meet one class of their bucket, before all remaining pairs are decided.
 ROUNDS = 2
-#: Buckets are joined with themselves in so many blocks a side.
+#: Buckets of so many members give all pairs of different components; larger ones only pairs that can be links (see ``remaining``).
+FEW = 32
+#: A group is joined with itself in so many blocks a side.
 BLOCKS = 8
 PERCENT = 80
 
@@ -198,6 +200,67 @@ def components(edges: DataFrame) -> DataFrame:
         state = written(small.union(below.select("a", F.col("low").alias("b"))).distinct())
 
 
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(id, shingles) of each text (id, text)."""
+
+    def run(batches):
+        for batch in batches:
+            for low in range(0, len(batch), 512):
+                part = batch.slice(low, 512)
+                rows = [shingles(t, width).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    schema = T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    return texts.select("id", "text").mapInArrow(run, schema)
+
+
+def remaining(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components, among ``members`` (band, id, component) of one band, that can be links.
+
+    Small bands give all their pairs. Large bands with the same most frequent component form a group, whose
+    core is the set of shingles that more than half of its members hold. Two members have at most min(core
+    shingles of a, of b) and the shingles that they share outside the core in common; only those for which
+    that is enough are pairs. No link is lost, and a large group of documents that are alike but not linked
+    gives few pairs.
+    """
+    per = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    bands = written(per.groupBy("band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")))
+    few = members.join(bands.filter(F.col("n") <= FEW).select("band"), "band")
+    x, y = (few.select("band", F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
+    direct = x.join(y, "band").filter("a < b and ca <> cb").select("a", "b")
+
+    groups = bands.filter(F.col("n") > FEW).select("band", F.col("most.component").alias("group"))
+    grouped = written(members.join(groups, "band").select("group", "id", "component").distinct())
+    sets = shingle_sets(texts.join(grouped.select("id").distinct(), "id", "left_semi"), width)
+    rows = written(grouped.join(sets.dropDuplicates(["id"]), "id").select("group", "id", "component", F.explode("shingles").alias("shingle")))
+    of = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("of"))
+    held = rows.groupBy("group", "shingle").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
+    held = written(held.join(of, "group").select("group", "shingle", (F.col("n") * 2 > F.col("of")).alias("core"), (F.col("x") != F.col("y")).alias("mixed")))
+
+    inside = rows.join(held.filter("core").select("group", "shingle"), ["group", "shingle"]).groupBy("group", "id").agg(F.count(F.lit(1)).alias("core"))
+    sizes = rows.groupBy("group", "id", "component").agg(F.count(F.lit(1)).alias("size")).join(inside, ["group", "id"], "left")
+    sizes = written(sizes.withColumn("core", F.coalesce("core", F.lit(0))))
+    side = lambda c: [F.col("id").alias(c), F.col("component").alias(f"c{c}"), F.col("size").alias(f"n{c}"), F.col("core").alias(f"k{c}")]
+    enough = lambda both: (100 + percent) * both >= percent * (F.col("na") + F.col("nb"))
+
+    rest = rows.join(held.filter("mixed and not core").select("group", "shingle"), ["group", "shingle"]).join(sizes, ["group", "id", "component"])
+    x, y = (rest.select("group", "shingle", *side(c)) for c in "ab")
+    sharing = x.join(y, ["group", "shingle"]).filter("a < b and ca <> cb")
+    sharing = sharing.groupBy("group", "a", "b", "na", "nb", "ka", "kb").agg(F.count(F.lit(1)).alias("beside"))
+    sharing = sharing.filter(enough(F.least("ka", "kb") + F.col("beside"))).select("a", "b")
+
+    least = sizes.groupBy("group").agg(F.min("size").alias("least"))
+    able = sizes.join(least, "group").filter((100 + percent) * F.col("core") >= percent * (F.col("size") + F.col("least")))
+    able = written(able.select("group", "id", "component", "size", "core"))
+    block, every = F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
+    # one end of each pair is outside the group's most frequent component
+    x = able.filter(F.col("component") != F.col("group")).select("group", *side("a"), block.alias("i")).withColumn("j", every)
+    y = able.select("group", *side("b"), block.alias("j")).withColumn("i", every)
+    bounded = x.join(y, ["group", "i", "j"]).filter((F.col("ca") != F.col("cb")) & enough(F.least("ka", "kb")))
+    bounded = bounded.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return direct.union(sharing).union(bounded)
+
+
 def links(signed: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) of ``signed`` documents that connect the same components as all links; each is a link or a chain of links.
 
@@ -224,12 +287,8 @@ def links(signed: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
         left = placed.join(mixed_bands.select("band", "pick.centre", "pick.of"), "band")
         if number < ROUNDS:  # a random member as centre, for the members outside its component
             pairs = left.filter("component <> of").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
-        else:  # every remaining pair of different components, in blocks
-            block = F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int")
-            every = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
-            x = left.select("band", F.col("id").alias("a"), F.col("component").alias("ca"), block.alias("i")).withColumn("j", every)
-            y = left.select("band", F.col("id").alias("b"), F.col("component").alias("cb"), block.alias("j")).withColumn("i", every)
-            pairs = x.join(y, ["band", "i", "j"]).filter("a < b and ca <> cb").select("a", "b")
+        else:  # every remaining pair of different components that can be a link
+            pairs = remaining(left.select("band", "id", "component"), near, width, percent)
         found = known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(decided(pairs))
     return found
 
