@@ -253,7 +253,7 @@ def test_importances_cover_every_channel(spark, informative):
 
 def test_metrics_edge_cases(spark):
     df = spark.createDataFrame([(1.0, 1.0), (1.0, 1.0), (None, 2.0)], "label double, prediction double")
-    assert stats.evaluate(df).first().asDict() == {"rmse": 0.0, "mae": 0.0, "r2": 1.0, "explained_variance": 1.0}
+    assert stats.evaluate(df).first().asDict() == {"rmse": 0.0, "mae": 0.0, "r2": 1.0, "explained_variance": 1.0, "n": 2, "n_skipped": 1}
     worse = df.withColumn("prediction", F.col("prediction") + 1)
     row = stats.evaluate(worse).first()
     assert row["r2"] == 0.0 and row["explained_variance"] == 1.0

@@ -44,6 +44,12 @@ def explained_variance(label, prediction) -> Column:
     return _explained(F.var_pop(y - p), F.var_pop(y))
 
 
+def pair_counts(label="label", prediction="prediction") -> list[Column]:
+    """Rows that the metrics count, and rows left out because label or prediction is missing."""
+    y, _ = _paired(label, prediction)
+    return [F.count(y).alias("n"), (F.count(F.lit(1)) - F.count(y)).alias("n_skipped")]
+
+
 def regression_metrics(label="label", prediction="prediction") -> list[Column]:
     """All four metrics; one aggregation pass."""
     return [

@@ -207,47 +207,65 @@ def rank_within(df: DataFrame, groups, row_id: str, seed: int = 42, output: str
     return ranked.select(*df.columns, output, f"{output}_of")
 
 
+def value_at(data: DataFrame, rank: int, rows: int, accuracy: int = 10_000) -> float:
+    """Value of column ``__v`` at a 1-based rank of ``rows`` values, with NaN last.
+
+    Sketches narrow an interval until what is inside can be collected. Counts decide each step, so the
+    value is exact, and every step leaves out at least one value.
+    """
+    v, below = F.col("__v"), 0
+    while rows > SMALL:
+        share, margin = (rank - below) / rows, 4.0 / accuracy
+        shares = [max(0.0, share - margin), min(1.0, share + margin)]
+        low, high = map(F.lit, data.agg(F.percentile_approx("__v", shares, accuracy)).first()[0])
+        parts = [v < low, v == low, (v > low) & (v < high), (v == high) & (high > low), v > high]
+        counts = data.agg(*[F.count_if(part) for part in parts]).first()
+        for i, (part, n) in enumerate(zip(parts, counts)):
+            if rank <= below + n:
+                break
+            below += n
+        if i in (1, 3):
+            return data.filter(part).first()["__v"]
+        data, rows = data.filter(part), n
+    values = sorted((r["__v"] for r in data.collect()), key=lambda x: (x != x, x))
+    return values[rank - below - 1]
+
+
 def exact_median(df: DataFrame, keys, value: str, output: str = "median", accuracy: int = 10_000) -> DataFrame:
-    """Exact median per group (mean of both middle values) for groups of any size.
+    """Exact median per group (mean of both middle values) for groups of any size; without keys of the table.
 
-    A mergeable sketch first brackets the middle of each group; a second pass counts equal values,
-    drops what lies above the bracket, sums up what lies below it and looks only at the few values
-    inside. The bracket is joined per group and value slice, so a group with much of the table is
-    spread over many tasks.
+    A mergeable sketch first brackets the middle of each group. The second pass joins the brackets to the
+    rows, by group and value slice, so that a group with much of the table is spread over many tasks; what
+    lies above goes, what lies below is summed up in each task, and only the few values inside are
+    shuffled to be counted.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     data = df.select(*keys, F.col(value).cast("double").alias("__v")).filter("__v is not null")
+    if not keys:
+        rows = data.count()
+        ends = [value_at(data, rank, rows, accuracy) for rank in sorted({(rows + 1) // 2, rows // 2 + 1})] if rows else []
+        middle = (ends[0] + ends[-1]) / 2 if ends else None
+        return df.sparkSession.createDataFrame([(middle,)], f"`{output}` double")
     margin = 4.0 / accuracy
     sketch = data.groupBy(*keys).agg(
         F.percentile_approx("__v", [0.5 - margin, 0.5 + margin], accuracy).alias("__b"),
         F.count(F.lit(1)).alias("__n"),
     )
-    values = data.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    if keys:
-        slices = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(VALUE_SLICES - 1).cast("long")))
-        sketch = sketch.select(
-            *[F.col(k).alias(f"__r_{k}") for k in keys], F.col("__b")[0].alias("__lo"), F.col("__b")[1].alias("__hi"),
-            "__n", slices.alias("__r_slice"),
-        )
-        match = F.pmod(F.xxhash64("__v"), F.lit(VALUE_SLICES)) == F.col("__r_slice")
-        for k in keys:
-            match = match & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
-        joined = values.join(sketch, match)
-    else:
-        edge = sketch.first()
-        low, high = edge["__b"] or (None, None)
-        joined = values.select(
-            "*",
-            F.lit(low).cast("double").alias("__lo"),
-            F.lit(high).cast("double").alias("__hi"),
-            F.lit(edge["__n"]).cast("long").alias("__n"),
-        )
+    slices = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(VALUE_SLICES - 1).cast("long")))
+    sketch = sketch.select(
+        *[F.col(k).alias(f"__r_{k}") for k in keys], F.col("__b")[0].alias("__lo"), F.col("__b")[1].alias("__hi"),
+        "__n", slices.alias("__r_slice"),
+    )
+    match = F.pmod(F.xxhash64("__v"), F.lit(VALUE_SLICES)) == F.col("__r_slice")
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    joined = data.join(sketch, match)
     # values below the bracket share one entry per group, so they vanish in the partial aggregation
     spot = F.when(F.col("__v") >= F.col("__lo"), F.col("__v"))
     counted = (
         joined.filter(F.col("__v") <= F.col("__hi"))
         .groupBy(*keys, spot.alias("__v"))
-        .agg(F.sum("__c").alias("__c"), F.first("__n").alias("__n"))
+        .agg(F.count(F.lit(1)).alias("__c"), F.first("__n").alias("__n"))
     )
     order = Window.partitionBy(*keys).orderBy(F.col("__v").asc_nulls_first())
     ranked = counted.withColumn("__upto", F.sum("__c").over(order)).withColumn(

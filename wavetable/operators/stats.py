@@ -8,7 +8,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavetable.functions.metrics import regression_metrics
+from wavetable.functions.metrics import pair_counts, regression_metrics
 from wavetable.functions.spectral import whole
 from wavetable.operators.columns import filter_late, numeric_columns, quoted, split_columns
 from wavetable.operators.moments import channel_sums
@@ -58,11 +58,11 @@ def replicate_columns(df: DataFrame, sample: str, columns, method: str = "mean")
     if method not in REPLICATE_METHODS:
         raise ValueError(f"unknown aggregation method: {method}")
     if method == "median":
-        out = None
-        for c in columns:
-            one = exact_median(df, [sample], c, c)
-            out = one if out is None else out.join(one, sample, "full_outer")
-        return out
+        values = F.array(*[quoted(c).cast("double") for c in columns])
+        long = df.select(sample, F.posexplode(values).alias("__channel", "__value"))
+        medians = exact_median(long, [sample, "__channel"], "__value", "__value")
+        packed = medians.groupBy(sample).agg(F.map_from_entries(F.collect_list(F.struct("__channel", "__value"))).alias("__m"))
+        return packed.select(sample, *[F.try_element_at("__m", F.lit(i)).alias(c) for i, c in enumerate(columns)])
     function = {"mean": F.avg, "max": F.max, "min": F.min}[method]
     return df.groupBy(sample).agg(*[function(quoted(c)).alias(c) for c in columns])
 
@@ -75,9 +75,8 @@ def target_summary(df: DataFrame, target: str) -> DataFrame:
         F.avg(quoted(target)).alias("mean"),
         F.stddev_samp(quoted(target)).alias("std"),
     )
-    middle = exact_median(df.select(quoted(target).alias("__t")), [], "__t", "median", accuracy=100_000)
-    one = F.lit(1)
-    return basic.withColumn("__k", one).join(middle.withColumn("__k", one), "__k", "left").drop("__k")
+    middle = exact_median(df.select(quoted(target).alias("__t")), [], "__t", "median").first()["median"]
+    return basic.withColumn("median", F.lit(middle).cast("double"))
 
 
 def shape_report(df: DataFrame) -> DataFrame:
@@ -93,9 +92,12 @@ def shape_report(df: DataFrame) -> DataFrame:
 
 
 def evaluate(df: DataFrame, label: str = "label", prediction: str = "prediction", by=()) -> DataFrame:
-    """rmse, mae, r2 and explained variance, for the whole table or per group, in one pass."""
+    """rmse, mae, r2, explained variance, ``n`` and ``n_skipped``, for the whole table or per group, in one pass.
+
+    A row without label or prediction counts in ``n_skipped`` alone.
+    """
     by = [by] if isinstance(by, str) else list(by)
-    return df.groupBy(*by).agg(*regression_metrics(label, prediction))
+    return df.groupBy(*by).agg(*regression_metrics(label, prediction), *pair_counts(label, prediction))
 
 
 def long_metrics(metrics: DataFrame, keys) -> DataFrame:

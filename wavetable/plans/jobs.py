@@ -256,7 +256,8 @@ class Study:
     ):
         if fit_on not in ("train", "all"):
             raise ValueError("fit_on must be 'train' or 'all'")
-        self.split = two_way_split(df, row_id, test_size, seed)
+        # shares are those of the labelled rows
+        self.split = df.withColumn("split", two_way_column(df.filter(F.col("label").isNotNull()), row_id, test_size, seed))
         self.row_id, self.seed, self.folds, self.savgol, self.fit_on = row_id, seed, folds, savgol, fit_on
         self.selectors, self.grids = selectors or {}, grids or {}
         self.spark = df.sparkSession
@@ -323,7 +324,8 @@ class Study:
             started = time.time()
             try:
                 model, predicted = self.fit(e)
-                scores = evaluate(predicted).first().asDict()
+                found = evaluate(predicted).first()
+                scores = {m: found[m] for m in METRICS}
                 status, message = "ok", None
                 if folder:
                     save_model(model, f"{folder}/models/{e.name}", {"metrics": scores, "experiment": e.name}, self.spark)
@@ -372,13 +374,15 @@ def run_experiment(
     """One experiment on a wide table: prepare, select, split, fit or tune, evaluate, save.
 
     Returns ``(model, metrics, predictions)``. With ``fit_on="train"`` corrections, outlier limits
-    and selection learn from the training rows only; ``"all"`` lets them see every row.
+    and selection learn from the training rows only; ``"all"`` lets them see every row. The test share is
+    that of the labelled rows; outliers leave afterwards, as their limits are learnt on the training rows.
     """
     spark = df.sparkSession
     if fit_on not in ("train", "all"):
         raise ValueError("fit_on must be 'train' or 'all'")
     rows = durable(clean.drop_duplicates(df, row_id))
-    split = two_way_column(rows, row_id, test_size, seed)
+    known = rows.filter(columns.quoted(target).isNotNull()) if target in rows.columns else rows
+    split = two_way_column(known, row_id, test_size, seed)
     learn = split == "train" if fit_on == "train" else None
     stages = correction_stages(transform, savgol, window, polyorder, deriv)
     done = prepare_spectra(

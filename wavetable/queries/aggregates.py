@@ -103,6 +103,17 @@ def regression_metrics(spark, folder):
     return rounded_metrics(stats.evaluate(predicted_orders(spark, folder)))
 
 
+@query(
+    "rows_in_metrics",
+    """select user_id, count(*) filter (where event_type <> 'error')::bigint as n,
+    count(*) filter (where event_type = 'error')::bigint as n_skipped from events group by user_id""",
+)
+def rows_in_metrics(spark, folder):
+    guess = F.when(F.col("event_type") != "error", F.col("value") * 0.9)
+    rows = table(spark, folder, "events").select("user_id", F.col("value").alias("label"), guess.alias("prediction"))
+    return stats.evaluate(rows, by="user_id").select("user_id", "n", "n_skipped")
+
+
 SPLIT = """h as (select o_orderkey, row_number() over (order by md5('42:' || o_orderkey)) as r, count(*) over () as n from orders),
  sp as (select o_orderkey, case when r <= ceil(round(n * 0.2, 9)) then 'test'
    when r <= ceil(round(n * 0.2, 9)) + ceil(round((n - ceil(round(n * 0.2, 9))) * 0.25, 9)) then 'val' else 'train' end as split from h)"""

@@ -90,7 +90,34 @@ def pls_full_rank_two_channels(spark, folder):
     return scored.select("row_id", rounded("prediction").alias("prediction"))
 
 
-@query("pls_ten_components")
+def _deflated(value: str, components: int) -> list[str]:
+    """Views of a PLS fit by deflation: scores ``t<i>``, weights ``w<i>``, label loading and score sum of squares ``q<i>``."""
+    views = [
+        f"x0 as materialized (select row_id, k, {value} as v from l)",
+        "y0 as materialized (select row_id, label - avg(label) over () as y from t)",
+    ]
+    for i in range(1, components + 1):
+        views += [
+            f"""w{i} as materialized (select k, w / sqrt(sum(w * w) over ()) as w
+              from (select k, sum(v * y) as w from x{i - 1} join y0 using (row_id) group by k))""",
+            f"t{i} as materialized (select row_id, sum(v * w) as s from x{i - 1} join w{i} using (k) group by row_id)",
+            f"q{i} as materialized (select sum(s * y) / sum(s * s) as q, sum(s * s) as ss from t{i} join y0 using (row_id))",
+            f"p{i} as materialized (select k, sum(v * s) / any_value(ss) as p from x{i - 1} join t{i} using (row_id), q{i} group by k)",
+            f"x{i} as materialized (select row_id, k, v - s * p as v from x{i - 1} join t{i} using (row_id) join p{i} using (k))",
+        ]
+    return views
+
+
+_TEN = range(1, 11)
+_PLS_TEN = f"""select row_id, round((select avg(label) from t) + {" + ".join(f"(select q from q{i}) * t{i}.s" for i in _TEN)}, 6) + 0.0 as prediction
+ from t1 {" ".join(f"join t{i} using (row_id)" for i in _TEN[1:])}"""
+_VIP_TEN = f"""select k::bigint as k, 900.0::double + 10 * k as wavelength, round(score, 6) as score, r <= 20 as selected from (
+  select k, score, rank() over (order by score desc) as r from (
+  select k, 8.0 * sqrt(sum(ss * w * w) / (select {" + ".join(f"(select ss from q{i})" for i in _TEN)})) as score
+  from ({" union all ".join(f"select k, w, ss from w{i}, q{i}" for i in _TEN)}) group by k))"""
+
+
+@query("pls_ten_components", with_views(T, L, *_deflated("v - avg(v) over (partition by k)", 10), body=_PLS_TEN))
 def pls_ten_components(spark, folder):
     scans = spectra(spark, folder)
     scored = PLSRegressor(nComponents=10).fit(scans).transform(scans)
@@ -130,10 +157,13 @@ def vip_top_channels_with_ties(spark, folder):
     return _channel_rows(found.table(spark))
 
 
-@query("vip_ten_components")
+@query(
+    "vip_ten_components",
+    with_views(T, L, *_deflated("(v - avg(v) over (partition by k)) / stddev_samp(v) over (partition by k)", 10), body=_VIP_TEN),
+)
 def vip_ten_components(spark, folder):
     found = select.VIPSelector(nFeatures=20).fit(spectra(spark, folder))
-    return found.table(spark)
+    return _channel_rows(found.table(spark))
 
 
 @query("cars_channels")
