@@ -4,8 +4,8 @@ Documents with equal shingle sets are one class from the start, so copies cost o
 share a band are candidates. The signature sketch drops pairs that can't reach the threshold, and full sets
 decide. Within a bucket not all pairs are formed: every member meets the bucket's smallest class first, and
 after the components are known only pairs of classes that are still in different components are left. Those
-that can be links by the shingles that they hold beside the bucket's common ones are then decided too. So no
-link that changes a component is lost, and a large bucket of true copies costs one pair a member.
+that can be links by their deviations from the bucket's common shingles are then decided too. So no link that
+changes a component is lost, and a large bucket of true copies costs one pair a member.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ SKETCH, LEAST = 128, 70
 ROUNDS = 2
 #: Buckets of so many members give all pairs of different components; larger ones only pairs that can be links (see ``remaining``).
 FEW = 32
-#: A group is joined with itself in so many blocks a side.
+#: Members that share no more than a group's core meet in so many blocks a side.
 BLOCKS = 8
 PERCENT = 80
 
@@ -218,10 +218,12 @@ def remaining(members: DataFrame, texts: DataFrame, width: int, percent: int) ->
     """Pairs (a, b) of different components, among ``members`` (band, id, component) of one band, that can be links.
 
     Small bands give all their pairs. Large bands with the same most frequent component form a group, whose
-    core is the set of shingles that more than half of its members hold. Two members have at most min(core
-    shingles of a, of b) and the shingles that they share outside the core in common; only those for which
-    that is enough are pairs. No link is lost, and a large group of documents that are alike but not linked
-    gives few pairs.
+    core is the set of shingles that more than half of its members hold. A member's deviation is what it holds
+    beside the core and what it lacks of it. The symmetric difference of two members is that of their
+    deviations, so with excess = (100 + percent) * deviation - (100 - percent) * shingles they are linked if
+    and only if 2 * (100 + percent) * shared deviations >= the sum of both excesses. Pairs whose excesses need no
+    shared deviation are links and met in blocks. All others must share some, so a prefix filter finds them: of
+    each deviation, rarest first, only so many as leave fewer than must be shared. No link is lost.
     """
     per = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
     bands = written(per.groupBy("band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")))
@@ -232,33 +234,55 @@ def remaining(members: DataFrame, texts: DataFrame, width: int, percent: int) ->
     groups = bands.filter(F.col("n") > FEW).select("band", F.col("most.component").alias("group"))
     grouped = written(members.join(groups, "band").select("group", "id", "component").distinct())
     sets = shingle_sets(texts.join(grouped.select("id").distinct(), "id", "left_semi"), width)
-    rows = written(grouped.join(sets.dropDuplicates(["id"]), "id").select("group", "id", "component", F.explode("shingles").alias("shingle")))
+    full = written(grouped.join(sets.dropDuplicates(["id"]), "id"))
     of = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("of"))
-    held = rows.groupBy("group", "shingle").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
-    held = written(held.join(of, "group").select("group", "shingle", (F.col("n") * 2 > F.col("of")).alias("core"), (F.col("x") != F.col("y")).alias("mixed")))
-
-    inside = rows.join(held.filter("core").select("group", "shingle"), ["group", "shingle"]).groupBy("group", "id").agg(F.count(F.lit(1)).alias("core"))
-    sizes = rows.groupBy("group", "id", "component").agg(F.count(F.lit(1)).alias("size")).join(inside, ["group", "id"], "left")
-    sizes = written(sizes.withColumn("core", F.coalesce("core", F.lit(0))))
-    side = lambda c: [F.col("id").alias(c), F.col("component").alias(f"c{c}"), F.col("size").alias(f"n{c}"), F.col("core").alias(f"k{c}")]
-    enough = lambda both: (100 + percent) * both >= percent * (F.col("na") + F.col("nb"))
-
-    rest = rows.join(held.filter("mixed and not core").select("group", "shingle"), ["group", "shingle"]).join(sizes, ["group", "id", "component"])
-    x, y = (rest.select("group", "shingle", *side(c)) for c in "ab")
-    sharing = x.join(y, ["group", "shingle"]).filter("a < b and ca <> cb")
-    sharing = sharing.groupBy("group", "a", "b", "na", "nb", "ka", "kb").agg(F.count(F.lit(1)).alias("beside"))
-    sharing = sharing.filter(enough(F.least("ka", "kb") + F.col("beside"))).select("a", "b")
-
-    least = sizes.groupBy("group").agg(F.min("size").alias("least"))
-    able = sizes.join(least, "group").filter((100 + percent) * F.col("core") >= percent * (F.col("size") + F.col("least")))
-    able = written(able.select("group", "id", "component", "size", "core"))
-    block, every = F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
+    held = full.select("group", F.explode("shingles").alias("shingle")).groupBy("group", "shingle").agg(F.count(F.lit(1)).alias("n"))
+    # at most twice the mean number of shingles of a member
+    core = held.join(of, "group").filter(F.col("n") * 2 > F.col("of")).groupBy("group").agg(F.collect_list("shingle").alias("core"))
+    with_core = full.join(written(core), "group", "left").withColumn("core", F.coalesce("core", F.array().cast("array<bigint>")))
+    deviation = F.concat(F.array_except("shingles", "core"), F.array_except("core", "shingles"))
+    excess = (100 + percent) * F.size("deviation").cast("long") - (100 - percent) * F.size("shingles").cast("long")
+    apart = with_core.withColumn("deviation", deviation).withColumn("excess", excess).withColumn("n", F.size("shingles"))
+    apart = written(apart.select("group", "id", "component", "n", "excess", "deviation", (F.col("component") == F.col("group")).alias("main")))
+
+    least = written(
+        apart.groupBy("group").agg(
+            F.min("excess").alias("least"),
+            F.min(F.when(F.col("main"), F.col("excess"))).alias("least_main"),
+            F.min(F.when(~F.col("main"), F.col("excess"))).alias("least_other"),
+        )
+    )
     # one end of each pair is outside the group's most frequent component
-    x = able.filter(F.col("component") != F.col("group")).select("group", *side("a"), block.alias("i")).withColumn("j", every)
+    able = written(apart.join(least, "group").filter(F.col("excess") + F.col("least") <= 0).select("group", "id", "component", "excess", "main"))
+    side = lambda c: [F.col("id").alias(c), F.col("component").alias(f"c{c}"), F.col("excess").alias(f"e{c}")]
+    block, every = F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
+    x = able.filter(~F.col("main")).select("group", *side("a"), block.alias("i")).withColumn("j", every)
     y = able.select("group", *side("b"), block.alias("j")).withColumn("i", every)
-    bounded = x.join(y, ["group", "i", "j"]).filter((F.col("ca") != F.col("cb")) & enough(F.least("ka", "kb")))
+    bounded = x.join(y, ["group", "i", "j"]).filter("ca <> cb and ea + eb <= 0")
     bounded = bounded.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return direct.union(sharing).union(bounded)
+
+    rows = written(apart.select("group", "id", "component", "main", "n", "excess", F.explode("deviation").alias("shingle")))
+    shared = rows.groupBy("group", "shingle").agg(F.count(F.lit(1)).alias("held"), F.min("component").alias("x"), F.max("component").alias("y"))
+    rows = rows.join(shared.filter("x <> y").select("group", "shingle", "held"), ["group", "shingle"]).join(least, "group")
+    # what a member must share with any partner: by the partner's excess, and as a partner's deviation holds at least what is shared
+    by_size = (F.col("excess") - (100 - percent) * 100 * F.col("n") / percent) / (100 + percent)
+    must = lambda other: F.greatest(F.lit(1), F.ceil((F.col("excess") + F.col(other)) / (2 * (100 + percent))), F.ceil(by_size))
+    member = Window.partitionBy("group", "id")
+    rows = rows.withColumn("place", F.row_number().over(member.orderBy("held", "shingle"))).withColumn("count", F.count(F.lit(1)).over(member))
+    within = lambda other: F.col("place") <= F.col("count") - must(other) + 1
+    rows = rows.select("group", "shingle", "id", "component", "main", "excess", "count", within("least_main").alias("wide"), within("least_other").alias("narrow"))
+    rows = written(rows.filter("narrow or (wide and not main)"))
+
+    def meeting(a: DataFrame, b: DataFrame, condition: str) -> DataFrame:
+        x, y = (t.select("group", "shingle", *side(c), F.col("count").alias(f"n{c}")) for t, c in ((a, "a"), (b, "b")))
+        pairs = x.join(y, ["group", "shingle"]).filter(condition)
+        pairs = pairs.filter(2 * (100 + percent) * F.least("na", "nb") >= F.col("ea") + F.col("eb"))
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    mains, others = rows.filter("main and narrow"), rows.filter("not main")
+    crossing = meeting(mains, others.filter("wide"), "ca <> cb")
+    outside = meeting(others.filter("narrow"), others.filter("narrow"), "a < b and ca <> cb")
+    return direct.union(bounded).union(crossing).union(outside)
 
 
 def links(signed: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
