@@ -117,6 +117,23 @@ def test_exact_median_with_ties_and_a_hot_group(spark):
     assert found == {k: float(np.median(v)) for k, v in values.items()}
 
 
+def test_exact_median_of_a_table(spark):
+    """Heavy values at the middle, NaN last, missing values and no values at all."""
+    rng = np.random.default_rng(5)
+    values = np.concatenate([np.full(30_000, 1.5), rng.normal(size=29_000), np.full(1001, 1.25)])
+    rows = [(float(v),) for v in values] + [(None,), (float("nan"),)]
+    df = spark.createDataFrame(rows, "v double")
+    expected = float(np.median(np.append(values, np.inf)))
+    assert position.exact_median(df, [], "v", accuracy=100).collect() == [(expected,)]
+    assert position.exact_median(df.filter("v is null"), [], "v").collect() == [(None,)]
+
+
+def test_replicate_medians_of_several_columns(spark):
+    df = spark.createDataFrame([("a", 1.0, None), ("a", 3.0, None), ("b", None, 4.0), (None, 7.0, 8.0)], "s string, x double, y double")
+    rows = {r["s"]: (r["x"], r["y"]) for r in stats.replicate_columns(df, "s", ["x", "y"], "median").collect()}
+    assert rows == {"a": (2.0, None), "b": (None, 4.0), None: (7.0, 8.0)}
+
+
 def test_exact_median_beyond_the_sketch_accuracy(spark):
     df = spark.range(50_001).select(F.lit(1).alias("k"), ((F.col("id") * 7919) % 50_001).cast("double").alias("v"))
     assert position.exact_median(df, "k", "v", accuracy=100).first()["median"] == 25_000.0
