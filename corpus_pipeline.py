@@ -20,8 +20,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that more than a tenth of their source's documents hold; n_chars follows the text."""
-    clean = line_dedup.drop_boilerplate(docs, host_col="source")
+    """Documents without the lines that more than a tenth of their source's distinct documents hold; n_chars follows the text."""
+    clean = line_dedup.drop_boilerplate(docs, host_col="source", copies_once=True)
     if "n_chars" not in docs.columns:
         return clean
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))

@@ -132,6 +132,27 @@ def test_lines(spark):
     assert line_dedup.drop_boilerplate(pages.limit(0)).collect() == []
 
 
+def test_copied_documents_stay_in_line_dedup(spark):
+    """Exact and near copies that hold a third of a source don't make their own lines boilerplate."""
+    template, rows = [prose(300 + k, 30) for k in range(6)], []
+    for k in range(40):
+        rows.append((k, f"license\n{prose(400 + k, 40)}\n{prose(500 + k, 9)}", "s"))
+    rows += [(100 + k, "license\n" + prose(600, 30) + "\n" + prose(601, 20), "s") for k in range(20)]
+    rows += [(150 + k, prose(602, 25), "s") for k in range(30)]
+    for k in range(20):
+        lines = [x.split() for x in template]
+        lines[k % 6][7] = f"own{k}"
+        rows.append((200 + k, "\n".join(map(" ".join, lines)), "s"))
+    parts = [prose(700 + k, 12) for k in range(5)]  # far from each other, but without a line of their own
+    rows += [(300 + k, "\n".join(p for j, p in enumerate(parts) if k >> j & 1), "t") for k in range(1, 32)]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, source string, n_chars long").repartition(3)
+    clean = corpus_pipeline.written(corpus_pipeline.without_boilerplate(spark, docs, SF))
+    found = {r.doc_id: (r.text, r.n_chars) for r in clean.collect()}
+    assert found == {i: (t := text.removeprefix("license\n"), len(t)) for i, text, _ in rows}
+    left = {r.doc_id for r in corpus_pipeline.one_of_each(spark, clean, SF).collect()}
+    assert {i for i in left if i < 300} == {*range(40), 100, 150, 200}
+
+
 # --- near duplicates
 
 

@@ -33,6 +33,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text, as a string; a null text has a key of its own."""
+    text = text.cast("string")
+    return F.concat(F.hex(F.xxhash64(text)), F.lit("-"), F.hex(F.xxhash64(F.lit("text"), text)))
+
+
 def fresh(*taken: str, base: str) -> str:
     """A column name that is not in ``taken``; names compare without case, as Spark's do."""
     used = {t.lower() for t in taken}

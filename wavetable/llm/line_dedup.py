@@ -10,12 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavetable.llm.common import fresh
+from wavetable.llm.common import fresh, text_key, written
+from wavetable.llm.minhash import PERCENT, components
 
 RATIO, MIN_PAGES = 0.1, 5
 #: A host's rows are dealt to so many tasks at first; skew joins split them further.
 SALTS = 32
 BLANKS = " \t\r"
+#: Near copies: texts that share PERCENT of their WIDTH-word shingles; such a pair shares none of the bands with 6e-4.
+WIDTH, BANDS, ROWS = 5, 14, 4
 
 
 def line_key(line: Column) -> Column:
@@ -33,6 +36,23 @@ def host_key(host: Column) -> Column:
     return F.when(host.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), host.cast("string")))
 
 
+def line_keys(text: Column) -> Column:
+    """Keys of the distinct visible lines of a text."""
+    return F.array_distinct(F.transform(F.filter(F.split(text, "\n", -1), visible), line_key))
+
+
+def frequent(lines: DataFrame, totals: DataFrame, ratio: float, min_pages: int) -> DataFrame:
+    """(host, a, b) of the ``lines`` (host, line) that more than ``ratio`` of the host's pages (host, pages) hold, and ``min_pages`` at least."""
+    counted = lines.groupBy("host", F.col("line.a").alias("a"), F.col("line.b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.filter(F.col("n") >= min_pages).withColumn("salt", F.pmod("a", F.lit(SALTS)))
+    totals = totals.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return counted.join(totals, ["host", "salt"]).filter(F.col("n") > F.col("pages") * F.lit(ratio)).select("host", "a", "b")
+
+
+def by_host(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("lines"))
+
+
 def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, lines): keys of the boilerplate lines of each host that has some.
 
@@ -40,28 +60,66 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RAT
     Blank lines don't count. The lines of a host number at most its mean number of lines a page divided by
     ``ratio``, so the arrays are bounded. Lines on fewer than ``min_pages`` pages of a host are kept.
     """
-    lines = F.transform(F.filter(F.split(text, "\n", -1), visible), line_key)
-    counted = pages.select(host_key(host).alias("host"), F.explode(F.array_distinct(lines)).alias("line"))
-    counted = counted.groupBy("host", F.col("line.a").alias("a"), F.col("line.b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    counted = counted.filter(F.col("n") >= min_pages).withColumn("salt", F.pmod("a", F.lit(SALTS)))
+    counted = pages.select(host_key(host).alias("host"), F.explode(line_keys(text)).alias("line"))
     totals = pages.groupBy(host_key(host).alias("host")).agg(F.count(F.lit(1)).alias("pages"))
-    totals = totals.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    often = counted.join(totals, ["host", "salt"]).filter(F.col("n") > F.col("pages") * F.lit(ratio))
-    return often.groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("lines"))
+    return by_host(frequent(counted, totals, ratio, min_pages))
+
+
+def near_copies(texts: DataFrame) -> DataFrame:
+    """(key, group) of the ``texts`` (key, text) that have a near copy; the members of a bucket meet one of them, drawn for each bucket."""
+    parts = F.filter(F.split(F.lower("text"), "[\\x20\\x09-\\x0D]+", -1), lambda w: w != "")
+    hashed = written(texts.select("key", F.transform(parts, lambda w: F.xxhash64(w)).alias("words")).filter(F.size("words") > 0))
+    first = F.sequence(F.lit(1), F.greatest(F.size("words") - WIDTH + 1, F.lit(1)))
+    sets = written(hashed.select("key", F.array_distinct(F.transform(first, lambda k: F.xxhash64(F.slice("words", k, WIDTH)))).alias("shingles")))
+    least = [F.array_min(F.transform("shingles", lambda x, k=k: F.xxhash64(x, F.lit(k)))) for k in range(BANDS * ROWS)]
+    bands = F.array(*[F.xxhash64(F.lit(k), *least[k * ROWS : (k + 1) * ROWS]) for k in range(BANDS)])
+    members = written(sets.select("key", F.explode(bands).alias("band")))
+    centres = members.groupBy("band").agg(F.min_by("key", F.xxhash64("key", "band")).alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    pairs = members.join(centres, "band").filter("key <> centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct()
+    x, y = (sets.select(F.col("key").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+    both = F.size(F.array_intersect("sa", "sb"))
+    close = pairs.join(x, "a").join(y, "b").filter(100 * both >= PERCENT * (F.size("sa") + F.size("sb") - both))
+    return components(close.select("a", "b")).select(F.col("id").alias("key"), F.col("component").alias("group"))
+
+
+def boilerplate_of_distinct(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """The same with exact and near copies as one page of their host, in the counts of lines and of pages alike.
+
+    A line has to be frequent twice: among the distinct texts of a host, and among those that hold more than
+    frequent lines, with near copies as one. So copies never make their own lines boilerplate, however many
+    there are, and a text gets empty only if others with a text of their own hold all its lines.
+    """
+    rows = pages.select(host_key(host).alias("host"), text_key(text).alias("key"), text.cast("string").alias("text"))
+    texts = written(rows.select("host", "key", line_keys(F.col("text")).alias("lines")).groupBy("host", "key").agg(F.first("lines").alias("lines")))
+    of = lambda t: t.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    often = written(frequent(texts.select("host", F.explode("lines").alias("line")), of(texts), ratio, min_pages))
+    if often.isEmpty():
+        return by_host(often)
+    lines = texts.select("host", "key", F.size("lines").alias("all"), F.explode("lines").alias("line"))
+    held = written(lines.select("*", "line.a", "line.b").join(often, ["host", "a", "b"], "left_semi").select("host", "key", "all", "line"))
+    whole = held.groupBy("host", "key", "all").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == F.col("all")).select("host", "key")
+    held, others = (t.join(whole, ["host", "key"], "left_anti") for t in (held, texts.select("host", "key")))
+    suspects = rows.select("key", "text").dropDuplicates(["key"]).join(held.select("key").distinct(), "key", "left_semi")
+    groups = near_copies(suspects)
+    one = lambda t, *also: t.join(groups, "key", "left").select("host", F.coalesce("group", "key").alias("group"), *also).distinct()
+    return by_host(frequent(one(held, "line"), of(one(others)), ratio, min_pages))
 
 
 def drop_boilerplate(
-    pages: DataFrame, host_col: str = "host", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, dropped: str | None = None
-) -> DataFrame:
+    pages: DataFrame, host_col: str = "host", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, dropped: str | None = None,
+    copies_once: bool = False,
+) -> DataFrame:
     """``pages`` with their text cut by the boilerplate lines; ``dropped`` names a column for their number.
 
     All rows and columns stay, in their order; a null text stays null, a text of boilerplate alone gets
-    empty. Lines are compared without outer blanks and kept as they are.
+    empty. Lines are compared without outer blanks and kept as they are. With ``copies_once`` the exact and
+    near copies of a text count as one page, so that they don't make each other's lines boilerplate.
     """
     names = pages.columns
     host, lines, salt = (fresh(*names, base=b) for b in ("host_key", "bad_lines", "salt"))
     text = F.col(text_col)
-    bad = boilerplate(pages, F.col(host_col), text, ratio, min_pages).select(
+    find = boilerplate_of_distinct if copies_once else boilerplate
+    bad = find(pages, F.col(host_col), text, ratio, min_pages).select(
         F.col("host").alias(host),
         F.col("lines").alias(lines),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias(salt),
