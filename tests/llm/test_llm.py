@@ -233,6 +233,22 @@ def test_keep_first(docs):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 6, 7, 8, 10, 11, 12]
 
 
+def test_keep_first_with_null_and_reused_ids(spark):
+    """Rows are told apart by their texts; a null id or one used again loses no text."""
+    one, two, three = prose(31, 60), prose(32, 60), prose(33, 60)
+    near = one.replace(one.split()[-1], "changed")
+    rows = [(None, one), (None, two), (None, two), (1, three), (1, None), (1, near), (2, three), (2, ""), (None, None), (None, " \n")]
+    table = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, row int").repartition(3)
+    kept = minhash.keep_first(table)
+    assert kept.columns == table.columns and kept.dtypes == table.dtypes
+    got = kept.collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted(
+        [(0, two), (1, three), (1, near), (1, ""), (2, ""), (0, ""), (0, " \n")]
+    )
+    assert {r.row for r in got} >= {3, 4, 5, 7, 8, 9}
+    assert minhash.keep_first(table.limit(0)).collect() == []
+
+
 def test_components_of_a_path(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 200), (200, 300), (7, 7)]
     out = minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()

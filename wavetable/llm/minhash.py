@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavetable.llm.common import fresh, written
+from wavetable.llm.common import text_key, written
 
 #: A pair at the threshold of 0.8 shares none of the bands with a probability of (1 - 0.8 ** ROWS) ** BANDS = 3e-8.
 BANDS, ROWS = 57, 6
@@ -341,9 +341,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = PERCENT) -> DataFrame:
-    """Rows of ``docs`` whose document is kept; all columns stay. Of exact repeats of a kept row one stays."""
-    name = fresh(*docs.columns, base="kept_id")
-    kept = near_duplicates(docs, id_col, text_col, width, percent).filter("kept").select(F.col(id_col).alias(name)).distinct()
-    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
-    number = fresh(*docs.columns, base="number")
-    return rows.withColumn(number, F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).filter(F.col(number) == 1).drop(number)
+    """Rows of ``docs`` without near duplicates; all columns stay.
+
+    Rows are compared by their texts alone, so ids may be null or used again. Of each component (see
+    ``near_duplicates``) the row with the smallest id stays, null ids last; of exact repeats one. Every row
+    without words stays.
+    """
+    text = F.col(text_col).cast("string")
+    worded = F.coalesce(text.rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    hashed = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), text_key(text), F.xxhash64(*hashed))
+    rows = docs.filter(worded).select(text_key(text).alias("key"), F.struct(*docs.columns).alias("row"), order.alias("order"))
+    texts = written(rows.groupBy("key").agg(F.min_by("row", "order").alias("row"), F.min("order").alias("order")))
+    found = near_duplicates(texts.select("key", F.col("row").getField(text_col).alias("text")), "key", "text", width, percent)
+    first = found.join(texts.select("key", "order"), "key").groupBy("component_id").agg(F.min_by("key", "order").alias("key"))
+    kept = texts.join(first, "key", "left_semi").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return kept.unionAll(docs.filter(~worded))
