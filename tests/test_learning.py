@@ -294,3 +294,47 @@ def test_spaces_are_well_formed():
             for name, part in space.items():
                 if isinstance(part, search.Range) and name in again:
                     assert part.low <= again[name] <= part.high
+
+
+@pytest.mark.parametrize("name", [
+    "random_forest", "gradient_boosting", "leafwise_boosting", "model_factory", "tree_importances", "grid_search_forest",
+    "adaptive_search", "genetic_history", "single_experiment", "tuned_experiment", "experiment_study",
+])
+def test_registered_learners_run_their_whole_job(spark, monkeypatch, name):
+    """The operators are called without smaller forests, fewer rounds or smaller grids than their defaults."""
+    import contextlib
+    from unittest.mock import MagicMock
+
+    from wavetable.queries import learning
+
+    calls = []
+
+    def called(*args, **options):
+        calls.append((args, options))
+        if name != "model_factory":
+            raise InterruptedError
+        return MagicMock()
+
+    for module, operator in (
+        (learning.regress, "train_model"), (learning.search, "grid_search"), (learning.search, "adaptive_search"),
+        (learning.select, "GeneticSelector"), (learning.jobs, "run_experiment"), (learning.jobs.Study, "run"),
+    ):
+        monkeypatch.setattr(module, operator, called)
+    made = []
+    monkeypatch.setattr(learning.jobs.Study, "__init__", lambda self, *args, **options: made.append(options))
+    for helper in ("spectra", "wide", "assign_splits", "stats"):
+        monkeypatch.setattr(learning, helper, MagicMock())
+    with contextlib.suppress(InterruptedError):
+        learning_query(name)(MagicMock(), "")
+    assert calls and not any(made)
+    for args, options in calls:
+        assert not {"n_trials", "selector_options", "population", "generations", "folds", "grid"} & set(options)
+        assert not any(isinstance(a, dict) and a for a in args)
+    if name == "experiment_study":
+        assert [e.params for e in args[-1]] == [e.params for e in learning.jobs.standard_study()]
+
+
+def learning_query(name):
+    from wavetable.queries import QUERIES
+
+    return QUERIES[name]

@@ -196,7 +196,7 @@ def genetic_channels(spark, folder):
 
 @query("genetic_history")
 def genetic_history(spark, folder):
-    found = select.GeneticSelector(nFeatures=10, population=20, generations=5).fit(spectra(spark, folder))
+    found = select.GeneticSelector(nFeatures=10).fit(spectra(spark, folder))
     return stats.generation_stats(found.history(spark))
 
 
@@ -255,19 +255,18 @@ def _scored(model_type, **params):
 
 query("support_vector_linear")(_scored("svr", kernel="linear"))
 query("support_vector_rbf")(_scored("svr", kernel="rbf"))
-query("random_forest")(_scored("rf", n_estimators=20, max_depth=8))
-query("gradient_boosting")(_scored("xgb", n_estimators=20))
-query("leafwise_boosting")(_scored("lgbm", n_estimators=10, num_leaves=15))
+query("random_forest")(_scored("rf"))
+query("gradient_boosting")(_scored("xgb"))
+query("leafwise_boosting")(_scored("lgbm"))
 
 
 @query("model_factory")
 def model_factory(spark, folder):
     """Every model type by name, fitted and scored on the same rows."""
-    light = {"rf": {"n_estimators": 10, "max_depth": 5}, "xgb": {"n_estimators": 5}, "lgbm": {"n_estimators": 5, "num_leaves": 8}}
     scans = spectra(spark, folder)
     rows = None
     for name in regress.DEFAULTS:
-        scored = regress.train_model(scans, name, light.get(name)).transform(scans)
+        scored = regress.train_model(scans, name).transform(scans)
         one = stats.evaluate(scored).withColumn("model", F.lit(name))
         rows = one if rows is None else rows.unionByName(one)
     return rows
@@ -275,7 +274,7 @@ def model_factory(spark, folder):
 
 @query("tree_importances")
 def tree_importances(spark, folder):
-    model = regress.train_model(spectra(spark, folder), "rf", {"n_estimators": 20, "max_depth": 6})
+    model = regress.train_model(spectra(spark, folder), "rf")
     return regress.feature_importances(model, spark, NAMES)
 
 
@@ -324,14 +323,13 @@ def random_search(spark, folder):
 
 @query("adaptive_search")
 def adaptive_search(spark, folder):
-    return search.adaptive_search(spectra(spark, folder), "pls", n_trials=30, refit=False).table(spark)
+    return search.adaptive_search(spectra(spark, folder), "pls", refit=False).table(spark)
 
 
 @query("grid_search_forest")
 def grid_search_forest(spark, folder):
     """A learner that has to be refitted for every fold."""
-    grid = {"n_estimators": [5], "max_depth": [3, 6]}
-    return search.grid_search(spectra(spark, folder), "rf", grid, folds=3, refit=False).table(spark)
+    return search.grid_search(spectra(spark, folder), "rf", refit=False).table(spark)
 
 
 @query(
@@ -355,7 +353,6 @@ def single_experiment(spark, folder):
     """One experiment on the wide table: outliers, SNV, Savitzky-Golay, CARS, PLS."""
     _, metrics, _ = jobs.run_experiment(
         wide(spark, folder), "Brix", "pls", "snv", savgol=True, deriv=1, selection="cars", n_features=20,
-        selector_options={"runs": 30},
     )
     return metrics
 
@@ -363,23 +360,15 @@ def single_experiment(spark, folder):
 @query("tuned_experiment")
 def tuned_experiment(spark, folder):
     _, metrics, _ = jobs.run_experiment(
-        wide(spark, folder), "Brix", "pls", "msc", tuned=True, n_trials=15, remove_outliers=False,
+        wide(spark, folder), "Brix", "pls", "msc", tuned=True, remove_outliers=False,
     )
     return metrics
 
 
 @query("experiment_study")
 def experiment_study(spark, folder):
-    """The 27 standard experiments with small trees; a failed one is recorded."""
-    light = {"rf": {"n_estimators": 10, "max_depth": 5}, "xgb": {"n_estimators": 10}}
-    plan = jobs.standard_study()
-    for e in plan:
-        e.params.update(light.get(e.model_type, {}))
-    study = jobs.Study(
-        spectra(spark, folder), selectors={"cars": {"runs": 30}, "ga": {"population": 30, "generations": 10}},
-        grids={"rf": {"n_estimators": [5, 10], "max_depth": [3, 5]}},
-    )
-    return study.run(plan).drop("seconds", "message")
+    """The 27 standard experiments; a failed one is recorded."""
+    return jobs.Study(spectra(spark, folder)).run(jobs.standard_study()).drop("seconds", "message")
 
 
 @query("prepared_dataset")
