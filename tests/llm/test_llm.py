@@ -322,6 +322,25 @@ def test_leaks(spark):
     assert decontamination.leaks(docs, bench.limit(0)).collect() == [] == decontamination.leaks(docs.limit(0), bench).collect()
 
 
+def test_contamination_is_dropped_block_by_block(spark, monkeypatch):
+    """No more than one block of items is taken before the documents of the block before are written."""
+    items = [prose(800 + k, 12) for k in range(3)]
+    docs = spark.createDataFrame([(k, f"a {t} b") for k, t in enumerate([*items, prose(810, 40)])], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    events, blocks, written = [], decontamination.blocks, decontamination.written
+
+    def noted(*args):
+        for chunk in blocks(*args):
+            events.append("block")
+            yield chunk
+
+    monkeypatch.setattr(decontamination, "BLOCK_ITEMS", 1)
+    monkeypatch.setattr(decontamination, "blocks", noted)
+    monkeypatch.setattr(decontamination, "written", lambda df: events.append("written") or written(df))
+    assert [r.doc_id for r in decontamination.drop_contaminated(docs, bench).collect()] == [3]
+    assert events == ["block", "block", "written", "block", "written"]
+
+
 # --- secrets
 
 

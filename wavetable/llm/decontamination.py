@@ -206,9 +206,9 @@ def drop_contaminated(
 
         return run
 
-    at, chunks = docs.columns.index(text_col), list(blocks(benchmark, item_col, item_text, min_words))
-    for k, chunk in enumerate(chunks):
-        docs = docs.mapInArrow(keep(chunk), docs.schema)
-        if k + 1 < len(chunks):
+    at, first = docs.columns.index(text_col), True
+    for chunk in blocks(benchmark, item_col, item_text, min_words):
+        if not first:
             docs = written(docs)
+        docs, first = docs.mapInArrow(keep(chunk), docs.schema), False
     return docs
