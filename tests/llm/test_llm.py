@@ -322,6 +322,17 @@ def test_leaks(spark):
     assert decontamination.leaks(docs, bench.limit(0)).collect() == [] == decontamination.leaks(docs.limit(0), bench).collect()
 
 
+def test_leaks_of_short_items(spark):
+    """Few words have to occur whole and exactly; a long item without spaces is searched with edits."""
+    script = "".join(chr(0x4E00 + (7 * k * k) % 5000) for k in range(60))
+    rows = [(1, "Say: too, SHORT!"), (2, "too shorter, not too"), (3, f"x {script[:30]}Q{script[31:]} y"), (4, "tooshort"), (5, "into short"), (6, "too short too short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "Too short"), (2, script), (3, "..."), (4, "")], "item_id long, text string")
+    found = sorted(tuple(r) for r in decontamination.leaks(docs, bench).collect())
+    assert found == [(1, 1, 0, 5, 15), (3, 2, 1, 2, 62), (6, 1, 0, 0, 9), (6, 1, 0, 10, 19)]
+    assert sorted(r.doc_id for r in decontamination.drop_contaminated(docs, bench).collect()) == [2, 4, 5]
+
+
 def test_contamination_is_dropped_block_by_block(spark, monkeypatch):
     """No more than one block of items is taken before the documents of the block before are written."""
     items = [prose(800 + k, 12) for k in range(3)]

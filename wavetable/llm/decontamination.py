@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 from wavetable.llm.common import written
 
-#: Edits allowed for 100 characters of an item; items of fewer words would match by chance and are left out.
-PERCENT, MIN_WORDS = 6, 8
+#: Edits allowed for 100 characters of an item; items of fewer words and characters would match by chance and have to occur exactly.
+PERCENT, MIN_WORDS, MIN_CHARS = 6, 8, 40
 #: Items of one pass over the documents: bounds what is sent to the tasks.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 8_000_000
 WORD = re.compile(r"\w+")
@@ -71,10 +71,11 @@ def occurrence(item: str, text: str, near: int, edits: int) -> tuple[int, int, i
 class Items:
     """Test items as an automaton over their pieces."""
 
-    def __init__(self, items: list[tuple[object, str]], percent: int):
+    def __init__(self, items: list[tuple[object, str]], percent: int, min_words: int = MIN_WORDS):
         import ahocorasick
 
-        self.items = [(key, text, budget(len(text), percent)) for key, text in items]
+        self.short = [text.count(" ") + 1 < min_words and len(text) < MIN_CHARS for _, text in items]
+        self.items = [(key, text, 0 if short else budget(len(text), percent)) for (key, text), short in zip(items, self.short)]
         places: dict[str, list[tuple[int, int]]] = {}
         for k, (_, text, edits) in enumerate(self.items):
             for offset, piece in pieces(text, edits):
@@ -86,14 +87,20 @@ class Items:
             self.automaton.make_automaton()
 
     def hits(self, text: str) -> list[tuple[object, int, int, int]]:
-        """(item, distance, start, end) in the normal form ``text``; overlapping occurrences of an item count once, the closest."""
+        """(item, distance, start, end) in the normal form ``text``; overlapping occurrences of an item count once, the closest.
+
+        Short items occur without edits and between word borders only.
+        """
         if not len(self.automaton):
             return []
         tried, found = set(), {}
         for last, (length, where) in self.automaton.iter(text):
             for k, offset in where:
                 near = last + 1 - length - offset
-                if (k, near) not in tried:
+                if self.short[k]:
+                    if text[near - 1 : near] in ("", " ") and text[last + 1 : last + 2] in ("", " "):
+                        found.setdefault(k, set()).add((0, near, last + 1))
+                elif (k, near) not in tried:
                     tried.add((k, near))
                     got = occurrence(self.items[k][1], text, max(0, near), self.items[k][2])
                     if got:
@@ -102,7 +109,7 @@ class Items:
         for k, places in sorted(found.items()):
             taken: list[tuple[int, int]] = []
             for distance, start, end in sorted(places):
-                if all(end <= a or start >= b for a, b in taken):
+                if (not taken or start >= taken[-1][1]) if self.short[k] else all(end <= a or start >= b for a, b in taken):
                     taken.append((start, end))
                     out.append((self.items[k][0], distance, start, end))
         return out
@@ -131,11 +138,11 @@ def source_places(text: str) -> list[int]:
     return [k for k, c in enumerate(text) for _ in c.lower()]
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, min_words: int):
-    """Blocks of bounded size of (item, normal form), read one after the other."""
+def blocks(benchmark: DataFrame, item_col: str, text_col: str):
+    """Blocks of bounded size of (item, normal form), read one after the other; items without words are left out."""
     rows = benchmark.select(F.col(item_col), F.col(text_col).cast("string")).filter(F.col(text_col).isNotNull()).toLocalIterator()
     cleaned = ((r[0], normal(r[1])) for r in rows)
-    usable = (x for x in cleaned if x[1].count(" ") + 1 >= min_words)
+    usable = (x for x in cleaned if x[1])
     while chunk := list(islice(usable, 1)):
         size = len(chunk[0][1])
         while len(chunk) < BLOCK_ITEMS and size < BLOCK_CHARS and (more := next(usable, None)):
@@ -151,8 +158,9 @@ def leaks(
     """(id, item, distance, start, end): occurrences of test items in whole texts, in code points.
 
     Each block of items is one pass over the documents, so the size of the benchmark is not limited. Null and
-    empty texts have no hits, nor have items of fewer than ``min_words`` words. Repeated rows give their hits
-    each; repeated items count each. Other columns are not carried on.
+    empty texts have no hits, nor have items without words. Items of fewer than ``min_words`` words and MIN_CHARS
+    characters have to occur whole and without edits. Repeated rows give their hits each; repeated items count
+    each. Other columns are not carried on.
     """
     schema = T.StructType(
         [
@@ -167,7 +175,7 @@ def leaks(
 
     def search(items):
         def run(batches):
-            tool = Items(items, percent)
+            tool = Items(items, percent, min_words)
             for batch in batches:
                 for low in range(0, len(batch), 512):
                     texts = batch.column(1).slice(low, 512).to_pylist()
@@ -183,7 +191,7 @@ def leaks(
     from pyspark.sql.pandas.types import to_arrow_type
 
     from_arrow = to_arrow_type(benchmark.schema[item_col].dataType)
-    found = [written(search(chunk)) for chunk in blocks(benchmark, item_col, item_text, min_words)]
+    found = [written(search(chunk)) for chunk in blocks(benchmark, item_col, item_text)]
     if not found:
         return docs.sparkSession.createDataFrame([], schema)
     out = found[0]
@@ -199,7 +207,7 @@ def drop_contaminated(
 
     def keep(items):
         def run(batches):
-            tool = Items(items, percent)
+            tool = Items(items, percent, min_words)
             for batch in batches:
                 clean = [not tool.hits(normal(t or "")) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
@@ -207,7 +215,7 @@ def drop_contaminated(
         return run
 
     at, first = docs.columns.index(text_col), True
-    for chunk in blocks(benchmark, item_col, item_text, min_words):
+    for chunk in blocks(benchmark, item_col, item_text):
         if not first:
             docs = written(docs)
         docs, first = docs.mapInArrow(keep(chunk), docs.schema), False
