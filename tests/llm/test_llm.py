@@ -223,6 +223,16 @@ def test_remaining_keeps_every_link(spark, monkeypatch):
     assert linked and linked <= {tuple(p) for p in pairs.collect()}
 
 
+def test_remaining_searches_every_text_of_an_id(spark, monkeypatch):
+    """In a large bucket, an id with two texts is linked to the partners of both."""
+    monkeypatch.setattr(minhash, "FEW", 1)
+    one, two = prose(41, 60), prose(42, 60)
+    rows = [(0, one), (0, two), (1, one.replace(one.split()[30], "changed")), (2, two.replace(two.split()[30], "changed"))]
+    members = spark.createDataFrame([(0, k, k) for k in range(3)], "band long, id long, component long")
+    pairs = minhash.remaining(members, spark.createDataFrame(rows, "id long, text string"), 2, 80)
+    assert {(0, 1), (0, 2)} <= {tuple(p) for p in pairs.collect()}
+
+
 def test_near_duplicates_of_nothing(empty):
     assert minhash.near_duplicates(empty).collect() == []
 

@@ -234,8 +234,9 @@ def remaining(members: DataFrame, texts: DataFrame, width: int, percent: int) ->
     groups = bands.filter(F.col("n") > FEW).select("band", F.col("most.component").alias("group"))
     grouped = written(members.join(groups, "band").select("group", "id", "component").distinct())
     sets = shingle_sets(texts.join(grouped.select("id").distinct(), "id", "left_semi"), width)
-    full = written(grouped.join(sets.dropDuplicates(["id"]), "id"))
-    of = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("of"))
+    # each set of an id that has several texts is a member of its own
+    full = written(grouped.join(sets.withColumn("set", F.xxhash64("shingles")).dropDuplicates(["id", "set"]), "id"))
+    of = full.groupBy("group").agg(F.count(F.lit(1)).alias("of"))
     held = full.select("group", F.explode("shingles").alias("shingle")).groupBy("group", "shingle").agg(F.count(F.lit(1)).alias("n"))
     # at most twice the mean number of shingles of a member
     core = held.join(of, "group").filter(F.col("n") * 2 > F.col("of")).groupBy("group").agg(F.collect_list("shingle").alias("core"))
@@ -243,7 +244,7 @@ def remaining(members: DataFrame, texts: DataFrame, width: int, percent: int) ->
     deviation = F.concat(F.array_except("shingles", "core"), F.array_except("core", "shingles"))
     excess = (100 + percent) * F.size("deviation").cast("long") - (100 - percent) * F.size("shingles").cast("long")
     apart = with_core.withColumn("deviation", deviation).withColumn("excess", excess).withColumn("n", F.size("shingles"))
-    apart = written(apart.select("group", "id", "component", "n", "excess", "deviation", (F.col("component") == F.col("group")).alias("main")))
+    apart = written(apart.select("group", "id", "set", "component", "n", "excess", "deviation", (F.col("component") == F.col("group")).alias("main")))
 
     least = written(
         apart.groupBy("group").agg(
@@ -261,13 +262,13 @@ def remaining(members: DataFrame, texts: DataFrame, width: int, percent: int) ->
     bounded = x.join(y, ["group", "i", "j"]).filter("ca <> cb and ea + eb <= 0")
     bounded = bounded.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    rows = written(apart.select("group", "id", "component", "main", "n", "excess", F.explode("deviation").alias("shingle")))
+    rows = written(apart.select("group", "id", "set", "component", "main", "n", "excess", F.explode("deviation").alias("shingle")))
     shared = rows.groupBy("group", "shingle").agg(F.count(F.lit(1)).alias("held"), F.min("component").alias("x"), F.max("component").alias("y"))
     rows = rows.join(shared.filter("x <> y").select("group", "shingle", "held"), ["group", "shingle"]).join(least, "group")
     # what a member must share with any partner: by the partner's excess, and as a partner's deviation holds at least what is shared
     by_size = (F.col("excess") - (100 - percent) * 100 * F.col("n") / percent) / (100 + percent)
     must = lambda other: F.greatest(F.lit(1), F.ceil((F.col("excess") + F.col(other)) / (2 * (100 + percent))), F.ceil(by_size))
-    member = Window.partitionBy("group", "id")
+    member = Window.partitionBy("group", "id", "set")
     rows = rows.withColumn("place", F.row_number().over(member.orderBy("held", "shingle"))).withColumn("count", F.count(F.lit(1)).over(member))
     within = lambda other: F.col("place") <= F.col("count") - must(other) + 1
     rows = rows.select("group", "shingle", "id", "component", "main", "excess", "count", within("least_main").alias("wide"), within("least_other").alias("narrow"))
