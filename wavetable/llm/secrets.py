@@ -1,8 +1,8 @@
 """Secret scan with corpus-wide ownership frequency.
 
-Candidates are found by fixed patterns, hashed, and counted over the whole corpus by distinct owners and
-repositories. A value that several owners hold is a widely copied example; a value of one owner alone looks
-live. Beside the fixed kinds there are opaque tokens, which are reported only if they look live.
+Candidates are found by fixed patterns, hashed, and counted over the whole corpus by distinct owners. A value
+that several owners hold is a widely copied example; a value of one owner alone looks live, in however many of
+its repositories it occurs. Beside the fixed kinds there are opaque tokens, which are reported only if they look live.
 """
 
 from __future__ import annotations
@@ -59,28 +59,26 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, one), ",")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
     """(id, base, added, n_live, n_example): spans of the fixed kinds and of live-looking opaque tokens.
 
     A span is (start, kind, end, value). Every row is a document of its own, repeated rows too; a null or
-    empty text has no spans; a null owner or repository is one of its own. A repository belongs to its
-    owner. Counting goes over distinct (value, owner, repository), so a value that a third of the corpus
-    holds shrinks in every task before the shuffle. Other columns are not carried on.
+    empty text has no spans; a null owner is one of its own. A repository belongs to its
+    owner, and owners alone decide. Counting goes over distinct (value, owner), so a value that a third of the
+    corpus holds shrinks in every task before the shuffle. Other columns are not carried on.
     """
     rows = written(
         docs.select(
             F.monotonically_increasing_id().alias("row"),
             F.col(id_col),
             F.col(owner_col).cast("string").alias("owner"),
-            F.col(repo_col).cast("string").alias("repo"),
             candidates(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("spans"),
         )
     )
     value = F.col("span.value")
-    spans = rows.filter(F.size("spans") > 0).select("row", "owner", "repo", F.explode("spans").alias("span"))
+    spans = rows.filter(F.size("spans") > 0).select("row", "owner", F.explode("spans").alias("span"))
     spans = spans.withColumns({"a": F.xxhash64(value), "b": F.xxhash64(F.lit("value"), value)})
-    held = spans.select("a", "b", "owner", "repo").distinct().groupBy("a", "b", "owner").agg(F.count(F.lit(1)).alias("repos"))
-    held = held.groupBy("a", "b").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
+    held = spans.select("a", "b", "owner").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("owners"))
     judged = spans.join(held, ["a", "b"]).withColumn("live", F.col("owners") <= LIVE_OWNERS)
     extra = judged.groupBy("row").agg(
         F.count_if("live").alias("n_live"),
