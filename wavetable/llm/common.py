@@ -21,6 +21,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def shared_file(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -28,7 +33,7 @@ def written(df: DataFrame) -> DataFrame:
     table keeps its schema.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
+    path = shared_file(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

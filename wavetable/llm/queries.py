@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavetable.llm import chat, decontamination, line_dedup, minhash, packing, quality_classifier, quality_rules, secrets, sharding, suffix_dedup
+from wavetable.llm import chat, decontamination, filter_audit, line_dedup, merkle, minhash, packing, quality_classifier, quality_rules, secrets, sharding, suffix_dedup, window_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -189,3 +189,100 @@ def op10_quality_classifier(spark, folder):
     network = quality_classifier.fit(docs, labels.filter(~held_out))
     scored = quality_classifier.classify(docs, network)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+AUDIT = r"""
+with docs as (
+    select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+firsts as (select text, min(doc_id) as first from docs group by text),
+marks as (select doc_id, max(coalesce(quality, 0) = 1) as good, max(coalesce(toxic, 0) = 1) as toxic from labels group by doc_id),
+flagged as (
+    select part, (len(words) < 100)::int + 2 * (100 * list_unique(words) < 80 * len(words))::int
+        + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text))::int
+        + 8 * regexp_matches(text, '[#$%&*|]')::int + 16 * coalesce(doc_id > first, false)::int as failed,
+        coalesce(good, false) as good, coalesce(toxic, false) as toxic
+    from docs join firsts using (text) left join marks using (doc_id)),
+cells as (
+    select part, failed, count(*) as n, count(*) filter (where good) as good, count(*) filter (where toxic) as toxic
+    from flagged group by part, failed),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as f, unnest([1, 2, 4, 8, 16]) as bit),
+orders as (
+    select a.f || b.f || c.f || d.f || e.f as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+    from letters a, letters b, letters c, letters d, letters e where a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps as (
+    select filter_order, k as step, bits[k] as bit, coalesce(list_sum(bits[1:k - 1]), 0)::int as gone
+    from orders, unnest([1, 2, 3, 4, 5]) as t(k)),
+found as (
+    select part, filter_order, step, bit,
+        coalesce(sum(n) filter (where failed & (bit | gone) = 0), 0)::bigint as kept,
+        coalesce(sum(n) filter (where failed & bit > 0 and failed & gone = 0), 0)::bigint as removed,
+        coalesce(sum(n) filter (where failed & bit > 0 and failed & gone > 0), 0)::bigint as redundant,
+        coalesce(sum(n) filter (where failed = bit), 0)::bigint as unique_fails,
+        coalesce(sum(good) filter (where failed & bit > 0 and failed & gone = 0), 0)::bigint as good_lost,
+        coalesce(sum(toxic) filter (where failed & bit > 0 and failed & gone = 0), 0)::bigint as toxic_lost
+    from cells, steps group by part, filter_order, step, bit)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    (sum(removed) over (partition by part, bit))::bigint as shapley
+from found
+"""
+
+
+@query(AUDIT)
+def op11_filter_audit(spark, folder):
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op12_window_packing(spark, folder):
+    return window_packing.pack_documents(table(spark, folder, "documents"), byte_bpe())
+
+
+MANIFEST = r"""
+with recursive given as (
+    select doc_id, source, text, lang, n_chars, list_reduce(
+            list_prepend(4294967295::ubigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::ubigint)),
+            lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), list_transform(range(8), lambda k: 0::ubigint)),
+                lambda x, k: xor(x >> 1, 3988292384::ubigint * (x & 1)))) & 1 = 1 as even  -- the last step inverts all bits
+    from documents),
+parts as (
+    select *, list_transform([doc_id::varchar, source, lang, n_chars::varchar, text],
+            lambda v: coalesce(strlen(v) || ':' || v, '-')) as parts,
+        coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-') as cut from given),
+hashed as (
+    select doc_id, source, sha256(list_aggregate(parts, 'string_agg', '')) as leaf,
+        sha256(list_aggregate(list_append(parts[1:4], case when even then cut else parts[5] end), 'string_agg', '')) as start from parts),
+leaves as (
+    select *, coalesce('=' || source, '') as tree, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos,
+        count(*) over (partition by source) as n from hashed),
+low as (
+    select tree, 0 as lvl, pos, leaf as h, n from leaves
+    union all
+    select tree, lvl + 1, pos // 3, sha256(string_agg(h, '' order by pos)), (n + 2) // 3 from low where n > 1 group by tree, lvl, pos // 3, n),
+subroots as (select tree, h, lvl as top, row_number() over (order by tree) - 1 as pos, count(*) over () as n from low where n = 1),
+high as (
+    select 0 as lvl, pos, h, n from subroots
+    union all
+    select lvl + 1, pos // 3, sha256(string_agg(h, '' order by pos)), (n + 2) // 3 from high where n > 1 group by lvl, pos // 3, n),
+steps as (
+    select l.tree, l.pos, x.lvl as k, coalesce(string_agg(x.h, '' order by x.pos) filter (where x.pos < l.pos // (3 ** x.lvl)::bigint), '') as before,
+        coalesce(string_agg(x.h, '' order by x.pos) filter (where x.pos > l.pos // (3 ** x.lvl)::bigint), '') as after
+    from leaves l join low x on x.tree = l.tree and x.n > 1 and x.pos // 3 = l.pos // (3 ** (x.lvl + 1))::bigint group by l.tree, l.pos, x.lvl
+    union all
+    select l.tree, l.pos, 1000 + x.lvl, coalesce(string_agg(x.h, '' order by x.pos) filter (where x.pos < s.pos // (3 ** x.lvl)::bigint), ''),
+        coalesce(string_agg(x.h, '' order by x.pos) filter (where x.pos > s.pos // (3 ** x.lvl)::bigint), '')
+    from leaves l join subroots s on s.tree = l.tree join high x on x.n > 1 and x.pos // 3 = s.pos // (3 ** (x.lvl + 1))::bigint
+    group by l.tree, l.pos, x.lvl),
+proofs as (
+    select tree, pos, string_agg(before || after, '' order by k) as proof, list(before || '|' || after order by k) as path
+    from steps group by tree, pos)
+select doc_id, leaf, s.h as subroot, r.h as root, sha256(coalesce(proof, '')) as proof_sha256,
+    list_reduce(list_prepend(start, coalesce(path, [])), lambda now, x: sha256(split_part(x, '|', 1) || now || split_part(x, '|', 2))) as folded_root,
+    folded_root = r.h as verified
+from leaves l join subroots s on s.tree = l.tree join high r on r.n = 1 left join proofs p on p.tree = l.tree and p.pos = l.pos
+"""
+
+
+@query(MANIFEST)
+def op13_merkle_manifest(spark, folder):
+    return merkle.manifest(table(spark, folder, "documents"))
