@@ -1,8 +1,8 @@
 """How document filters interact: what each one removes, alone, first, or after the others.
 
 Word statistics come from a sparse document-term matrix. Every task cuts its documents into blocks and
-encodes each block's words with a vocabulary of its own; only these vocabularies are shuffled to number all
-words of the corpus, and each block then gets the numbers of its words. A block so becomes a shard in CSR form
+encodes each block's words with a vocabulary of its own; only these vocabularies are shuffled, in slices by hash,
+to number all words of the corpus, and each block then gets the numbers of its words. A block so becomes a shard in CSR form
 (``starts``, ``terms``, ``counts``) with corpus-wide columns, of which row sums are word counts and nonzero
 counts are distinct words. Documents carry their failures as five bits. A filter order only depends on how many
 documents have which bits, so all 120 orders follow from 32 counts a part.
@@ -11,6 +11,7 @@ documents have which bits, so all 120 orders follow from 32 counts a part.
 from __future__ import annotations
 
 from itertools import permutations
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavetable.llm.common import number_within, shared_file, slices_for, text_key, written
+from wavetable.llm.common import shared_file, text_key, written
 
 LETTERS = "ABCDE"
 #: A block ends at this many bytes of text or documents; one longer text is a block of its own.
-BLOCK_BYTES, BLOCK_DOCS = 1 << 21, 4096
+BLOCK_BYTES, BLOCK_DOCS = 1 << 22, 1 << 14
 #: Blocks in one file, which bounds what a reader holds at once.
-FILE_BLOCKS = 16
+FILE_BLOCKS = 8
+#: Bytes of block vocabularies that one task numbers.
+SLICE_BYTES = 1 << 23
 MARKS = b"#$%&*|"
 KINDS = np.zeros(256, np.uint8)
 KINDS[ord("A") : ord("Z") + 1] = 1
@@ -48,17 +51,32 @@ def per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def csr(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """(starts, terms, counts, words) of texts; ``terms`` number ``words``."""
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers in as few bytes each as the largest needs."""
+    most = int(numbers.max()) if len(numbers) else 0
+    return numbers.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<u8").tobytes()
+
+
+def unpacked(data: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // count}").astype(np.int64) if count else np.empty(0, np.int64)
+
+
+def csr(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """(starts, terms, counts, words, slots) of texts; ``terms`` number ``words``, which ascend by their hash ``slots``."""
     lists = pc.ascii_split_whitespace(texts)
     flat = lists.flatten()
     row = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
     filled = pc.not_equal(flat, "")
     row, flat = row[filled.to_numpy(zero_copy_only=False)], flat.filter(filled).dictionary_encode()
-    width = max(1, len(flat.dictionary))
-    cells, counts = np.unique(row * width + flat.indices.to_numpy(), return_counts=True)
+    words = flat.dictionary.cast(pa.binary()).to_pylist()
+    slots = np.fromiter(map(crc32, words), np.uint32, len(words))
+    order = np.argsort(slots, kind="stable")
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    width = max(1, len(words))
+    cells, counts = np.unique(row * width + rank[flat.indices.to_numpy()], return_counts=True)
     starts = np.searchsorted(cells, np.arange(len(texts) + 1) * width)
-    return starts.astype(np.int32), (cells % width).astype(np.int32), counts.astype(np.int32), flat.dictionary
+    return starts.astype(np.int32), cells % width, counts, [words[i] for i in order], slots[order]
 
 
 def others(texts: pa.Array) -> np.ndarray:
@@ -75,7 +93,7 @@ def one_list(values: pa.Array) -> pa.Array:
 
 
 def text_blocks(docs: DataFrame, keep: list, text_col: str = "text") -> DataFrame:
-    """Blocks of documents, written: (block, docs, starts, terms, counts, words, other).
+    """Blocks of documents, written: (block, docs, starts, other, terms, counts, words, slots).
 
     ``docs`` is a list of structs with the columns ``keep``; ``terms`` number the block's own ``words``. A null
     text is empty. Repeated rows are rows of their own.
@@ -85,8 +103,8 @@ def text_blocks(docs: DataFrame, keep: list, text_col: str = "text") -> DataFram
         [
             T.StructField("block", T.LongType()),
             T.StructField("docs", T.ArrayType(rows.schema["doc"].dataType)),
-            *[T.StructField(name, T.ArrayType(T.IntegerType())) for name in ("starts", "terms", "counts", "other")],
-            T.StructField("words", T.ArrayType(T.StringType())),
+            *[T.StructField(name, T.ArrayType(T.IntegerType())) for name in ("starts", "other")],
+            *[T.StructField(name, T.BinaryType()) for name in ("terms", "counts", "words", "slots")],
         ]
     )
 
@@ -99,23 +117,56 @@ def text_blocks(docs: DataFrame, keep: list, text_col: str = "text") -> DataFram
             ends = cuts(sizes, BLOCK_BYTES, BLOCK_DOCS)
             for a, b in zip(ends, ends[1:]):
                 texts = batch.column(1).slice(a, b - a)
-                starts, terms, counts, words = csr(texts)
-                lists = [pa.array(x) for x in (starts, terms, counts, others(texts))]
+                starts, terms, counts, words, slots = csr(texts)
+                lists = [one_list(x) for x in (batch.column(0).slice(a, b - a), pa.array(starts), pa.array(others(texts)))]
+                binary = [pa.array([x], pa.binary()) for x in (packed(terms), packed(counts), b" ".join(words), slots.tobytes())]
                 block += 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block]), *map(one_list, [batch.column(0).slice(a, b - a), *lists, words])], names=schema.names
-                )
+                yield pa.RecordBatch.from_arrays([pa.array([block]), *lists, *binary], names=schema.names)
 
     path = shared_file(docs.sparkSession)
     rows.mapInArrow(cut, schema).write.option("maxRecordsPerFile", FILE_BLOCKS).parquet(path)
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 
+def vocabularies(blocks: DataFrame) -> tuple[DataFrame, int]:
+    """(slice, owner, words): every block's words, split by their hash into slices, and the number of slices."""
+    slices = max(16, int(blocks.agg(F.sum(F.length("words"))).first()[0] or 0) // SLICE_BYTES)
+
+    def split(batches):
+        for batch in batches:
+            out = [[], [], []]
+            for block, words, slots in zip(*(c.to_pylist() for c in batch.columns)):
+                words = words.split()
+                bounds = np.searchsorted(np.frombuffer(slots, np.uint32).astype(np.uint64) * np.uint64(slices) >> np.uint64(32), np.arange(slices + 1))
+                for k in np.flatnonzero(np.diff(bounds)).tolist():
+                    for column, value in zip(out, (k, block, b" ".join(words[bounds[k] : bounds[k + 1]]))):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["slice", "owner", "words"]
+            )
+
+    return blocks.select("block", "words", "slots").mapInArrow(split, "slice int, owner long, words binary"), slices
+
+
+def number_slice(rows: pa.Table, slices: int) -> tuple[pa.Array, np.ndarray, list[list[bytes]], np.ndarray]:
+    """Distinct words of a slice in order with their numbers, and each block's words with the place of each."""
+    lists = [w.split() for w in rows.column("words").to_pylist()]
+    coded = pa.array([w for words in lists for w in words], pa.binary()).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return coded.dictionary.take(pa.array(order)), np.arange(len(order)) * slices + rows.column("slice")[0].as_py(), lists, place[coded.indices.to_numpy()]
+
+
 def dictionary(blocks: DataFrame) -> DataFrame:
-    """(word, term): all words of the corpus, numbered from 0 without gaps."""
-    words = written(blocks.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("blocks")))
-    whole = words.withColumn("matrix", F.lit(0))
-    return number_within(whole, ["matrix"], [F.col("word")], "term", slices_for(words.count())).select("word", "term")
+    """(word, term): all words of the corpus, each with a number of its own; slices take turns in the numbers."""
+    words, slices = vocabularies(blocks)
+
+    def name(rows):
+        distinct, terms, _, _ = number_slice(rows, slices)
+        return pa.Table.from_arrays([distinct.cast(pa.string()), pa.array(terms)], names=["word", "term"])
+
+    return words.groupBy("slice").applyInArrow(name, "word string, term long")
 
 
 def shards(blocks: DataFrame, finish, schema: T.StructType) -> DataFrame:
@@ -124,19 +175,25 @@ def shards(blocks: DataFrame, finish, schema: T.StructType) -> DataFrame:
     A block and the numbers of its words meet in one task, so a shard is as large as a block however large the
     dictionary is. A word is at most once in a block, so no word is a hot key.
     """
-    local = blocks.select("block", F.posexplode("words").alias("local", "word"))
-    numbers = local.join(dictionary(blocks), "word").select(F.col("block").alias("owner"), "local", "term")
+    words, slices = vocabularies(blocks)
+
+    def number(rows):
+        _, terms, lists, place = number_slice(rows, slices)
+        numbers, ends = terms[place], np.cumsum([0, *map(len, lists)])
+        data = [packed(numbers[a:b]) for a, b in zip(ends, ends[1:])]
+        columns = [rows.column("owner"), rows.column("slice"), pa.array(list(map(len, lists)), pa.int32()), pa.array(data, pa.binary())]
+        return pa.Table.from_arrays(columns, names=["owner", "slice", "n", "numbers"])
+
+    numbers = words.groupBy("slice").applyInArrow(number, "owner long, slice int, n int, numbers binary")
 
     def renumber(block, numbers):
-        out = []
-        where = np.zeros(len(numbers), np.int64)
-        where[numbers.column("local").to_numpy()] = numbers.column("term").to_numpy()
-        for name in ("starts", "terms", "counts", "other"):
-            out.append(block.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False))
-        out[1] = where[out[1]]
-        return finish(block.column("docs").combine_chunks().flatten(), *out)
+        parts = sorted(zip(*(numbers.column(c).to_pylist() for c in ("slice", "n", "numbers"))))
+        where = np.concatenate([np.empty(0, np.int64), *[unpacked(data, n) for _, n, data in parts]])
+        starts, other = (block.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("starts", "other"))
+        terms, counts = (unpacked(block.column(c)[0].as_py(), int(starts[-1])) for c in ("terms", "counts"))
+        return finish(block.column("docs").combine_chunks().flatten(), starts, where[terms], counts, other)
 
-    return blocks.drop("words").groupBy("block").cogroup(numbers.groupBy("owner")).applyInArrow(renumber, schema)
+    return blocks.drop("words", "slots").groupBy("block").cogroup(numbers.groupBy("owner")).applyInArrow(renumber, schema)
 
 
 def term_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -151,7 +208,7 @@ def term_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType)),
             T.StructField("starts", T.ArrayType(T.IntegerType())),
             T.StructField("terms", T.ArrayType(T.LongType())),
-            T.StructField("counts", T.ArrayType(T.IntegerType())),
+            T.StructField("counts", T.ArrayType(T.LongType())),
         ]
     )
 
