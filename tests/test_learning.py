@@ -241,8 +241,8 @@ def test_model_factory_defaults():
     assert regress.model_params("rf", n_estimators=7)["n_estimators"] == 7
     with pytest.raises(ValueError):
         regress.create_model("other")
-    forest = regress.create_model("rf").getStages()[-1]
-    assert forest.getNumTrees() == 100 and forest.getMaxDepth() == 30 and forest.getFeatureSubsetStrategy() == "all"
+    forest = regress.create_model("rf").getStages()[-1].params_given()
+    assert forest["n_estimators"] == 100 and forest["max_depth"] is None and forest["min_samples_split"] == 2
 
 
 def test_importances_cover_every_channel(spark, informative):

@@ -145,6 +145,17 @@ def linear_score(spectrum: Column | str, coefficients, intercept: float) -> Colu
     return _scoring_function(lambda x: x @ coefficients + intercept, name="linear_score")(spectrum)
 
 
+def tree_score(spectrum: Column | str, forest, edges, base: float, scale: float) -> Column:
+    """``base`` plus ``scale`` times the sum of what the trees of ``forest`` say to the binned spectrum."""
+
+    def kernel(x):
+        binned = np.stack([np.searchsorted(e, x[:, k]) for k, e in enumerate(edges)], axis=1).astype(np.uint8)
+        sums = np.concatenate([forest.predict(binned[a : a + 4096]).sum(axis=1) for a in range(0, len(x), 4096)])
+        return np.where(np.isfinite(x).all(axis=1), base + scale * sums, np.nan)
+
+    return _scoring_function(kernel, name="tree_score")(spectrum)
+
+
 def count_extreme_channels(spectrum: Column | str, mean, std, threshold: float) -> Column:
     """How many channels lie more than ``threshold`` deviations from their mean.
 

@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from math import ceil, log2
+import json
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavetable.functions.spectral import random_features
+from wavetable.operators.ensembles import TreeEnsemble, boost_of, forest_growth
 from wavetable.operators.latent import LinearSpectralModel, PLSRegressor
 from wavetable.operators.moments import Moments, _inputs, _rows_of, dense_fits, moments, provisional_shift
 from wavetable.operators.params import Settings, a_float, a_text, an_int, floats
-from wavetable.operators.transform import AsVector
 
 # Default parameters per model type.
 DEFAULTS = {
@@ -35,7 +35,6 @@ DEFAULTS = {
     },
     "elasticnet": {"alpha": 1.0, "l1_ratio": 0.5, "max_iter": 1000, "random_state": 42},
 }
-DEEPEST = 30
 
 
 def model_params(model_type: str, **given) -> dict:
@@ -63,55 +62,13 @@ def create_model(model_type: str, spectrum: str = "spectrum", label: str = "labe
                 )
             ]
         )
-    vector = AsVector(spectrumCol=spectrum)
-    common = {"featuresCol": "features", "labelCol": label, "seed": int(p["random_state"])}
-    if model_type == "rf":
-        learner = RandomForestRegressor(
-            numTrees=int(p["n_estimators"]),
-            maxDepth=depth(p["max_depth"]),
-            minInstancesPerNode=max(int(p["min_samples_leaf"]), int(p["min_samples_split"]) // 2),
-            featureSubsetStrategy=feature_share(p.get("max_features")),
-            bootstrap=bool(p.get("bootstrap", True)),
-            **common,
-        )
-    elif model_type == "xgb":
-        learner = GBTRegressor(
-            maxIter=int(p["n_estimators"]),
-            stepSize=float(p["learning_rate"]),
-            maxDepth=depth(p["max_depth"]),
-            subsamplingRate=float(p["subsample"]),
-            featureSubsetStrategy=str(float(p["colsample_bytree"])),
-            minInfoGain=float(p.get("gamma", 0.0)),
-            minInstancesPerNode=int(p.get("min_child_weight", 1)),
-            **common,
-        )
-    else:
-        levels = ceil(log2(int(p["num_leaves"])))
-        if int(p["max_depth"]) > 0:
-            levels = min(levels, int(p["max_depth"]))
-        learner = GBTRegressor(
-            maxIter=int(p["n_estimators"]),
-            stepSize=float(p["learning_rate"]),
-            maxDepth=max(1, levels),
-            subsamplingRate=float(p.get("subsample", 1.0)),
-            featureSubsetStrategy=str(float(p.get("colsample_bytree", 1.0))),
-            minInstancesPerNode=int(p.get("min_child_samples", 20)),
-            **common,
-        )
-    return Pipeline(stages=[vector, learner])
-
-
-def depth(max_depth) -> int:
-    """Unlimited depth becomes the deepest tree Spark grows; a deeper one is an error."""
-    if max_depth is not None and int(max_depth) > DEEPEST:
-        raise ValueError(f"max_depth {max_depth}: Spark grows trees of at most {DEEPEST} levels")
-    return DEEPEST if max_depth is None else int(max_depth)
+    return Pipeline(stages=[TreeEnsemble(kind=model_type, settings=json.dumps(checked_trees(model_type, p)), **columns)])
 
 
-def feature_share(max_features) -> str:
-    if max_features is None:
-        return "all"
-    return str(max_features)
+def checked_trees(model_type: str, p: dict) -> dict:
+    """The parameters, or an error before anything is read."""
+    forest_growth(p, 1) if model_type == "rf" else boost_of(model_type, p, 1)
+    return p
 
 
 def train_model(df: DataFrame, model_type: str = "rf", params: dict | None = None, spectrum="spectrum", label="label"):
