@@ -8,7 +8,6 @@ from conftest import SMALL
 import __spark_entry__ as entry
 from check import compare, connect
 
-SLOW = {"experiment_study", "model_factory", "genetic_channels", "support_vector_linear", "support_vector_rbf"}
 SQL = entry.oracle_sql()
 QUERIES = entry.queries()
 
@@ -22,7 +21,7 @@ def test_twins_belong_to_queries():
     assert set(SQL) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     ours = QUERIES[name](spark, SMALL).toPandas()
     assert len(ours.columns) == len(set(ours.columns))

@@ -189,3 +189,80 @@ def test_rows_without_spectrum_or_label_are_left_out(spark):
     assert found[2] is None and found[1] == pytest.approx(1.0) and found[4] == pytest.approx(5.0)
     with pytest.raises(ValueError):
         regress.train_model(df.filter("label is null"), "rf")
+
+
+def test_adaptive_search_runs_rounds_together_and_goes_on(spark, whole, tmp_path, monkeypatch):
+    rounds = []
+    plain = search.Scorer.trials
+
+    def counted(self, candidates, stop=None):
+        rounds.append(len(candidates))
+        return plain(self, candidates, stop)
+
+    monkeypatch.setattr(search.Scorer, "trials", counted)
+    space = {"n_estimators": search.Range(1, 9, whole=True), "max_depth": search.Choice((2, 0)), "min_samples_leaf": search.Range(1, 6, whole=True)}
+    options = {"folds": 2, "startup": 4, "batch": 3, "refit": False}
+    whole_run = search.adaptive_search(whole[2], "rf", space, n_trials=9, **options)
+    assert rounds == [4, 3, 2]
+    failed = [m for (_, state, p), m in zip(whole_run.trials, whole_run.messages) if state == "failed"]
+    assert failed and all("max_depth 0" in m for m in failed)
+    path = str(tmp_path / "ledger")
+    search.adaptive_search(whole[2], "rf", space, n_trials=4, ledger=path, **options)
+    again = search.adaptive_search(whole[2], "rf", space, n_trials=9, ledger=path, **options)
+    assert rounds[3:] == [4, 3, 2] and again.trials == whole_run.trials
+    rows = spark.read.parquet(path).collect()
+    assert sorted(r["trial"] for r in rows) == list(range(9)) and {r["state"] for r in rows} == {"complete", "failed"}
+
+
+def test_search_measures_the_best_on_validation_rows(whole):
+    held = F.col("row_id") % 3 == 0
+    found = search.grid_search(whole[2].filter(~held), "rf", {"n_estimators": [5]}, validation=whole[2].filter(held))
+    assert found.model is not None and set(found.validation) == {"rmse", "mae", "r2", "explained_variance"}
+    assert found.validation["rmse"] != -found.best_score
+
+
+def test_lost_session_is_no_bad_candidate(whole, monkeypatch):
+    monkeypatch.setattr(search.Scorer, "_fold_score", lambda self, c, k: (_ for _ in ()).throw(ConnectionError("gone")))
+    with pytest.raises(ConnectionError):
+        search.cv_score(whole[2], "svr", {"kernel": "linear"})
+
+
+def test_genetic_search_by_a_given_estimator(whole):
+    from wavetable.operators.latent import PLSRegressor
+    from wavetable.operators.select import GeneticSelector
+
+    calls = []
+
+    class Counted(PLSRegressor):
+        def _fit(self, df):
+            calls.append(1)
+            return super()._fit(df)
+
+    chooser = GeneticSelector(Counted(nComponents=1), nFeatures=2, population=4, generations=2, folds=2)
+    masks = np.array([[1, 0, 0, 0, 0], [1, 0, 0, 0, 0], [0, 0, 0, 0, 1], [0, 0, 0, 0, 0]], bool)
+    scores = chooser.score_masks(whole[2], masks)
+    assert len(calls) == 4 and scores[0] == scores[1] > scores[2] > scores[3] == -np.inf
+    assert 0 in chooser.fit(whole[2]).value("channels")
+
+
+def test_study_shares_work_and_uses_the_given_estimator(spark, whole, monkeypatch):
+    from wavetable.operators.latent import PLSRegressor
+    from wavetable.plans import jobs
+
+    made, fitted = [], []
+    plain = jobs.fold_moments
+    monkeypatch.setattr(jobs, "fold_moments", lambda *a, **k: (made.append(1), plain(*a, **k))[1])
+
+    class Mine(PLSRegressor):
+        def _fit(self, df):
+            fitted.append(1)
+            return super()._fit(df)
+
+    experiments = [jobs.Experiment("pls", "none", False, selection="vip", n_features=k, params={"n_components": 1}) for k in (1, 2, 3)]
+    experiments += [jobs.Experiment("rf", "none", False, params={"n_estimators": 3}), jobs.Experiment("rf", "none", False, params={"n_estimators": 0})]
+    experiments += [jobs.Experiment("pls", "none", False, selection="ga", n_features=2, params={"n_components": 1})]
+    study = jobs.Study(whole[2].drop("fold"), selectors={"ga": {"estimator": Mine(nComponents=1), "population": 3, "generations": 1, "folds": 2}})
+    rows = {(r["experiment"], r["n_features"], r["status"]): r for r in study.run(experiments).collect()}
+    assert len(rows) == 6 and len(made) == 1 and fitted
+    failed = [r for r in rows.values() if r["status"] == "failed"]
+    assert len(failed) == 1 and "needs trees" in failed[0]["message"]

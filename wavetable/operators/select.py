@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wavetable.functions.metrics import rmse
 from wavetable.functions.spectral import take_channels
 from wavetable.operators.columns import CHANNEL_NAME, channel_metadata, channel_names, wavelength
 from wavetable.operators.latent import fit_latent, fit_table
 from wavetable.operators.moments import FoldMoments, Moments, fold_moments
 from wavetable.operators.params import Settings, a_float, a_flag, a_text, an_int, floats, ints, texts
 from wavetable.operators.splits import contiguous_folds, shuffled_folds
+from wavetable.session import durable
 
 # Schemas of the report tables.
 CHANNEL_TABLE = "channel int, name string, wavelength double, score double, selected boolean"
@@ -226,9 +231,9 @@ class GeneticSelector(Estimator, Settings):
         "nComponents": 10, "seed": 42, "fitness": "pls", "rowIdCol": "row_id",
     }
 
-    def __init__(self, estimator=None, evaluator=None, **kwargs):
+    def __init__(self, estimator=None, evaluator=None, parallelism: int = 4, **kwargs):
         super().__init__(**kwargs)
-        self.estimator, self.evaluator = estimator, evaluator
+        self.estimator, self.evaluator, self.parallelism, self._known = estimator, evaluator, parallelism, {}
         if self.value("fitness") not in ("pls", "linear"):
             raise ValueError(f"unknown fitness: {self.value('fitness')}")
 
@@ -238,34 +243,39 @@ class GeneticSelector(Estimator, Settings):
         names = channel_names(df, self.spectrum)
         if self.estimator is None:
             return self.from_moments(table, df.sparkSession, names)
+        self._known = {}
+        folded = durable(folded)  # read by every fit
         return self._search(table, lambda masks: self._fit_scores(folded, masks), names)
 
+    def score_masks(self, df: DataFrame, masks) -> list[float]:
+        """Fitness of channel masks by the given estimator and evaluator, as the search scores its candidates."""
+        self._known = {}
+        folded = durable(with_folds(df, self.value("folds"), self.value("rowIdCol"), 0, contiguous=True))
+        return self._fit_scores(folded, [np.asarray(m, dtype=bool) for m in masks])
+
     def from_moments(self, table: FoldMoments, spark: SparkSession, names=None) -> GeneticSelection:
         with _Scorer(spark, table, self.value("nComponents"), self.value("fitness")) as scorer:
             return self._search(table, scorer, names)
 
     def _fit_scores(self, folded, masks):
-        """Score candidates with the given estimator: folds x candidates fits."""
-        from wavetable.functions.metrics import rmse
-
-        scores = []
-        for mask in masks:
-            chosen = np.flatnonzero(mask)
-            if not len(chosen):
-                scores.append(-np.inf)
-                continue
-            part = folded.withColumn(self.spectrum, take_channels(self.spectrum, chosen))
-            errors = []
-            for k in range(self.value("folds")):
-                model = self.estimator.fit(part.filter(F.col(FOLDS) != k))
-                held = model.transform(part.filter(F.col(FOLDS) == k))
-                if self.evaluator is not None:
-                    sign = 1 if self.evaluator.isLargerBetter() else -1
-                    errors.append(sign * self.evaluator.evaluate(held))
-                else:
-                    errors.append(-held.agg(rmse(self.label, "prediction")).first()[0])
-            scores.append(float(np.mean(errors)))
-        return scores
+        """Score candidates with the given estimator; those seen before, or twice in a generation, are fitted once."""
+        unseen = {m.tobytes(): m for m in map(np.asarray, masks) if m.tobytes() not in self._known and m.any()}
+
+        def one(task):
+            mask, k = task
+            part = folded.withColumn(self.spectrum, take_channels(self.spectrum, np.flatnonzero(unseen[mask])))
+            model = self.estimator.fit(part.filter(F.col(FOLDS) != k))
+            held = model.transform(part.filter(F.col(FOLDS) == k))
+            if self.evaluator is not None:
+                return (1 if self.evaluator.isLargerBetter() else -1) * self.evaluator.evaluate(held)
+            return -held.agg(rmse(self.label, "prediction")).first()[0]
+
+        tasks = [(mask, k) for mask in unseen for k in range(self.value("folds"))]
+        with ThreadPool(self.parallelism) as pool:
+            found = dict(zip(tasks, pool.map(inheritable_thread_target(folded.sparkSession)(one), tasks, chunksize=1)))
+        for mask in unseen:
+            self._known[mask] = float(np.mean([found[mask, k] for k in range(self.value("folds"))]))
+        return [self._known.get(np.asarray(m).tobytes(), -np.inf) for m in masks]
 
     def _search(self, table: FoldMoments, score, names) -> GeneticSelection:
         p = table.total.channels

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import threading
 import time
+from concurrent.futures import Future
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -247,7 +251,7 @@ class Study:
 
     Per correction the split, corrected spectra are written to the checkpoint folder once and their
     fold moments are computed once; every selection with these inputs is solved once. So the number
-    of scans of the raw data does not depend on the number of experiments.
+    of scans of the raw data does not depend on the number of experiments, and those run at the same time.
     """
 
     def __init__(
@@ -261,45 +265,54 @@ class Study:
         self.row_id, self.seed, self.folds, self.savgol, self.fit_on = row_id, seed, folds, savgol, fit_on
         self.selectors, self.grids = selectors or {}, grids or {}
         self.spark = df.sparkSession
-        self._tables: dict = {}
-        self._moments: dict = {}
-        self._selections: dict = {}
+        self._shared: dict = {}
+        self._lock = threading.Lock()
+
+    def _once(self, key, build):
+        """The result of ``build``, made once; experiments that need it meanwhile wait for it."""
+        with self._lock:
+            mine = key not in self._shared
+            found = self._shared.setdefault(key, Future())
+        if mine:
+            try:
+                found.set_result(build())
+            except BaseException as error:
+                found.set_exception(error)
+        return found.result()
 
     def corrected(self, transform: str, savgol: bool) -> DataFrame:
-        key = (transform, savgol)
-        if key not in self._tables:
+        def build():
             window, polyorder, deriv = self.savgol
             stages = correction_stages(transform, savgol, window, polyorder, deriv)
             source = self.split if self.fit_on == "all" else self.split.filter("split = 'train'")
             model = Pipeline(stages=stages).fit(source)
             labelled = self.split.filter(F.col("label").isNotNull())
             table = model.transform(labelled).select(self.row_id, "label", "spectrum", "split")
-            self._tables[key] = durable(columns.filter_late(table, F.col("spectrum").isNotNull()))
-        return self._tables[key]
+            return durable(columns.filter_late(table, F.col("spectrum").isNotNull()))
+
+        return self._once(("table", transform, savgol), build)
 
     def train(self, transform: str, savgol: bool) -> DataFrame:
         return self.corrected(transform, savgol).filter("split = 'train'")
 
     def moments(self, transform: str, savgol: bool, contiguous: bool) -> FoldMoments:
-        key = (transform, savgol, contiguous)
-        if key not in self._moments:
+        def build():
             folded = with_folds(self.train(transform, savgol), self.folds, self.row_id, self.seed, contiguous)
-            self._moments[key] = fold_moments(folded, fold=FOLDS)
-        return self._moments[key]
+            return fold_moments(folded, fold=FOLDS)
+
+        return self._once(("moments", transform, savgol, contiguous), build)
 
     def selection(self, e: Experiment):
-        key = (e.transform, e.savgol, e.selection, e.n_features)
-        if key not in self._selections:
+        def build():
             chooser = selector(e.selection, e.n_features, self.row_id, **self.selectors.get(e.selection, {}))
+            if e.selection == "ga" and chooser.estimator is not None:
+                return chooser.fit(self.train(e.transform, e.savgol))
             table = self.moments(e.transform, e.savgol, contiguous=e.selection == "ga")
             if e.selection == "vip":
-                found = chooser.from_moments(table.total)
-            elif e.selection == "cars":
-                found = chooser.from_moments(table)
-            else:
-                found = chooser.from_moments(table, self.spark)
-            self._selections[key] = found
-        return self._selections[key]
+                return chooser.from_moments(table.total)
+            return chooser.from_moments(table) if e.selection == "cars" else chooser.from_moments(table, self.spark)
+
+        return self._once(("selection", e.transform, e.savgol, e.selection, e.n_features), build)
 
     def fit(self, e: Experiment):
         """``(model, test predictions)`` of one experiment."""
@@ -317,24 +330,35 @@ class Study:
         model = create_model(e.model_type, **params).fit(train)
         return PipelineModel(stages=[*stages, model]), model.transform(table.filter("split = 'test'"))
 
-    def run(self, experiments: list[Experiment] | None = None, folder: str | None = None) -> DataFrame:
-        """One row per experiment; a failed one has status ``failed`` and no metrics."""
-        rows = []
-        for e in experiments if experiments is not None else standard_study():
+    def run(self, experiments: list[Experiment] | None = None, folder: str | None = None, parallelism: int = 4) -> DataFrame:
+        """One row per experiment; a failed one has status ``failed``, its message and no metrics.
+
+        ``parallelism`` experiments run at a time. What several of them need is made by the first one that asks, and
+        the others wait for that alone. If the session ends, so does the study.
+        """
+        experiments = experiments if experiments is not None else standard_study()
+
+        def one(e):
             started = time.time()
             try:
                 model, predicted = self.fit(e)
                 found = evaluate(predicted).first()
-                scores = {m: found[m] for m in METRICS}
-                status, message = "ok", None
-                if folder:
-                    save_model(model, f"{folder}/models/{e.name}", {"metrics": scores, "experiment": e.name}, self.spark)
-                    log_run(self.spark, f"{folder}/log", "study", e.name, e.params, scores, {"status": status})
+                return e, model, {m: found[m] for m in METRICS}, "ok", None, time.time() - started
             except Exception as error:  # recorded, and the study goes on
-                scores, status, message = {}, "failed", str(error)
+                if self.spark.sparkContext._jsc is None or self.spark.sparkContext._jsc.sc().isStopped():
+                    raise
+                return e, None, {}, "failed", str(error), time.time() - started
+
+        with ThreadPool(parallelism) as pool:
+            done = pool.map(inheritable_thread_target(self.spark)(one), experiments, chunksize=1)
+        rows = []
+        for e, model, scores, status, message, seconds in done:
+            if folder and model is not None:
+                save_model(model, f"{folder}/models/{e.name}", {"metrics": scores, "experiment": e.name}, self.spark)
+                log_run(self.spark, f"{folder}/log", "study", e.name, e.params, scores, {"status": status})
             rows.append(
                 (e.name, e.model_type, e.transform, e.savgol, e.tuned, e.selection, e.n_features, status, message,
-                 *[scores.get(m) for m in METRICS], time.time() - started)
+                 *[scores.get(m) for m in METRICS], seconds)
             )
         return self.spark.createDataFrame(rows, STUDY)
 

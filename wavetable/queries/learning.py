@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.sql import functions as F
@@ -348,6 +349,46 @@ def user_scoring_function(spark, folder):
     return scored.agg(rounded(largest).alias("largest_error")).withColumn("rmse", F.lit(round(judged, 6)))
 
 
+@query(
+    "mask_scores",
+    with_views(
+        T, L, "f as (select row_id, k, label as y, v as a, ntile(5) over (partition by k order by row_id) as fold from l)",
+        """m as (select g.fold, f.k, regr_slope(f.y, f.a) as b, regr_intercept(f.y, f.a) as c
+          from (select distinct fold from f) g join f on f.fold <> g.fold group by g.fold, f.k)""",
+        "e as (select f.k, f.fold, avg(abs(y - b * a - c)) as mae from f join m using (fold, k) group by f.k, f.fold)",
+        body="select k::bigint as channel, round(-avg(mae), 6) as score from e group by k",
+    ),
+)
+def mask_scores(spark, folder):
+    """Every channel alone as a candidate of the genetic search, scored by a given estimator and evaluator."""
+    judge = RegressionEvaluator(metricName="mae", labelCol="label")
+    fitness = select.GeneticSelector(PLSRegressor(nComponents=1), judge)
+    scores = fitness.score_masks(spectra(spark, folder), np.eye(len(NAMES), dtype=bool))
+    return spark.createDataFrame([(i, round(s, 6)) for i, s in enumerate(scores)], "channel long, score double")
+
+
+@query(
+    "search_with_validation",
+    with_views(
+        T, "r as (select row_id, label as y, x[1] as a, row_id % 4 = 0 as held from t)",
+        "f as (select *, ntile(5) over (order by md5('42:' || row_id)) as fold from r where not held)",
+        """m as (select g.fold, regr_slope(f.y, f.a) as b, regr_intercept(f.y, f.a) as c
+          from (select distinct fold from f) g join f on f.fold <> g.fold group by g.fold)""",
+        "e as (select f.fold, sqrt(avg((y - b * a - c) * (y - b * a - c))) as rmse from f join m using (fold) group by f.fold)",
+        "w as (select regr_slope(y, a) as b, regr_intercept(y, a) as c from f)",
+        "v as (select y, c + b * a as f from r, w where held)", f"q as (select {METRICS} from v)",
+        body="select round(-avg(e.rmse), 6) as score, any_value(q.rmse) as rmse, any_value(q.r2) as r2 from e, q",
+    ),
+)
+def search_with_validation(spark, folder):
+    """The best trial's score, and the metrics of the refitted model on rows that the search did not see."""
+    scans = _one_channel(spark, folder)
+    held = F.col("row_id") % 4 == 0
+    found = search.grid_search(scans.filter(~held), "pls", {"n_components": [1]}, validation=scans.filter(held))
+    level = [round(found.validation["rmse"], 4), round(found.validation["r2"], 6)]
+    return spark.createDataFrame([(round(found.best_score, 6), *level)], "score double, rmse double, r2 double")
+
+
 @query("single_experiment")
 def single_experiment(spark, folder):
     """One experiment on the wide table: outliers, SNV, Savitzky-Golay, CARS, PLS."""
