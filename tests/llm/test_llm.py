@@ -122,16 +122,43 @@ def test_sequences_hold_the_ids(docs):
 
 def test_lines(spark):
     rows = [(k, "a", f"menu\n text {k}\n\nmenu \nend") for k in range(20)] + [(100 + k, "b", f"menu\nown {k}") for k in range(3)]
-    rows += [(200, None, None), (201, None, ""), (202, "a", " \n"), (203, "a", prose(1, 20_000))]
+    rows += [(200, None, None), (201, None, ""), (202, "a", " \n"), (203, "a", prose(1, 20_000)), (300, "c", "alone\nalone")]
     pages = spark.createDataFrame(rows, "id long, host string, text string")
     pages = pages.withColumn("lines", F.lit("x")).withColumn("salt", F.lit(1))
     out = {r.id: r for r in line_dedup.drop_boilerplate(pages, dropped="gone").collect()}
     assert out[3].text == " text 3\n" and out[3].gone == 3
-    assert out[101].text == "menu\nown 1"  # fewer pages than MIN_PAGES
+    assert out[101].text == "own 1" and out[101].gone == 1  # three pages are enough
+    assert out[300].text == "alone\nalone"  # a page has no others to share its lines with
     assert out[200].text is None and out[201].text == "" and out[202].text == " \n" and out[203].text == prose(1, 20_000)
     assert line_dedup.drop_boilerplate(pages.limit(0)).collect() == []
 
 
+def test_lines_of_large_hosts(spark, monkeypatch):
+    rows = [(k, f"h{k % 7 if k % 3 else 'ot'}", f"menu {k % 7 if k % 3 else 0}\nline {k % 40}\nown {k}") for k in range(600)]
+    pages = spark.createDataFrame(rows, "id long, host string, text string").repartition(4)
+    found = lambda: sorted(map(tuple, line_dedup.drop_boilerplate(pages, dropped="gone").collect()))
+    whole = found()
+    assert {r[3] for r in whole} == {1}
+    monkeypatch.setattr(line_dedup, "HOST_PAGES", 9)
+    assert found() == whole
+    assert line_dedup.large_hosts(spark.createDataFrame([("a", 100), ("b", 9)], "host string, pages long")).collect() == [("a", 12)]
+
+
+def test_line_dedup_of_the_given_pages_removes_lines(spark):
+    rows = QUERIES["op2_line_dedup"](spark, "/root/testdata/sf0.01").agg(F.sum("n_dropped"), F.count_if(F.col("n_dropped") > 0)).first()
+    assert rows[0] > 100 and rows[1] > 50
+
+
+@pytest.mark.parametrize("once", [False, True])
+def test_line_dedup_odd_rows(spark, empty, once):
+    rows = [(1, None, None), (2, None, "a\nb"), (3, None, "a\nc"), (4, "x", ""), (None, "x", "q"), (None, "x", "q")]
+    pages = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumns({c: F.lit(c) for c in ("host", "salt", "lines", "row", "parts")})
+    out = line_dedup.drop_boilerplate(pages, "source", copies_once=once).collect()
+    expected = [(1, None), (2, "b"), (3, "c"), (4, ""), (None, "q" if once else ""), (None, "q" if once else "")]
+    assert sorted(((r.doc_id, r.text) for r in out), key=str) == sorted(expected, key=str)
+    assert out[0].salt == "salt" and line_dedup.drop_boilerplate(empty, "source", copies_once=once).collect() == []
+
+
 def test_copied_documents_stay_in_line_dedup(spark):
     """Exact and near copies that hold a third of a source don't make their own lines boilerplate."""
     template, rows = [prose(300 + k, 30) for k in range(6)], []
@@ -394,9 +421,44 @@ def test_secrets(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string, source string, lang string")).collect() == []
 
 
+def test_values_of_many_repositories_of_one_owner_are_examples(spark):
+    value = lambda k: f"Ab3{k}" + "xYz9Qw" * 4
+    rows = [(k, f"use {value(0)} and {value(1) if k < 2 else ''}", "owner", f"repo{k}") for k in range(5)]
+    rows += [(10, f"use {value(2)}", "owner", None), (11, f"use {value(2)}", None, None), (12, f"use {value(3)}", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    found = {r.doc_id: r for r in secrets.scan(docs, repo_col="repo").collect()}
+    assert [s.value for s in found[0].added] == [value(1)] and found[0].n_example == 1 and found[0].most_repos == 5
+    assert not found[4].added and found[4].n_example == 1 and found[4].most_owners == 1
+    assert not found[10].added and found[10].most_owners == 2 and [s.value for s in found[12].added] == [value(3)]
+    assert [s.value for r in secrets.scan(docs.filter("doc_id = 4")).collect() for s in r.added] == [value(0)]
+
+
+def test_secrets_of_a_text_with_many_matches(spark):
+    import time
+
+    seconds = []
+    for count in (20_000, 40_000):
+        text = " ".join(f"{k:030x}" for k in range(count))
+        started = time.time()
+        out = secrets.scan(spark.createDataFrame([(1, text, "s", "en")], "doc_id long, text string, source string, lang string")).collect()
+        seconds.append(time.time() - started)
+        assert [(s.start, s.end) for s in out[0].base] == [(31 * k, 31 * k + 30) for k in range(count)]
+    assert seconds[1] < 4 * seconds[0] + 2
+
+
 # --- quality rules
 
 
+def test_labelled_sample_is_bounded_for_repeated_ids(spark):
+    rows = [(1, f"text {k % 300}") for k in range(3000)] + [(2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("x"))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, None), (None, 1)], "doc_id long, quality int")
+    found = quality_rules.labelled(docs, labels, "doc_id", "text", "quality", 2)
+    assert quality_rules.smallest(found, 2).count() == 2 and quality_rules.smallest(found, 10_000).count() == 3001
+    assert quality_rules.fit(docs, labels, sample=5) is not None
+    assert quality_classifier.fit(docs, labels, sample=5) is not None
+
+
 def plain_counts(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = defaultdict(list)

@@ -2,7 +2,7 @@
 
 A line is boilerplate on a host if more than ``ratio`` of the host's pages contain it. Everything is
 DataFrame work: each page gives its distinct line hashes once, counting is pre-aggregated in every task, and
-lines of a frequent host are counted under (host, line), so no host lands in one task.
+a host with many pages is dealt to as many tasks as its size asks for.
 """
 
 from __future__ import annotations
@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from wavetable.llm.common import fresh, text_key, written
 from wavetable.llm.minhash import PERCENT, components
 
-RATIO, MIN_PAGES = 0.1, 5
-#: A host's rows are dealt to so many tasks at first; skew joins split them further.
-SALTS = 32
+#: A line of one page alone is never boilerplate, or a host of one page would lose all its lines.
+RATIO, MIN_PAGES = 0.1, 2
+#: A host with more pages than this, and than one in HOSTS of all pages, is dealt to several tasks.
+HOST_PAGES, HOSTS = 1000, 1 << 16
 BLANKS = " \t\r"
 #: Near copies: texts that share PERCENT of their WIDTH-word shingles; such a pair shares none of the bands with 6e-4.
 WIDTH, BANDS, ROWS = 5, 14, 4
@@ -41,12 +42,32 @@ def line_keys(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(text, "\n", -1), visible), line_key))
 
 
+def large_hosts(totals: DataFrame) -> DataFrame:
+    """(host, parts) of the hosts that are dealt to several tasks; at most HOSTS rows, however many hosts there are."""
+    totals = totals.groupBy("host").agg(F.sum("pages").alias("pages"))
+    whole = totals.agg(F.sum("pages")).first()[0] or 0
+    most = max(HOST_PAGES, whole // HOSTS)
+    rows = totals.filter(F.col("pages") > most).select("host", F.ceil(F.col("pages") / most).cast("long").alias("parts")).collect()
+    return F.broadcast(totals.sparkSession.createDataFrame(rows, "host string, parts long"))
+
+
+def dealt(df: DataFrame, large: DataFrame, key: Column, salt: str = "salt") -> DataFrame:
+    """Add ``salt``: the part of its host that a row goes to, by ``key``."""
+    return df.join(large, "host", "left").withColumn(salt, F.pmod(key, F.coalesce("parts", F.lit(1).cast("long")))).drop("parts")
+
+
+def copied(df: DataFrame, large: DataFrame, salt: str = "salt") -> DataFrame:
+    """Every row once for each part of its host."""
+    parts = F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1)
+    return df.join(large, "host", "left").withColumn(salt, F.explode(parts)).drop("parts")
+
+
 def frequent(lines: DataFrame, totals: DataFrame, ratio: float, min_pages: int) -> DataFrame:
     """(host, a, b) of the ``lines`` (host, line) that more than ``ratio`` of the host's pages (host, pages) hold, and ``min_pages`` at least."""
     counted = lines.groupBy("host", F.col("line.a").alias("a"), F.col("line.b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    counted = counted.filter(F.col("n") >= min_pages).withColumn("salt", F.pmod("a", F.lit(SALTS)))
-    totals = totals.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return counted.join(totals, ["host", "salt"]).filter(F.col("n") > F.col("pages") * F.lit(ratio)).select("host", "a", "b")
+    large = large_hosts(totals)
+    counted = dealt(counted.filter(F.col("n") >= min_pages), large, F.col("a"))
+    return counted.join(copied(totals, large), ["host", "salt"]).filter(F.col("n") > F.col("pages") * F.lit(ratio)).select("host", "a", "b")
 
 
 def by_host(lines: DataFrame) -> DataFrame:
@@ -116,16 +137,20 @@ def drop_boilerplate(
     near copies of a text count as one page, so that they don't make each other's lines boilerplate.
     """
     names = pages.columns
-    host, lines, salt = (fresh(*names, base=b) for b in ("host_key", "bad_lines", "salt"))
-    text = F.col(text_col)
+    few, hit = (fresh(*names, base=b) for b in ("bad_lines", "hit_lines"))
     find = boilerplate_of_distinct if copies_once else boilerplate
-    bad = find(pages, F.col(host_col), text, ratio, min_pages).select(
-        F.col("host").alias(host),
-        F.col("lines").alias(lines),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias(salt),
-    )
-    salted = pages.withColumn(host, host_key(F.col(host_col))).withColumn(salt, F.pmod(F.xxhash64(text, *[F.col(c).cast("string") for c in names[:1]]), F.lit(SALTS)))
-    joined = salted.join(bad, [host, salt], "left")
+    bad = find(pages, F.col(host_col), F.col(text_col), ratio, min_pages)
+    totals = pages.groupBy(host_key(F.col(host_col)).alias("host")).agg(F.count(F.lit(1)).alias("pages"))
+    large = large_hosts(totals)
+    # the row is one struct, so that its names can't clash with those of the join
+    rows = pages.select(F.struct(*[F.col(c) for c in names]).alias("row"), host_key(F.col(host_col)).alias("host"))
+    text = F.col("row").getField(text_col)
+    joined = dealt(rows, large, F.xxhash64(text, *[F.col("row").getField(c).cast("string") for c in names[:1]])).join(copied(bad, large), ["host", "salt"], "left")
+    # hashed lookup of all lines of the page by half their key; the whole key is compared with those few that it hits
+    found = F.array_intersect(F.transform(F.filter(F.split(text, "\n", -1), visible), lambda x: line_key(x)["a"]), F.col("lines.a"))
+    joined = joined.withColumn(hit, found)
+    joined = joined.select("row.*", F.when(F.size(hit) > 0, F.filter("lines", lambda x: F.array_contains(F.col(hit), x["a"]))).alias(few))
+    text, lines = F.col(text_col), few
     kept = F.filter(F.split(text, "\n", -1), lambda x: ~(visible(x) & F.array_contains(F.col(lines), line_key(x))))
     clean = F.when(F.col(lines).isNull() | text.isNull(), text).otherwise(F.array_join(kept, "\n"))
     extra = []

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavetable.llm.quality_rules import labelled
+from wavetable.llm.quality_rules import labelled, smallest
 
 #: Labelled documents to learn from at most, and passages of each (evenly spaced) at most; scoring has no such bounds.
 SAMPLE, SAMPLE_PASSAGES = 8_000, 64
@@ -135,19 +135,23 @@ def train(bags: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Network:
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_passages: int = SAMPLE_PASSAGES
 ) -> Network:
-    """A network from at most ``sample`` labelled documents; null labels and ids don't count. Texts are its only input."""
+    """A network from at most ``sample`` labelled documents. Texts are its only input; null ones are empty.
+
+    Null labels and ids don't count; repeated rows and rows of a repeated id count each, up to ``sample`` in all.
+    """
 
     def encode(batches):
         for batch in batches:
             bags = []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 bag = passages(text)
                 if len(bag) > sample_passages:
                     bag = bag[np.linspace(0, len(bag) - 1, sample_passages).astype(int)]
                 bags.append(bag.ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.list_(pa.float64()))], names=["label", "bag"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.list_(pa.float64()))], names=["label", "key", "bag"])
 
-    rows = labelled(docs, labels, id_col, text_col, label_col, sample).mapInArrow(encode, "label double, bag array<double>").toPandas()
+    found = labelled(docs, labels, id_col, text_col, label_col, sample).mapInArrow(encode, "label double, key long, bag array<double>")
+    rows = smallest(found, sample).toPandas()
     # in an order that doesn't depend on how Spark split the table
     found = sorted(((np.asarray(b, float).tobytes(), y) for b, y in zip(rows["bag"], rows["label"])))
     return train([np.frombuffer(b).reshape(-1, WIDTH) for b, _ in found], np.array([y for _, y in found]))

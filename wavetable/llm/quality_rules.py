@@ -169,22 +169,37 @@ def boost(x: np.ndarray, y: np.ndarray) -> Forest:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> DataFrame:
-    """(label, text) of at most ``sample`` labelled rows, those with the smallest hash of their id."""
-    chosen = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col), F.col(label_col).cast("double").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64(id_col), id_col, "label").limit(sample)
+    """(label, key, text) of the documents of ``sample`` labels, those with the smallest hash of their id.
+
+    An id may be on any number of documents: pass what is measured of these rows through ``smallest``.
+    """
+    chosen = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label"))
+    chosen = chosen.orderBy(F.xxhash64("id"), "id", "label").limit(sample)
+    text = F.col(text_col).cast("string")
     # bounded: ``sample`` ids
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), id_col).select("label", "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"))
+    return rows.join(F.broadcast(chosen), "id").select("label", "key", "text")
+
+
+def smallest(measured: DataFrame, sample: int) -> DataFrame:
+    """At most ``sample`` rows, those with the smallest key (a hash of id and text)."""
+    return measured.orderBy("key", "label").limit(sample).drop("key")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Forest:
-    """Trees from at most ``sample`` labelled documents (null labels and null ids don't count; repeated ids count each)."""
+    """Trees from at most ``sample`` labelled documents.
+
+    Null labels and null ids don't count; repeated rows and rows of a repeated id count each, up to ``sample`` in all.
+    Null texts are empty. Without any labelled document every score is 1.
+    """
 
     def measure(batches):
         for batch in batches:
-            rows = [statistics(t)[1] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["label", "x"])
+            rows = [statistics(t)[1] for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["label", "key", "x"])
 
-    rows = labelled(docs, labels, id_col, text_col, label_col, sample).mapInArrow(measure, "label double, x array<double>").toPandas()
+    found = labelled(docs, labels, id_col, text_col, label_col, sample).mapInArrow(measure, "label double, key long, x array<double>")
+    rows = smallest(found, sample).toPandas()
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES))
     return boost(x, rows["label"].to_numpy(float))
 
@@ -217,7 +232,7 @@ def apply_rules(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, forest: Forest, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that the rules keep, with all columns."""
+    """Rows of ``docs`` that the rules keep, with all columns. Null and empty texts go; repeated rows go or stay together; no rows give none."""
     name = fresh(*docs.columns, base="rule_text")
     at = len(docs.columns)
 

@@ -56,7 +56,7 @@ often as (
     select host, line from (
         select host, trim(line, ' ' || chr(9) || chr(13)) as line, count(distinct page_id) as n from each group by all)
     join (select host, count(*) as total from lines group by host) using (host)
-    where n >= 5 and n > total * 0.1),
+    where n >= 2 and n > total * 0.1),
 marked as (
     select e.*, o.line is not null as bad
     from each e left join often o on o.host = e.host and o.line = trim(e.line, ' ' || chr(9) || chr(13)))
@@ -134,22 +134,24 @@ placed as (
 kept as (
     select * from placed where length(v) >= case k when 0 then 6 when 1 then 20 else 24 end
         and (k < 3 or (regexp_matches(v, '[a-z]') and regexp_matches(v, '[A-Z]') and regexp_matches(v, '[0-9]')))),
-owned as (select v, count(distinct source) as owners from kept join texts using (doc_id) group by v),
+holders as (select distinct v, coalesce('+' || source, '-') as owner, coalesce('+' || lang, '-') as repo from kept join texts using (doc_id)),
+owned as (select v, count(distinct owner) as owners, count(distinct (owner, repo)) as repos from holders group by v),
 judged as (
-    select doc_id, k, b, e, owners <= 1 as live, ['assign', 'access', 'hex', 'opaque'][k + 1] || ':' || b::bigint || ':' || e::bigint as span
+    select doc_id, k, b, e, owners, repos, owners <= 1 and repos <= 2 as live, ['assign', 'access', 'hex', 'opaque'][k + 1] || ':' || b::bigint || ':' || e::bigint as span
     from kept join owned using (v))
 select t.doc_id, count(*) filter (where k = 0) as n_assign, count(*) filter (where k = 1) as n_access,
     count(*) filter (where k = 2) as n_hex,
     sha256(coalesce(string_agg(span, ',' order by b, k) filter (where k < 3), '')) as base_sha256,
     coalesce(string_agg(span, ',' order by b, k) filter (where k < 3 or live), '') as spans,
-    count(*) filter (where live) as n_live, count(*) filter (where not live) as n_example
+    count(*) filter (where live) as n_live, count(*) filter (where not live) as n_example,
+    coalesce(max(owners), 0)::bigint as most_owners, coalesce(max(repos), 0)::bigint as most_repos
 from texts t left join judged using (doc_id) group by t.doc_id
 """
 
 
 @query(SECRETS)
 def op6_secret_scan(spark, folder):
-    found = secrets.scan(table(spark, folder, "documents"))
+    found = secrets.scan(table(spark, folder, "documents"), repo_col="lang")
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
     return found.select(
         "doc_id",
@@ -158,6 +160,8 @@ def op6_secret_scan(spark, folder):
         secrets.joined(F.array_sort(F.concat("base", "added"))).alias("spans"),
         "n_live",
         "n_example",
+        "most_owners",
+        "most_repos",
     )
 
 

@@ -1,8 +1,9 @@
 """Secret scan with corpus-wide ownership frequency.
 
-Candidates are found by fixed patterns, hashed, and counted over the whole corpus by distinct owners. A value
-that several owners hold is a widely copied example; a value of one owner alone looks live, in however many of
-its repositories it occurs. Beside the fixed kinds there are opaque tokens, which are reported only if they look live.
+Candidates are found by fixed patterns, hashed, and counted over the whole corpus by distinct repositories and
+owners. A value that several owners hold, or one owner in many repositories, is a widely copied example; a value of
+one owner in few repositories looks live. Beside the fixed kinds there are opaque tokens, which are reported only if
+they look live.
 """
 
 from __future__ import annotations
@@ -20,15 +21,18 @@ KINDS = (
 )
 #: Long runs with lower case, upper case and digits.
 OPAQUE = ("opaque", "(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{24,})", 1, 24)
-#: More owners than this make a value an example.
-LIVE_OWNERS = 1
+#: More owners or repositories than this make a value an example.
+LIVE_OWNERS, LIVE_REPOS = 1, 2
+#: Matches whose positions are summed up in one go, see ``matches``.
+RUN = 256
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
 def matches(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
     """Leftmost non-overlapping matches whose value is long enough, as SPAN; code points, end exclusive.
 
-    The text between matches comes from split, so positions are running sums of lengths.
+    The text between matches comes from split, so positions are running sums of lengths. They are summed in runs of
+    ``RUN`` matches: appending copies a list, so one list of all matches would take the square of their number.
     """
     whole, value, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.split(text, pattern, -1)
     parts = F.arrays_zip(whole.alias("whole"), value.alias("value"), F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"))
@@ -39,8 +43,20 @@ def matches(text: Column, kind: int, pattern: str, group: int, least: int) -> Co
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(seen["spans"], F.array(span)).alias("spans"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-    found = F.filter(F.aggregate(parts, begin, step)["spans"], lambda x: F.char_length(x["value"]) >= least)
+    def length(total: Column, x: Column) -> Column:
+        return total + F.char_length(x["gap"]) + F.char_length(x["whole"])
+
+    runs = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / RUN).cast("int")),
+        lambda k: F.slice(parts, k * RUN + 1, F.lit(RUN)),
+    )
+
+    def run(seen: Column, x: Column) -> Column:
+        spans = F.aggregate(x, F.struct(seen["at"].alias("at"), F.array().cast(SPAN).alias("spans")), step)["spans"]
+        return F.struct(F.aggregate(x, seen["at"], length).alias("at"), F.concat(seen["runs"], F.array(spans)).alias("runs"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("runs"))
+    found = F.filter(F.flatten(F.aggregate(runs, begin, run)["runs"]), lambda x: F.char_length(x["value"]) >= least)
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
 
 
@@ -59,37 +75,41 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, one), ",")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """(id, base, added, n_live, n_example): spans of the fixed kinds and of live-looking opaque tokens.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
+    """(id, base, added, n_live, n_example, most_owners, most_repos): spans of the fixed kinds and of live-looking opaque tokens.
 
-    A span is (start, kind, end, value). Every row is a document of its own, repeated rows too; a null or
-    empty text has no spans; a null owner is one of its own. A repository belongs to its
-    owner, and owners alone decide. Counting goes over distinct (value, owner), so a value that a third of the
-    corpus holds shrinks in every task before the shuffle. Other columns are not carried on.
+    A span is (start, kind, end, value). A value is live if one owner alone holds it, in at most ``LIVE_REPOS`` of its
+    repositories (``repo_col``; without it, an owner is one repository); ``most_owners`` and ``most_repos`` are those of a document's
+    most widely held value, 0 without values. Every row is a document of its own, repeated rows too; a null or empty
+    text has no spans; a null owner or repository is one of its own; no rows give no rows. Counting goes over distinct
+    (value, owner, repository), so a value that a third of the corpus holds shrinks in every task before the
+    shuffle. Other columns are not carried on.
     """
+    named = lambda c: F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-"))
     rows = written(
         docs.select(
             F.monotonically_increasing_id().alias("row"),
-            F.col(id_col),
-            F.col(owner_col).cast("string").alias("owner"),
+            F.col(id_col).alias("id"),
+            named(owner_col).alias("owner"),
+            (named(repo_col) if repo_col else F.lit("")).alias("repo"),
             candidates(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("spans"),
         )
     )
     value = F.col("span.value")
-    spans = rows.filter(F.size("spans") > 0).select("row", "owner", F.explode("spans").alias("span"))
+    spans = rows.filter(F.size("spans") > 0).select("row", "owner", "repo", F.explode("spans").alias("span"))
     spans = spans.withColumns({"a": F.xxhash64(value), "b": F.xxhash64(F.lit("value"), value)})
-    held = spans.select("a", "b", "owner").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("owners"))
-    judged = spans.join(held, ["a", "b"]).withColumn("live", F.col("owners") <= LIVE_OWNERS)
+    by_owner = spans.select("a", "b", "owner", "repo").distinct().groupBy("a", "b", "owner").agg(F.count(F.lit(1)).alias("repos"))
+    held = by_owner.groupBy("a", "b").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
+    live = (F.col("owners") <= LIVE_OWNERS) & (F.col("repos") <= LIVE_REPOS)
+    judged = spans.select("row", "span", "a", "b").join(held, ["a", "b"]).withColumn("live", live)
     extra = judged.groupBy("row").agg(
         F.count_if("live").alias("n_live"),
         F.count_if(~F.col("live")).alias("n_example"),
+        F.max("owners").alias("most_owners"),
+        F.max("repos").alias("most_repos"),
         F.array_sort(F.collect_list(F.when(F.col("live") & (F.col("span.kind") == len(KINDS)), F.col("span")))).alias("added"),
     )
     base = F.filter("spans", lambda x: x["kind"] < len(KINDS))
-    return rows.join(extra, "row", "left").select(
-        id_col,
-        base.alias("base"),
-        F.coalesce("added", F.array().cast(SPAN)).alias("added"),
-        F.coalesce("n_live", F.lit(0)).alias("n_live"),
-        F.coalesce("n_example", F.lit(0)).alias("n_example"),
-    )
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_live", "n_example", "most_owners", "most_repos")]
+    found = rows.select("row", "id", base.alias("base")).join(extra, "row", "left")
+    return found.select(F.col("id").alias(id_col), "base", F.coalesce("added", F.array().cast(SPAN)).alias("added"), *counts)
