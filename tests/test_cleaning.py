@@ -189,3 +189,25 @@ def test_detector_scores_rows_it_has_not_seen(spark):
     assert {r["row_id"]: r["is_outlier"] for r in model.transform(far).collect()} == {0: True, 1: False}
     with pytest.raises(ValueError):
         OutlierDetector(method="other")
+
+
+def test_duplicates_by_fingerprint_equal_duplicates_by_content(spark, monkeypatch):
+    nan = float("nan")
+    rows = [(1, None, "a", 0.0), (2, "a", None, 0.0), (3, None, "a", -0.0), (4, "a", None, nan), (5, "a", None, nan), (6, "x", "y", None), (7, "x", "y", None), (8, "q", "q", 1.0)]
+    df = spark.createDataFrame(rows, "row_id long, s string, t string, v double").repartition(3)
+    ids = lambda: sorted(r["row_id"] for r in clean.drop_duplicates(df, "row_id").collect())
+    plain = lambda: clean.drop_duplicates(df.drop("row_id")).count()
+    census = lambda: tuple(clean.duplicate_census(df, "row_id").first())
+    assert (ids(), plain(), census()) == ([1, 2, 4, 6, 8], 5, (6, 3))
+    monkeypatch.setattr(clean, "REPEATED", 0)
+    assert (ids(), plain(), census()) == ([1, 2, 4, 6, 8], 5, (6, 3))
+    # rows that share a fingerprint without being equal all stay
+    monkeypatch.setattr(clean, "REPEATED", 10)
+    monkeypatch.setattr(clean, "fingerprinted", lambda d, c: d.withColumns({p: F.lit(1).cast("long") for p in clean.PRINTS}))
+    assert (ids(), plain(), census()) == ([1, 2, 4, 6, 8], 5, (6, 3))
+
+
+def test_only_fingerprints_and_shared_rows_are_shuffled(spark):
+    df = spark.range(200).selectExpr("id", "repeat('x', 500) || (id % 190) as wide")
+    plan = clean.drop_duplicates(df, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and plan.count("Aggregate") == 1

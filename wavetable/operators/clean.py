@@ -9,27 +9,60 @@ from pyspark.sql import types as T
 from wavetable.functions.names import sample_id
 from wavetable.operators.columns import numeric_columns, quoted
 from wavetable.operators.position import with_position
+from wavetable.session import durable
 
 # Columns that together name a physical sample.
 SAMPLE_COLUMNS = ["SAMPLE NO", "plant", "wetlab ID"]
 
 
+#: Fingerprints that more than one row has are broadcast up to this number.
+REPEATED = 1_000_000
+PRINTS = ["__print_a", "__print_b"]
+
+
+def fingerprinted(df: DataFrame, content: list[str]) -> DataFrame:
+    """Add 128 bits that equal rows have in common; which columns are NULL counts as well."""
+    columns = [quoted(c) for c in content]
+    missing = [c.isNull() for c in columns]
+    return df.withColumns({PRINTS[0]: F.xxhash64(*columns, *missing), PRINTS[1]: F.xxhash64(F.lit("row"), *missing, *columns)})
+
+
+def repeated_prints(df: DataFrame, content: list[str]) -> DataFrame | None:
+    """Fingerprints of more than one row; None if they are too many to broadcast. Only fingerprints are shuffled."""
+    prints = fingerprinted(df, content).select(*PRINTS)
+    found = durable(prints.groupBy(*PRINTS).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*PRINTS))
+    return F.broadcast(found) if found.count() <= REPEATED else None
+
+
 def drop_duplicates(df: DataFrame, row_id: str | None = None) -> DataFrame:
     """One row per distinct content; with ``row_id`` the smallest id of the copies is kept.
 
-    Copies are merged before the shuffle, so a row repeated very often is no hot spot.
+    Rows of a fingerprint of their own stay where they are. Only those that share one are shuffled and compared
+    as a whole; copies are merged before that, so a row repeated very often is no hot spot. Beyond ``REPEATED``
+    shared fingerprints all rows are compared that way.
     """
-    if row_id is None:
-        return df.dropDuplicates()
-    content = [quoted(c) for c in df.columns if c != row_id]
-    kept = df.groupBy(*content).agg(F.min(row_id).alias(row_id))
-    return kept.select(*[quoted(c) for c in df.columns])
+    content = [c for c in df.columns if c != row_id]
+
+    def merged(rows: DataFrame) -> DataFrame:
+        if row_id is None:
+            return rows.dropDuplicates()
+        kept = rows.groupBy(*[quoted(c) for c in content]).agg(F.min(row_id).alias(row_id))
+        return kept.select(*[quoted(c) for c in df.columns])
+
+    repeated = repeated_prints(df, content) if content else None
+    if repeated is None:
+        return merged(df)
+    rows = fingerprinted(df, content)
+    alone, shared = (rows.join(repeated, PRINTS, kind).select(*[quoted(c) for c in df.columns]) for kind in ("left_anti", "left_semi"))
+    return alone.unionByName(merged(shared))
 
 
 def duplicate_census(df: DataFrame, row_id: str | None = None) -> DataFrame:
     """One row: members of any duplicate group, and how many rows removal would drop."""
-    content = [quoted(c) for c in df.columns if c != row_id]
-    copies = df.groupBy(*content).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    content = [c for c in df.columns if c != row_id]
+    repeated = repeated_prints(df, content) if content else None
+    rows = df if repeated is None else fingerprinted(df, content).join(repeated, PRINTS, "left_semi")
+    copies = rows.groupBy(*[quoted(c) for c in content]).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     return copies.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).cast("long").alias("duplicate_rows"),
         F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).cast("long").alias("removed_rows"),

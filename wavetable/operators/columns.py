@@ -112,7 +112,8 @@ def component_names(count: int) -> list[str]:
 def to_long(df: DataFrame, key: str = "row_id", spectrum: str = "spectrum", names=None) -> DataFrame:
     """Spectrum -> rows ``(key, channel, wavelength, value)``; wavelength is NULL without names."""
     names = names or channel_names(df, spectrum)
-    long = df.select(F.col(key), F.posexplode(spectrum).alias("channel", "value"))
+    # the outer form: Spark puts a filter on the array below the inner one and so computes the array twice
+    long = df.select(F.col(key), F.posexplode_outer(spectrum).alias("channel", "value")).filter(F.col("channel").isNotNull())
     if names and all(CHANNEL_NAME.match(str(n)) for n in names):
         place = F.get(F.array(*[F.lit(wavelength(str(n))) for n in names]), F.col("channel"))
     else:

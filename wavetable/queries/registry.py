@@ -67,7 +67,8 @@ def rounded(column, digits: int = 6):
 
 def long_values(df: DataFrame, *keys: str, spectrum: str = "spectrum", digits: int = 6) -> DataFrame:
     """``(keys..., k, v)`` with rounded values, for comparing array columns."""
-    exploded = df.select(*keys, F.posexplode(spectrum).alias("k", "v"))
+    # the outer form: Spark puts a filter on the array below the inner one and so computes the array twice
+    exploded = df.select(*keys, F.posexplode_outer(spectrum).alias("k", "v")).filter(F.col("k").isNotNull())
     return exploded.select(*keys, F.col("k").cast("long").alias("k"), rounded("v", digits).alias("v"))
 
 
