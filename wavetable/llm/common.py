@@ -26,15 +26,24 @@ def shared_file(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
 
 
+#: Spark's setting that removes the shuffle files of a query when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Later passes read the table instead of recomputing it, also after executors were lost. An empty
-    table keeps its schema.
+    table keeps its schema. Nobody reads the shuffles of the write again, so they don't wait for a garbage collection.
     """
     spark = df.sparkSession
     path = shared_file(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
