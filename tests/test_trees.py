@@ -250,8 +250,8 @@ def test_study_shares_work_and_uses_the_given_estimator(spark, whole, monkeypatc
     from wavetable.plans import jobs
 
     made, fitted = [], []
-    plain = jobs.fold_moments
-    monkeypatch.setattr(jobs, "fold_moments", lambda *a, **k: (made.append(1), plain(*a, **k))[1])
+    plain = jobs.moment_source
+    monkeypatch.setattr(jobs, "moment_source", lambda *a, **k: (made.append(1), plain(*a, **k))[1])
 
     class Mine(PLSRegressor):
         def _fit(self, df):

@@ -49,7 +49,19 @@ def latent_components(times, cross, n_components: int):
     """Weights, rotations, label loadings and score sums of squares (kernel PLS, one label).
 
     ``times(v)`` is the scatter matrix times a vector, so the matrix itself may stay distributed.
-    Stops early when nothing of the label is left to explain.
+    """
+    steps, image = latent_steps(cross, n_components), None
+    while True:
+        try:
+            image = times(steps.send(image))
+        except StopIteration as end:
+            return end.value
+
+
+def latent_steps(cross, n_components: int):
+    """The same as a generator: yields each rotation, is sent its image and returns the components.
+
+    Many fits can so advance together. Stops early when nothing of the label is left to explain.
     """
     cross = np.array(cross, dtype=np.float64)
     left = cross.copy()
@@ -61,7 +73,7 @@ def latent_components(times, cross, n_components: int):
             break
         weight = left / size
         rotation = weight - sum(((p @ weight) * r for p, r in zip(loadings, rotations)), np.zeros_like(weight))
-        image = times(rotation)
+        image = yield rotation
         energy = float(rotation @ image)
         if energy <= 0:
             break

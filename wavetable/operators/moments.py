@@ -7,25 +7,29 @@ and channel search need no further scan.
 
 Every task reduces its rows to one triangle per fold before the shuffle, which makes the shuffle
 independent of the row count and of how the rows spread over the folds. The triangle is summed row
-by row, by (p + 2) x folds reducers.
+by row in two steps: lots of about sqrt(tasks) tasks first, then the lots. So no reducer reads more than
+2 sqrt(tasks) rows of a triangle, however many tasks there are.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavetable.functions.arrow import to_block
 
-# The dense table is (p + 2)^2 doubles per fold on the driver; wider tables use `scatter_times`.
+# The dense table is (p + 2)^2 doubles per fold on the driver; wider tables use `scatter_times` and `wide`.
 MAX_DENSE_BYTES = 1 << 29
-TABLE_SCHEMA = "fold int, part int, vals array<double>"
+TABLE_SCHEMA = "fold int, part int, lot int, vals array<double>"
+BATCH_SCHEMA = "part int, lot int, vals array<double>"
 
 
 @dataclass(frozen=True)
@@ -106,6 +110,13 @@ class FoldMoments:
         parts = list(self.folds.values())
         return Moments(sum(m.gram for m in parts), parts[0].shift)
 
+    @property
+    def channels(self) -> int:
+        return next(iter(self.folds.values())).channels
+
+    def label_correlation(self) -> np.ndarray:
+        return self.total.label_correlation()
+
     def take(self, channels) -> "FoldMoments":
         return FoldMoments({k: m.take(channels) for k, m in self.folds.items()})
 
@@ -129,13 +140,13 @@ def provisional_shift(df: DataFrame, spectrum: str = "spectrum", label: str | No
                 yield pa.RecordBatch.from_pydict({"vals": pa.array([row], pa.list_(pa.float64()))})
                 return
 
-    row = _inputs(df, spectrum, label, None).mapInArrow(first_complete, "vals array<double>").first()
+    row = inputs(df, spectrum, label, None).mapInArrow(first_complete, "vals array<double>").first()
     if row is None:
         raise ValueError("no row has a complete spectrum and a label")
     return np.array(row["vals"], dtype=np.float64)
 
 
-def _inputs(df, spectrum, label, fold):
+def inputs(df, spectrum, label, fold):
     return df.select(
         F.col(spectrum).cast("array<double>").alias("x"),
         (F.col(label).cast("double") if label else F.lit(0.0)).alias("y"),
@@ -143,7 +154,7 @@ def _inputs(df, spectrum, label, fold):
     )
 
 
-def _rows_of(batch: pa.RecordBatch, shift: np.ndarray):
+def rows_of(batch: pa.RecordBatch, shift: np.ndarray):
     """Design rows ``(1, x - shift, y - shift_y)`` and folds of rows that miss nothing."""
     x = to_block(batch.column("x"))
     y = np.asarray(batch.column("y").to_numpy(zero_copy_only=False), dtype=np.float64)
@@ -158,6 +169,17 @@ def _rows_of(batch: pa.RecordBatch, shift: np.ndarray):
     return rows, folds[good]
 
 
+def lot() -> int:
+    """The lot of the running task: lot s holds the 2 s + 1 tasks from number s * s on."""
+    return math.isqrt(TaskContext.get().partitionId())
+
+
+def summed(parts: DataFrame, *keys: str) -> DataFrame:
+    """``(keys..., vals)``: the sums of the tasks' arrays, merged within each ``lot`` first."""
+    lots = parts.groupBy(*keys, "lot").agg(Summarizer.sum(array_to_vector("vals")).alias("v"))
+    return lots.groupBy(*keys).agg(Summarizer.sum(F.col("v")).alias("v")).select(*keys, vector_to_array("v").alias("vals"))
+
+
 def moment_table(
     df: DataFrame, spectrum: str = "spectrum", label: str | None = "label", fold: str | None = None, shift=None
 ) -> DataFrame:
@@ -167,7 +189,7 @@ def moment_table(
     def partial(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            rows, folds = _rows_of(batch, shift)
+            rows, folds = rows_of(batch, shift)
             for k in np.unique(folds):
                 mine = rows if fold is None else rows[folds == k]
                 gram = mine.T @ mine
@@ -178,13 +200,13 @@ def moment_table(
                 {
                     "fold": pa.array([k] * size, pa.int32()),
                     "part": pa.array(range(size), pa.int32()),
+                    "lot": pa.array([lot()] * size, pa.int32()),
                     "vals": pa.array([gram[i, i:] for i in range(size)], pa.list_(pa.float64())),
                 }
             )
 
-    parts = _inputs(df, spectrum, label, fold).mapInArrow(partial, TABLE_SCHEMA)
-    summed = parts.groupBy("fold", "part").agg(Summarizer.sum(array_to_vector("vals")).alias("v"))
-    return summed.select("fold", "part", vector_to_array("v").alias("vals"))
+    parts = inputs(df, spectrum, label, fold).mapInArrow(partial, TABLE_SCHEMA)
+    return summed(parts, "fold", "part")
 
 
 def fold_moments(
@@ -195,11 +217,13 @@ def fold_moments(
     size = len(shift) + 1
     if size * size * 8 > MAX_DENSE_BYTES:
         raise ValueError(f"{size - 2} channels are too many for a dense moment table")
-    rows = moment_table(df, spectrum, label, fold, shift).collect()
     grams: dict[int, np.ndarray] = {}
-    for row in rows:
-        gram = grams.setdefault(row["fold"], np.zeros((size, size)))
-        gram[row["part"], row["part"] :] = row["vals"]
+    for batch in moment_table(df, spectrum, label, fold, shift).toArrow().to_batches():
+        lists = batch.column("vals")
+        values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        for i, (k, part) in enumerate(zip(batch.column("fold").to_pylist(), batch.column("part").to_pylist())):
+            gram = grams.setdefault(k, np.zeros((size, size)))
+            gram[part, part:] = values[ends[i] : ends[i + 1]]
     if len(grams) * size * size * 8 > MAX_DENSE_BYTES:
         raise ValueError("too many folds x channels for dense moment tables")
     return FoldMoments(
@@ -231,10 +255,12 @@ def _sum_rows(df: DataFrame, function, size: int) -> np.ndarray:
         total = np.zeros(size)
         for batch in batches:
             total += function(batch)
-        yield pa.RecordBatch.from_pydict({"vals": pa.array([total], pa.list_(pa.float64()))})
+        yield pa.RecordBatch.from_pydict({
+            "part": pa.array([0], pa.int32()), "lot": pa.array([lot()], pa.int32()),
+            "vals": pa.array([total], pa.list_(pa.float64())),
+        })
 
-    parts = df.mapInArrow(partial, "vals array<double>")
-    return np.array(parts.agg(Summarizer.sum(array_to_vector("vals"))).first()[0].toArray())
+    return np.array(summed(df.mapInArrow(partial, BATCH_SCHEMA), "part").first()["vals"])
 
 
 def scatter_times(df: DataFrame, mean: np.ndarray, vector: np.ndarray, spectrum: str, label: str) -> np.ndarray:
@@ -245,11 +271,11 @@ def scatter_times(df: DataFrame, mean: np.ndarray, vector: np.ndarray, spectrum:
     shift = np.concatenate([mean, [0.0]])
 
     def function(batch):
-        rows, _ = _rows_of(batch, shift)
+        rows, _ = rows_of(batch, shift)
         x = rows[:, 1:-1]
         return x.T @ (x @ vector)
 
-    return _sum_rows(_inputs(df, spectrum, label, None), function, len(mean))
+    return _sum_rows(inputs(df, spectrum, label, None), function, len(mean))
 
 
 def channel_sums(df: DataFrame, spectrum: str):
@@ -258,11 +284,11 @@ def channel_sums(df: DataFrame, spectrum: str):
     p = len(shift) - 1
 
     def function(batch):
-        rows, _ = _rows_of(batch, shift)
+        rows, _ = rows_of(batch, shift)
         x = rows[:, 1:-1]
         return np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
 
-    total = _sum_rows(_inputs(df, spectrum, None, None), function, 2 * p + 1)
+    total = _sum_rows(inputs(df, spectrum, None, None), function, 2 * p + 1)
     return int(round(total[0])), shift[:-1], total[1 : p + 1], total[p + 1 :]
 
 
@@ -272,17 +298,17 @@ def first_moments(df: DataFrame, spectrum: str, label: str):
     p = len(shift) - 1
 
     def sums(batch):
-        rows, _ = _rows_of(batch, shift)
+        rows, _ = rows_of(batch, shift)
         return rows.sum(axis=0)
 
-    inputs = _inputs(df, spectrum, label, None)
-    total = _sum_rows(inputs, sums, p + 2)
+    needed = inputs(df, spectrum, label, None)
+    total = _sum_rows(needed, sums, p + 2)
     means = shift + total[1:] / total[0]
 
     def cross(batch):
-        rows, _ = _rows_of(batch, means)
+        rows, _ = rows_of(batch, means)
         x, y = rows[:, 1:-1], rows[:, -1]
         return np.concatenate([x.T @ y, (x * x).sum(axis=0)])
 
-    crossed = _sum_rows(inputs, cross, 2 * p)
+    crossed = _sum_rows(needed, cross, 2 * p)
     return int(round(total[0])), means[:-1], float(means[-1]), crossed[:p], crossed[p:]

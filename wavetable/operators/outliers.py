@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from wavetable.functions.spectral import count_extreme_channels, hotelling_t2
 from wavetable.operators.columns import filter_late
-from wavetable.operators.moments import moments
 from wavetable.operators.params import Settings, a_flag, a_float, a_text, an_int, floats
 from wavetable.operators.stats import channel_stats
-from wavetable.operators.transform import principal_axes
+from wavetable.operators.wide import channel_axes
 
 # Detector defaults.
 OUTLIER_THRESHOLD = 3.0
@@ -56,9 +55,7 @@ class OutlierDetector(Estimator, Settings):
         if method == "zscore":
             _, mean, std = channel_stats(df, self.spectrum)
         else:
-            m = moments(df, self.spectrum, None)
-            mean, std = m.mean, m.std
-            axes, eigenvalues, _ = principal_axes(m, std, self.value("nComponents"))
+            mean, std, axes, eigenvalues, _ = channel_axes(df, self.spectrum, self.value("nComponents"), True)
             kept = eigenvalues > 1e-12 * max(float(eigenvalues.max(initial=0.0)), 1e-300)
             axes, eigenvalues = axes[:, kept], eigenvalues[kept]
             t2 = hotelling_t2(F.col(self.spectrum).cast("array<double>"), mean, std, axes, eigenvalues)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from wavetable.functions.spectral import random_features
 from wavetable.operators.ensembles import TreeEnsemble, boost_of, forest_growth
 from wavetable.operators.latent import LinearSpectralModel, PLSRegressor
-from wavetable.operators.moments import Moments, _inputs, _rows_of, dense_fits, moments, provisional_shift
+from wavetable.operators.moments import Moments, dense_fits, inputs, moments, provisional_shift, rows_of
 from wavetable.operators.params import Settings, a_float, a_text, an_int, floats
 
 # Default parameters per model type.
@@ -278,7 +278,7 @@ def _epsilon_pass(data, theta, epsilon, width, zero):
     def partial(batches):
         total = np.zeros(1 + size + size * size)
         for batch in batches:
-            rows, _ = _rows_of(batch, zero)
+            rows, _ = rows_of(batch, zero)
             design, y = rows[:, :-1], rows[:, -1]
             miss = y - design @ theta
             excess = np.abs(miss) - epsilon
@@ -291,7 +291,7 @@ def _epsilon_pass(data, theta, epsilon, width, zero):
             {"part": pa.array(range(size + 2), pa.int32()), "vals": pa.array(_pieces(total, size), pa.list_(pa.float64()))}
         )
 
-    parts = _inputs(data, "spectrum", "label", None).mapInArrow(partial, "part int, vals array<double>")
+    parts = inputs(data, "spectrum", "label", None).mapInArrow(partial, "part int, vals array<double>")
     rows = parts.groupBy("part").agg(Summarizer.sum(array_to_vector("vals")).alias("v")).collect()
     pieces = {r["part"]: np.array(r["v"].toArray()) for r in rows}
     return float(pieces[0][0]), pieces[1], np.array([pieces[2 + i] for i in range(size)])
@@ -313,12 +313,12 @@ def _line_search(data, theta, direction, c, epsilon, width):
     def partial(batches):
         total = np.zeros(len(lengths))
         for batch in batches:
-            rows, _ = _rows_of(batch, zero)
+            rows, _ = rows_of(batch, zero)
             excess = np.abs(rows[:, -1:] - rows[:, :-1] @ trials) - epsilon
             total += _smooth_loss(excess, width).sum(axis=0)
         yield pa.RecordBatch.from_pydict({"vals": pa.array([total], pa.list_(pa.float64()))})
 
-    parts = _inputs(data, "spectrum", "label", None).mapInArrow(partial, "vals array<double>")
+    parts = inputs(data, "spectrum", "label", None).mapInArrow(partial, "vals array<double>")
     losses = parts.agg(Summarizer.sum(array_to_vector("vals"))).first()[0].toArray()
     objective = c * losses + 0.5 * (trials[1:] ** 2).sum(axis=0)
     best = int(objective.argmin())

@@ -15,9 +15,10 @@ from wavetable.functions.metrics import rmse
 from wavetable.functions.spectral import take_channels
 from wavetable.operators.columns import CHANNEL_NAME, channel_metadata, channel_names, wavelength
 from wavetable.operators.latent import fit_latent, fit_table
-from wavetable.operators.moments import FoldMoments, Moments, fold_moments
+from wavetable.operators.moments import FoldMoments, Moments
 from wavetable.operators.params import Settings, a_float, a_flag, a_text, an_int, floats, ints, texts
 from wavetable.operators.splits import contiguous_folds, shuffled_folds
+from wavetable.operators.wide import NO_FOLD, WideTable, moment_source
 from wavetable.session import durable
 
 # Schemas of the report tables.
@@ -133,21 +134,35 @@ def kept_count(channels: int, decay: float, run: int) -> int:
     return max(int(channels * decay**run), 1)
 
 
-def cars_search(folds: FoldMoments, runs: int, n_components: int, decay: float, scale: bool = True):
+def fit_run(table: FoldMoments | WideTable, chosen, n_components: int, scale: bool, score: bool = True):
+    """``(cross-validated rmse, coefficients on all rows)`` of PLS on the chosen channels."""
+    if isinstance(table, WideTable):
+        dense = table.dense(chosen)
+        if dense is not None:
+            table, chosen = dense, np.arange(len(chosen))
+    if isinstance(table, WideTable):
+        errors = table.cv_errors([chosen], n_components, scale, n_components)[0] if score else []
+        fit = table.fit_many([(np.asarray(chosen, dtype=int), NO_FOLD)], n_components, scale)[0]
+        return (float(np.mean(errors)) if errors else None), fit.coefficients()
+    error = cv_rmse(table.take(chosen), n_components, scale) if score else None
+    return error, fit_latent(table.total.take(chosen), n_components, scale).coefficients()
+
+
+def cars_search(table: FoldMoments | WideTable, runs: int, n_components: int, decay: float, scale: bool = True):
     """Competitive elimination; returns the final weights and one entry per run.
 
     Each run keeps the highest weights, scores them by cross-validation and refreshes the weights
-    of the kept channels. Nothing here touches the data again.
+    of the kept channels. Dense moments answer all of it without touching the data again; a wide table takes a
+    pass per component, or a single one once the kept channels fit a dense table.
     """
-    total = folds.total
-    p = total.channels
-    weights = rescaled(np.abs(fit_latent(total, n_components, scale).coefficients()))
+    p = table.channels
+    weights = rescaled(np.abs(fit_run(table, np.arange(p), n_components, scale, score=False)[1]))
     history = []
     for run in range(runs):
         chosen = np.sort(np.argsort(weights, kind="stable")[-kept_count(p, decay, run) :])
-        error = cv_rmse(folds.take(chosen), n_components, scale)
+        error, coefficients = fit_run(table, chosen, n_components, scale)
         history.append((run, len(chosen), error, [int(i) for i in chosen]))
-        weights[chosen] = np.abs(fit_latent(total.take(chosen), n_components, scale).coefficients())
+        weights[chosen] = np.abs(coefficients)
         weights = rescaled(weights)
     return weights, history
 
@@ -177,10 +192,10 @@ class CARSSelector(Estimator, Settings):
 
     def _fit(self, df):
         folded = with_folds(df, self.value("folds"), self.value("rowIdCol"), self.value("seed"))
-        table = fold_moments(folded, self.spectrum, self.label, FOLDS)
+        table = moment_source(folded, self.spectrum, self.label, FOLDS, self.value("folds"))
         return self.from_moments(table, channel_names(df, self.spectrum))
 
-    def from_moments(self, table: FoldMoments, names=None) -> CarsSelection:
+    def from_moments(self, table: FoldMoments | WideTable, names=None) -> CarsSelection:
         weights, history = cars_search(
             table, self.value("runs"), self.value("nComponents"), self.value("decay"), self.value("scale")
         )
@@ -210,8 +225,8 @@ def elimination_schedule(df: DataFrame, channels: str, decay: float, runs: int)
 class GeneticSelector(Estimator, Settings):
     """Genetic search for a channel subset.
 
-    Candidates are scored on Spark against broadcast fold moments: ``fitness`` is ``pls`` or
-    ``linear`` (cross-validated, negative rmse). A candidate with the better score wins, the smaller
+    Candidates are scored on Spark against broadcast fold moments, or, where these are too large, all
+    together by passes over the rows: ``fitness`` is ``pls`` or ``linear`` (cross-validated, negative rmse). A candidate with the better score wins, the smaller
     one on equal scores. Too large winners are cut by absolute correlation with the label. Any other
     learner can score candidates by ``estimator`` (fits on the data, slow) and ``evaluator``.
     """
@@ -239,7 +254,7 @@ class GeneticSelector(Estimator, Settings):
 
     def _fit(self, df):
         folded = with_folds(df, self.value("folds"), self.value("rowIdCol"), 0, contiguous=True)
-        table = fold_moments(folded, self.spectrum, self.label, FOLDS)
+        table = moment_source(folded, self.spectrum, self.label, FOLDS, self.value("folds"))
         names = channel_names(df, self.spectrum)
         if self.estimator is None:
             return self.from_moments(table, df.sparkSession, names)
@@ -253,7 +268,9 @@ class GeneticSelector(Estimator, Settings):
         folded = durable(with_folds(df, self.value("folds"), self.value("rowIdCol"), 0, contiguous=True))
         return self._fit_scores(folded, [np.asarray(m, dtype=bool) for m in masks])
 
-    def from_moments(self, table: FoldMoments, spark: SparkSession, names=None) -> GeneticSelection:
+    def from_moments(self, table: FoldMoments | WideTable, spark: SparkSession, names=None) -> GeneticSelection:
+        if isinstance(table, WideTable):
+            return self._search(table, wide_scorer(table, self.value("nComponents"), self.value("fitness")), names)
         with _Scorer(spark, table, self.value("nComponents"), self.value("fitness")) as scorer:
             return self._search(table, scorer, names)
 
@@ -277,13 +294,13 @@ class GeneticSelector(Estimator, Settings):
             self._known[mask] = float(np.mean([found[mask, k] for k in range(self.value("folds"))]))
         return [self._known.get(np.asarray(m).tobytes(), -np.inf) for m in masks]
 
-    def _search(self, table: FoldMoments, score, names) -> GeneticSelection:
-        p = table.total.channels
+    def _search(self, table: FoldMoments | WideTable, score, names) -> GeneticSelection:
+        p = table.channels
         winner, history = evolve(
             p, score, self.value("population"), self.value("generations"), self.value("crossover"),
             self.value("mutation"), self.value("seed"),
         )
-        strength = np.abs(table.total.label_correlation())
+        strength = np.abs(table.label_correlation())
         chosen = cut_by_correlation(np.flatnonzero(winner), strength, self.value("nFeatures"))
         return GeneticSelection(names, history, spectrumCol=self.spectrum, channels=chosen, scores=strength)
 
@@ -333,6 +350,23 @@ class _Scorer:
         return [self.known[k] for k in keys]
 
 
+def wide_scorer(table: WideTable, n_components: int, fitness: str):
+    """Scores a generation by a pass for each component; ``linear`` goes on until nothing of the label is left."""
+    known: dict[bytes, float] = {}
+
+    def score(masks):
+        keys = [np.packbits(m).tobytes() for m in masks]
+        unseen = {k: np.flatnonzero(m) for k, m in zip(keys, masks) if k not in known}
+        known.update({k: float("-inf") for k, c in unseen.items() if not len(c)})
+        fitted = [(k, c) for k, c in unseen.items() if len(c)]
+        most = n_components if fitness == "pls" else table.channels
+        errors = table.cv_errors([c for _, c in fitted], most, False) if fitted else []
+        known.update({k: -float(np.mean(e)) for (k, _), e in zip(fitted, errors)})
+        return [known[k] for k in keys]
+
+    return score
+
+
 def subset_score(table: FoldMoments, channels: np.ndarray, n_components: int, fitness: str) -> float:
     """Negative mean held-out rmse of one subset."""
     if not len(channels):

@@ -31,10 +31,15 @@ def channel_stats(df: DataFrame, spectrum: str = "spectrum") -> tuple[int, np.nd
 
 
 def mean_spectrum(df: DataFrame, spectrum: str = "spectrum", by=()) -> DataFrame:
-    """``(by..., channel, mean)``; arrays are averaged before anything is exploded."""
+    """``(by..., channel, mean)``; arrays are averaged before anything is exploded.
+
+    Means of lots of about sqrt(tasks) tasks are merged before those of the lots, weighted by their rows.
+    """
     by = [by] if isinstance(by, str) else list(by)
-    vectors = filter_late(df.select(*by, _vector(spectrum).alias("v")), F.col("v").isNotNull())
-    means = vectors.groupBy(*by).agg(Summarizer.mean(F.col("v")).alias("m"))
+    lot = F.floor(F.sqrt(F.spark_partition_id())).alias("__lot")
+    vectors = filter_late(df.select(*by, lot, _vector(spectrum).alias("v")), F.col("v").isNotNull())
+    lots = vectors.groupBy(*by, "__lot").agg(Summarizer.mean(F.col("v")).alias("v"), F.count(F.lit(1)).cast("double").alias("n"))
+    means = lots.groupBy(*by).agg(Summarizer.mean(F.col("v"), F.col("n")).alias("m"))
     return means.select(*by, F.posexplode(vector_to_array("m")).alias("channel", "mean"))
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from wavetable.functions import spectral
 from wavetable.operators.columns import channel_metadata, channel_names, component_names
-from wavetable.operators.moments import moments
 from wavetable.operators.params import Settings, a_flag, a_text, an_int, floats
 from wavetable.operators.stats import channel_stats
 
@@ -96,11 +95,13 @@ class ChannelPCA(Estimator, Settings):
     DEFAULTS = {"nComponents": 10, "standardize": True, "asColumns": False}
 
     def _fit(self, df):
-        m = moments(df, self.spectrum, None)
-        scale = m.std if self.value("standardize") else np.ones(m.channels)
-        loadings, eigenvalues, total = principal_axes(m, scale, self.value("nComponents"))
+        from wavetable.operators.wide import channel_axes
+
+        standardize = self.value("standardize")
+        mean, std, loadings, eigenvalues, total = channel_axes(df, self.spectrum, self.value("nComponents"), standardize)
         model = ChannelPCAModel(
-            mean=m.mean, scale=scale, loadings=loadings, eigenvalues=eigenvalues, totalVariance=[total]
+            mean=mean, scale=std if standardize else np.ones(len(mean)), loadings=loadings, eigenvalues=eigenvalues,
+            totalVariance=[total],
         )
         return self._copyValues(model)
 
@@ -140,8 +141,12 @@ def principal_axes(m, scale, n_components):
     k = int(min(n_components, m.channels, m.n))
     order = np.argsort(values)[::-1][:k]
     axes = vectors[:, order]
-    largest = axes[np.abs(axes).argmax(axis=0), np.arange(k)]
-    return axes * np.sign(largest), np.maximum(values[order], 0.0), float(np.trace(covariance))
+    return signed(axes), np.maximum(values[order], 0.0), float(np.trace(covariance))
+
+
+def signed(axes: np.ndarray) -> np.ndarray:
+    """The same axes with a positive largest loading."""
+    return axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
 
 
 class AsVector(Transformer, Settings):

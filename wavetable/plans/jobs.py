@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 
 from wavetable.functions.metrics import METRICS
 from wavetable.operators import clean, columns, rank
-from wavetable.operators.moments import FoldMoments, fold_moments
+from wavetable.operators.moments import FoldMoments
 from wavetable.operators.outliers import OutlierDetector
 from wavetable.operators.regress import create_model
 from wavetable.operators.search import GRIDS, adaptive_search, grid_search
 from wavetable.operators.select import FOLDS, CARSSelector, GeneticSelector, VIPSelector, with_folds
 from wavetable.operators.splits import assign_splits, two_way_column, two_way_split
 from wavetable.operators.stats import evaluate, target_summary
+from wavetable.operators.wide import WideTable, moment_source
 from wavetable.plans.chains import build_chain, correction_stages
 from wavetable.session import durable
 from wavetable.sources.runs import log_run
@@ -295,10 +296,10 @@ class Study:
     def train(self, transform: str, savgol: bool) -> DataFrame:
         return self.corrected(transform, savgol).filter("split = 'train'")
 
-    def moments(self, transform: str, savgol: bool, contiguous: bool) -> FoldMoments:
+    def moments(self, transform: str, savgol: bool, contiguous: bool) -> FoldMoments | WideTable:
         def build():
             folded = with_folds(self.train(transform, savgol), self.folds, self.row_id, self.seed, contiguous)
-            return fold_moments(folded, fold=FOLDS)
+            return moment_source(folded, fold=FOLDS, folds=self.folds)
 
         return self._once(("moments", transform, savgol, contiguous), build)
 
@@ -309,7 +310,8 @@ class Study:
                 return chooser.fit(self.train(e.transform, e.savgol))
             table = self.moments(e.transform, e.savgol, contiguous=e.selection == "ga")
             if e.selection == "vip":
-                return chooser.from_moments(table.total)
+                wide = isinstance(table, WideTable)
+                return chooser.fit(self.train(e.transform, e.savgol)) if wide else chooser.from_moments(table.total)
             return chooser.from_moments(table) if e.selection == "cars" else chooser.from_moments(table, self.spark)
 
         return self._once(("selection", e.transform, e.savgol, e.selection, e.n_features), build)
