@@ -3,16 +3,25 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from wavetable.functions.arrow import to_block
 from wavetable.functions.metrics import pair_counts, regression_metrics
 from wavetable.functions.spectral import whole
 from wavetable.operators.columns import filter_late, numeric_columns, quoted, split_columns
 from wavetable.operators.moments import channel_sums
 from wavetable.operators.position import exact_median
+from wavetable.session import durable
+
+#: Bytes of the spectra of one sample that a task sorts at once; larger samples are counted instead.
+SAMPLE_BYTES = 1 << 26
+#: Large samples are broadcast up to this number.
+LARGE_SAMPLES = 100_000
 
 # Replicate aggregations.
 REPLICATE_METHODS = ["mean", "median", "max", "min"]
@@ -48,16 +57,43 @@ def replicate_spectra(df: DataFrame, sample: str, method: str = "mean", spectrum
     if method not in REPLICATE_METHODS:
         raise ValueError(f"unknown aggregation method: {method}")
     if method == "median":
-        complete = df.select(sample, whole(F.col(spectrum).cast("array<double>")).alias("x"))
-        long = complete.select(sample, F.posexplode("x").alias("channel", "value"))
-        medians = exact_median(long, [sample, "channel"], "value", "value")
-        points = F.array_sort(F.collect_list(F.struct("channel", "value")))
-        return medians.groupBy(sample).agg(F.transform(points, lambda s: s["value"]).alias(spectrum))
+        return median_spectra(df, sample, spectrum)
     vectors = filter_late(df.select(sample, _vector(spectrum).alias("x")), F.col("x").isNotNull())
     summary = getattr(Summarizer, method)(F.col("x"))
     return vectors.groupBy(sample).agg(summary.alias("v")).select(sample, vector_to_array("v").alias(spectrum))
 
 
+def median_spectra(df: DataFrame, sample: str, spectrum: str = "spectrum") -> DataFrame:
+    """Channel-wise exact median of the complete scans of each sample.
+
+    A sample of at most ``SAMPLE_BYTES`` is sorted as one block, all channels at once and never exploded. The scans
+    of a larger one are not collected: they are counted by value within brackets, spread over many tasks.
+    """
+    key, x = "__sample", "__x"
+    rows = df.select(F.col(sample).alias(key), whole(F.col(spectrum).cast("array<double>")).alias(x))
+    sizes = rows.groupBy(key).agg(F.sum(F.when(F.col(x).isNotNull(), 8 * F.size(x)).otherwise(0)).alias("bytes"))
+    large = durable(sizes.filter(F.col("bytes") > SAMPLE_BYTES).select(F.col(key).alias("__large")))
+    count = large.count()
+    complete = filter_late(rows, F.col(x).isNotNull())
+
+    def sort(table: pa.Table) -> pa.Table:
+        middle = np.median(to_block(table.column(x)), axis=0)
+        return pa.table({key: table.column(key).slice(0, 1), x: pa.array([middle], pa.list_(pa.float64()))})
+
+    schema = T.StructType([rows.schema[key], T.StructField(x, T.ArrayType(T.DoubleType()))])
+    named = (F.col(key).alias(sample), F.col(x).alias(spectrum))
+    if not count:
+        return complete.groupBy(key).applyInArrow(sort, schema).select(*named)
+    known = F.broadcast(large) if count <= LARGE_SAMPLES else large
+    match = F.col(key).eqNullSafe(F.col("__large"))
+    small = complete.join(known, match, "left_anti").groupBy(key).applyInArrow(sort, schema)
+    long = complete.join(known, match, "left_semi").select(key, F.posexplode(x).alias("channel", "value"))
+    medians = exact_median(long, [key, "channel"], "value", "value")
+    points = F.array_sort(F.collect_list(F.struct("channel", "value")))
+    counted = medians.groupBy(key).agg(F.transform(points, lambda s: s["value"]).alias(x))
+    return small.unionByName(counted).select(*named)
+
+
 def replicate_columns(df: DataFrame, sample: str, columns, method: str = "mean") -> DataFrame:
     """Wide form: one row per sample, each column aggregated."""
     if method not in REPLICATE_METHODS:

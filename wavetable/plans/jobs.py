@@ -25,7 +25,7 @@ from wavetable.operators.stats import evaluate, target_summary
 from wavetable.operators.wide import WideTable, moment_source
 from wavetable.plans.chains import build_chain, correction_stages
 from wavetable.session import durable
-from wavetable.sources.runs import log_run
+from wavetable.sources.runs import RunLog
 from wavetable.sources.tables import prediction_table, read_table, save_model, write_dataset, write_json, write_table
 
 # Columns that never are features, and the usual name of the target.
@@ -354,14 +354,17 @@ class Study:
         with ThreadPool(parallelism) as pool:
             done = pool.map(inheritable_thread_target(self.spark)(one), experiments, chunksize=1)
         rows = []
+        log = RunLog(self.spark, f"{folder}/log") if folder else None
         for e, model, scores, status, message, seconds in done:
-            if folder and model is not None:
+            if log is not None and model is not None:
                 save_model(model, f"{folder}/models/{e.name}", {"metrics": scores, "experiment": e.name}, self.spark)
-                log_run(self.spark, f"{folder}/log", "study", e.name, e.params, scores, {"status": status})
+                log.add("study", e.name, e.params, scores, {"status": status})
             rows.append(
                 (e.name, e.model_type, e.transform, e.savgol, e.tuned, e.selection, e.n_features, status, message,
                  *[scores.get(m) for m in METRICS], seconds)
             )
+        if log is not None:
+            log.flush()
         return self.spark.createDataFrame(rows, STUDY)
 
 

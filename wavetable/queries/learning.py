@@ -273,6 +273,59 @@ def model_factory(spark, folder):
     return rows
 
 
+def _stumps(rounds: int, smoothing: float, least: int, rate: float) -> list[str]:
+    """Views of ``rounds`` trees of one split each, by trying every cut of every channel."""
+    views = ["""t as (select l_orderkey * 8 + l_linenumber as row_id, l_quantity::double as c0, round(l_discount * 100)::double as c1,
+  round(l_tax * 100)::double as c2, l_extendedprice::double as y from lineitem)""", "f0 as (select *, avg(y) over () as f from t)"]
+    for i in range(1, rounds + 1):
+        split = " union all ".join(f"select {c} as ch, c{c} as v, count(*) as n, sum(y - f) as s from f{i - 1} group by c{c}" for c in range(3))
+        views += [
+            f"s{i} as ({split})",
+            f"""w{i} as (select ch, v, sum(n) over o as nl, sum(s) over o as sl, sum(n) over a - sum(n) over o as nr, sum(s) over a - sum(s) over o as sr
+  from s{i} window o as (partition by ch order by v), a as (partition by ch))""",
+            f"""b{i} as (select ch, v, {rate} * sl / (nl + {smoothing}) as low, {rate} * sr / (nr + {smoothing}) as high from w{i}
+  where nl >= {least} and nr >= {least} order by sl * sl / (nl + {smoothing}) + sr * sr / (nr + {smoothing}) desc limit 1)""",
+            f"""f{i} as (select row_id, c0, c1, c2, y, f + case when case ch when 0 then c0 when 1 then c1 else c2 end <= v then low else high end as f
+  from f{i - 1}, b{i})""",
+        ]
+    return views
+
+
+def _line_items(spark, folder):
+    """Three channels of few different values, so that a cut between any two of them can be tried."""
+    percent = [F.round(F.col(c) * 100).cast("double") for c in ("l_discount", "l_tax")]
+    return table(spark, folder, "lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("row_id"),
+        F.array(F.col("l_quantity").cast("double"), *percent).alias("spectrum"), F.col("l_extendedprice").cast("double").alias("label"),
+    )
+
+
+def _stump_query(model_type, **params):
+    def run(spark, folder):
+        rows = _line_items(spark, folder)
+        return regress.train_model(rows, model_type, params).transform(rows).select("row_id", rounded("prediction", 4).alias("prediction"))
+
+    return run
+
+
+_STUMP_BODY = "select row_id::bigint as row_id, round(f, 4) + 0.0 as prediction from f{0}"
+query("boosted_stumps", with_views(*_stumps(3, 1.0, 1, 0.5), body=_STUMP_BODY.format(3)))(
+    _stump_query("xgb", n_estimators=3, max_depth=1, learning_rate=0.5, subsample=1.0, colsample_bytree=1.0)
+)
+query("leafwise_stumps", with_views(*_stumps(3, 0.0, 20, 0.5), body=_STUMP_BODY.format(3)))(
+    _stump_query("lgbm", n_estimators=3, num_leaves=2, learning_rate=0.5)
+)
+query("one_split_forest", with_views(*_stumps(1, 0.0, 1, 1.0), body=_STUMP_BODY.format(1)))(
+    _stump_query("rf", n_estimators=1, max_depth=1, bootstrap=False)
+)
+
+
+@query("one_split_importances", with_views(*_stumps(1, 0.0, 1, 1.0), body="select c.ch::int as channel, (c.ch = b1.ch)::int::double as importance from b1, (select distinct ch from s1) c"))
+def one_split_importances(spark, folder):
+    model = regress.train_model(_line_items(spark, folder), "rf", {"n_estimators": 1, "max_depth": 1, "bootstrap": False})
+    return regress.feature_importances(model, spark).select("channel", "importance")
+
+
 @query("tree_importances")
 def tree_importances(spark, folder):
     model = regress.train_model(spectra(spark, folder), "rf")

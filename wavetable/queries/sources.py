@@ -22,6 +22,39 @@ def csv_scan(spark, folder):
     return tables.read_table(spark, path).select(F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long"), *columns[2:])
 
 
+@query(
+    "content_ids",
+    """select o_orderstatus, o_orderpriority, count(*) as n, count(*) as ids, 0::bigint as first_copy, count(*) - 1 as last_copy
+      from orders group by all""",
+)
+def content_ids(spark, folder):
+    """Ids of rows that have many copies: all different, numbered without gaps."""
+    rows = tables.content_id(table(spark, folder, "orders").select("o_orderstatus", "o_orderpriority"))
+    copy = F.substring_index("row_id", "-", -1).cast("long")
+    return rows.groupBy("o_orderstatus", "o_orderpriority").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("ids"), F.min(copy).alias("first_copy"), F.max(copy).alias("last_copy")
+    )
+
+
+@query(
+    "run_log_buffered",
+    """select c_nationkey::varchar as experiment, c_custkey::varchar as run_id, key, value from (select c_nationkey, c_custkey, 'acctbal' as key,
+      c_acctbal as value from customer union all select c_nationkey, c_custkey, 'acctbal2', c_acctbal * 2 from customer)""",
+)
+def run_log_buffered(spark, folder):
+    """A log of many small appends, compacted and read again."""
+    place = scratch(spark)
+    runs_of = table(spark, folder, "customer").select(
+        F.col("c_nationkey").cast("string").alias("experiment"), F.col("c_custkey").cast("string").alias("run_id"), F.col("c_acctbal").alias("value")
+    )
+    for key, value in (("acctbal", F.col("value")), ("acctbal2", F.col("value") * 2)):
+        entries = runs_of.select("experiment", "run_id", F.lit(key).alias("key"), value.cast("double").alias("value"), F.lit(0).cast("long").alias("ts"), F.lit(0).cast("long").alias("step"))
+        runs.append_log(entries, f"{place}/many", "run_metrics")
+    runs.compact_log(spark, f"{place}/many", f"{place}/few", "run_metrics")
+    log = runs.read_log(spark, f"{place}/few", "run_metrics")
+    return log.select(F.col("experiment").cast("string").alias("experiment"), "run_id", "key", "value")
+
+
 @query(
     "formats_by_suffix",
     """select f as format, p_partkey, p_name, p_retailprice from part, (values ('csv'), ('parquet'), ('json'), ('orc')) v(f)""",

@@ -5,11 +5,14 @@ from __future__ import annotations
 import json
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wavetable.operators.clean import REPEATED
 from wavetable.operators.columns import channel_names, generic_names, nan_to_null, quoted, unpack
+from wavetable.operators.position import SLICE_ROWS
 from wavetable.operators.stats import long_metrics
+from wavetable.session import durable
 
 FORMATS = {".csv": "csv", ".parquet": "parquet", ".json": "json", ".orc": "orc"}
 
@@ -21,9 +24,12 @@ def format_of(path: str) -> str:
     raise ValueError(f"unsupported file format: {path}; use one of {', '.join(FORMATS)}")
 
 
-def read_table(spark: SparkSession, path: str, schema=None, format: str | None = None, row_id: str | None = "row_id") -> DataFrame:
+def read_table(
+    spark: SparkSession, path: str, schema=None, format: str | None = None, row_id: str | None = "row_id", ids: str = "position"
+) -> DataFrame:
     """Scan table by file suffix, missing values as NULL, with an increasing ``row_id``.
 
+    ``ids="content"`` gives ids that do not depend on how the files are cut: see ``content_id``.
     Pass a schema in production: inferring one reads a text source twice.
     """
     format = format or format_of(path)
@@ -35,15 +41,42 @@ def read_table(spark: SparkSession, path: str, schema=None, format: str | None =
     elif format == "csv":
         reader = reader.option("inferSchema", True)
     df = nan_to_null(reader.load(path))
+    if ids not in ("position", "content"):
+        raise ValueError(f"unknown ids: {ids}")
     if row_id and row_id not in df.columns:
+        if ids == "content":
+            return content_id(df, output=row_id).select(row_id, *[quoted(c) for c in df.columns])
         df = df.select(F.monotonically_increasing_id().alias(row_id), *[quoted(c) for c in df.columns])
     return df
 
 
 def content_id(df: DataFrame, columns=None, output: str = "row_id") -> DataFrame:
-    """Id from the content: the same row gets the same id in every run and file layout."""
+    """Text id ``<128 bits of the content>-<copy>``: a table has the same ids in every run and file layout.
+
+    Copies of a row are numbered from 0; as they are alike, it does not matter which gets which number. Only
+    contents that more than one row has are numbered, each in as many slices as its copies need, so neither a global
+    sort nor a hot key is needed. Rows alike in ``columns`` alone count as copies, and their numbers are arbitrary.
+    """
     columns = columns or df.columns
-    return df.withColumn(output, F.xxhash64(*[quoted(c) for c in columns]))
+    mark, copies, part, place = "__content", "__copies", "__part", "__place"
+    values = [quoted(c) for c in columns]
+    missing = [c.isNull() for c in values]
+    digits = [F.lower(F.lpad(F.hex(h), 16, "0")) for h in (F.xxhash64(*values, *missing), F.xxhash64(F.lit("row"), *missing, *values))]
+    marked = df.withColumn(mark, F.concat(*digits))
+    repeated = durable(marked.groupBy(mark).agg(F.count(F.lit(1)).alias(copies)).filter(F.col(copies) > 1))
+    known = F.broadcast(repeated) if repeated.count() <= REPEATED else repeated
+    alone = marked.join(known, mark, "left_anti").withColumn(output, F.concat(mark, F.lit("-0")))
+    slices = F.ceil(F.col(copies) / SLICE_ROWS)
+    # written, so that counts and numbers see the same slices
+    shared = durable(marked.join(known, mark).withColumn(part, F.pmod(F.monotonically_increasing_id(), slices)))
+    sizes = shared.groupBy(mark, part).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(mark).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(mark, part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(place))
+    inside = F.row_number().over(Window.partitionBy(mark, part).orderBy(F.lit(0))) - 1
+    numbered = shared.withColumn("__inside", inside).join(starts, [mark, part])
+    numbered = numbered.withColumn(output, F.concat_ws("-", F.col(mark), (F.col(place) + F.col("__inside")).cast("string")))
+    kept = [*[quoted(c) for c in df.columns if c != output], F.col(output)]
+    return alone.select(*kept).unionByName(numbered.select(*kept))
 
 
 def write_table(df: DataFrame, path: str, format: str = "parquet", partition_by=(), mode: str = "overwrite") -> None:
