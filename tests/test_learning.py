@@ -338,3 +338,18 @@ def learning_query(name):
     from wavetable.queries import QUERIES
 
     return QUERIES[name]
+
+
+def test_epsilon_fit_without_the_whole_scatter(spark, informative, monkeypatch):
+    x, y, _ = informative
+    y = y + np.random.default_rng(1).normal(size=len(y))
+    df = table(spark, x, y)
+
+    def objective(model):
+        w, b = model.array("coefficients"), model.value("intercept")
+        return np.maximum(np.abs(y - x @ w - b) - 0.1, 0).sum() + 0.5 * w @ w
+
+    whole = objective(regress.EpsilonRegressor(kernel="linear").fit(df))
+    monkeypatch.setattr(moments, "MAX_DENSE_BYTES", 1)
+    diagonal = objective(regress.EpsilonRegressor(kernel="linear").fit(df))
+    assert diagonal == pytest.approx(whole, rel=1e-3)

@@ -101,3 +101,20 @@ def test_medians_do_not_depend_on_the_block_limit(spark, monkeypatch, limit):
     assert found == expected
     plan = stats.replicate_spectra(df, "s", "median")._jdf.queryExecution().optimizedPlan().toString()
     assert ("Generate" in plan) == (limit < 1 << 26)
+
+
+def test_run_files_are_scanned_as_written(spark, tmp_path):
+    rows = [("a b", "r+1", "rmse", 0.5, 2, 1), ("a b", "r+1", "rmse", 0.25, 1, 0), ("a b", "r+1", "mae", None, 1, 0), ("c%20", "r", "rmse", -1e-7, 3, 2)]
+    entries = spark.createDataFrame(rows, runs.RUN_METRICS)
+    for _ in range(2):  # writing again replaces
+        runs.write_run_files(entries, str(tmp_path))
+    assert (tmp_path / "a b/r+1/metrics/rmse").read_text() == "1 0.25 0\n2 0.5 1\n"
+    assert not [p for p in tmp_path.rglob("*") if p.name.startswith(".") and not p.name.endswith(".crc")]
+    found = sorted(map(tuple, runs.scan_metrics(spark, str(tmp_path)).collect()), key=str)
+    assert [r for r in found if r[3] == r[3]] == sorted([r for r in rows if r[3] is not None], key=str)
+    assert [r[:3] for r in found if r[3] != r[3]] == [("a b", "r+1", "mae")]
+    params = spark.createDataFrame([("e", "r", "model", "two words"), ("e", "r", "empty", None)], runs.RUN_PARAMS)
+    runs.write_run_files(params, str(tmp_path / "p"), "params")
+    assert sorted(map(tuple, runs.scan_params(spark, str(tmp_path / "p")).collect())) == [("e", "r", "empty", ""), ("e", "r", "model", "two words")]
+    with pytest.raises(Exception, match="no file name in key"):
+        runs.write_run_files(spark.createDataFrame([("e", "r", "a/b", "x")], runs.RUN_PARAMS), str(tmp_path), "params")

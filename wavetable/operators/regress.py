@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from wavetable.functions.spectral import random_features
 from wavetable.operators.ensembles import TreeEnsemble, boost_of, forest_growth
 from wavetable.operators.latent import LinearSpectralModel, PLSRegressor
-from wavetable.operators.moments import Moments, dense_fits, inputs, moments, provisional_shift, rows_of
+from wavetable.operators.moments import Moments, dense_fits, first_moments, inputs, lot, moments, provisional_shift, rows_of
 from wavetable.operators.params import Settings, a_float, a_text, an_int, floats
+from wavetable.session import durable
 
 # Default parameters per model type.
 DEFAULTS = {
@@ -150,8 +151,8 @@ def fit_elastic_net_wide(df: DataFrame, alpha: float, l1_ratio: float, spectrum=
 class EpsilonRegressor(Estimator, Settings):
     """Support-vector style regression: ``1/2 |w|^2 + C sum max(0, |y - f(x)| - epsilon)``.
 
-    ``linear`` works on the spectrum, ``rbf`` on random Fourier features of it. Newton steps on a
-    smoothed loss, whose smoothing is tightened in stages; every step is one aggregation pass.
+    ``linear`` works on the spectrum, ``rbf`` on random Fourier features of it. Rows are written once with
+    ``checkpoint()``; every quasi-Newton step is one aggregation pass over them, see ``epsilon_fit``.
     """
 
     kernel = a_text("kernel")
@@ -159,10 +160,10 @@ class EpsilonRegressor(Estimator, Settings):
     epsilon = a_float("epsilon")
     gamma = a_text("gamma", "scale, auto or a number")
     nFeatures = an_int("nFeatures", "random features of the rbf kernel")
-    maxIter = an_int("maxIter", "Newton steps per smoothing stage")
+    maxIter = an_int("maxIter", "most quasi-Newton steps")
     seed = an_int("seed")
     DEFAULTS = {
-        "kernel": "rbf", "c": 1.0, "epsilon": 0.1, "gamma": "scale", "nFeatures": 256, "maxIter": 8, "seed": 42,
+        "kernel": "rbf", "c": 1.0, "epsilon": 0.1, "gamma": "scale", "nFeatures": 256, "maxIter": 200, "seed": 42,
         "outputCol": "prediction",
     }
 
@@ -171,22 +172,18 @@ class EpsilonRegressor(Estimator, Settings):
         if kernel not in ("linear", "rbf"):
             raise ValueError(f"unsupported kernel: {kernel}")
         directions = phases = None
-        data = df.select(
+        data = durable(df.select(
             F.col(self.spectrum).cast("array<double>").alias("spectrum"), F.col(self.label).cast("double").alias("label")
-        )
+        ))
         if kernel == "rbf":
-            directions, phases = self._features(df)
+            directions, phases = self._features(data)
             data = data.withColumn("spectrum", random_features("spectrum", directions, phases))
-        data = data.persist()
-        try:
-            w, b = epsilon_fit(data, self.value("c"), self.value("epsilon"), self.value("maxIter"))
-        finally:
-            data.unpersist()
+        w, b = epsilon_fit(data, self.value("c"), self.value("epsilon"), self.value("maxIter"))
         extra = {} if directions is None else {"directions": directions, "phases": phases}
         return self._copyValues(EpsilonModel(coefficients=w, intercept=b, **extra))
 
     def _features(self, df):
-        summary = _block_variance(df, self.spectrum)
+        summary = _block_variance(df)
         p, variance = summary
         text = self.value("gamma")
         if text == "scale":
@@ -198,11 +195,11 @@ class EpsilonRegressor(Estimator, Settings):
         return rng.normal(0.0, np.sqrt(2 * gamma), (p, size)), rng.uniform(0, 2 * np.pi, size)
 
 
-def _block_variance(df, spectrum):
+def _block_variance(df):
     """Channel count and the variance over all values of all channels."""
     from wavetable.operators.stats import channel_stats
 
-    _, mean, std = channel_stats(df, spectrum)
+    _, mean, std = channel_stats(df)
     return len(mean), float((std**2).mean() + mean.var())
 
 
@@ -230,99 +227,107 @@ class EpsilonModel(Model, Settings):
         return df.withColumn(self.output, linear_score(column, self.array("coefficients"), self.value("intercept")))
 
 
-def epsilon_fit(data: DataFrame, c: float, epsilon: float, steps: int, stages=(1.0, 0.1, 0.01)):
-    """Coefficients and intercept of the epsilon-insensitive fit on ``(spectrum, label)``."""
-    shift = provisional_shift(data)
+#: Width of the smoothed corner of the loss, in standard deviations of the label.
+CORNER = 0.01
+#: Step lengths that one pass tries.
+LENGTHS = np.array([2.0, 1.0, 0.5, 0.2, 0.05, 0.01])
+#: Past steps that the quasi-Newton direction knows, and the smallest share of rows that the curvature is taken from.
+MEMORY, SHARE = 30, 0.02
+
+
+def epsilon_fit(data: DataFrame, c: float, epsilon: float, passes: int = 200, tol: float = 1e-5):
+    """Coefficients and intercept of the epsilon-insensitive fit on ``(spectrum, label)``.
+
+    Limited-memory quasi-Newton steps on the loss with a smoothed corner, in the metric of the rows' moments. Every
+    step is one pass, which has the loss and slope of all step lengths; a pass moves O(channels) numbers.
+    """
+    shift, n, spread, cross, turn, back, scale = _metric(data)
     p = len(shift) - 1
-    zero = np.zeros(p + 1)
-    spread = data.agg(F.stddev_pop("label")).first()[0] or 1.0
-    theta = np.zeros(p + 1)
-    theta[0] = data.agg(F.avg("label")).first()[0]
+    # with the diagonal alone some steps are small on the way
+    patience = small = 1 if dense_fits(p) else 6
+    width = max(CORNER * spread, 1e-6)
     ridge = np.concatenate([[0.0], np.ones(p)])
-    for stage in stages:
-        width = max(stage * spread, 1e-6)
-        loss, gradient, curve = _epsilon_pass(data, theta, epsilon, width, zero)
-        for _ in range(steps):
-            objective = c * loss + 0.5 * theta[1:] @ theta[1:]
-            slope = c * gradient + ridge * theta
-            if np.abs(slope).max() <= 1e-6 * max(1.0, objective):
-                break
-            hessian = c * curve + np.diag(ridge) + 1e-9 * np.eye(p + 1) * max(1.0, c * curve[0, 0])
-            step = -np.linalg.solve(hessian, slope)
-            # the full step usually helps, and its pass already is the next iteration's
-            trial = theta + step
-            after = _epsilon_pass(data, trial, epsilon, width, zero)
-            gain = objective - (c * after[0] + 0.5 * trial[1:] @ trial[1:])
-            if gain <= 0:
-                trial, moved = _line_search(data, theta, step, c, epsilon, width)
-                if not moved:
-                    break
-                after = _epsilon_pass(data, trial, epsilon, width, zero)
-                gain = objective - (c * after[0] + 0.5 * trial[1:] @ trial[1:])
-            theta, (loss, gradient, curve) = trial, after
-            if gain <= 1e-7 * objective:
-                break
-    return theta[1:], float(theta[0])
-
-
-def _smooth_loss(excess, width):
-    """Zero below 0, quadratic up to ``width``, linear beyond."""
-    inside = np.clip(excess, 0, width)
-    return inside**2 / (2 * width) + np.maximum(excess - width, 0)
-
-
-def _epsilon_pass(data, theta, epsilon, width, zero):
-    """Loss, gradient and curvature of the smoothed loss, reduced in each task first."""
-    size = len(theta)
 
-    def partial(batches):
-        total = np.zeros(1 + size + size * size)
-        for batch in batches:
-            rows, _ = rows_of(batch, zero)
-            design, y = rows[:, :-1], rows[:, -1]
-            miss = y - design @ theta
-            excess = np.abs(miss) - epsilon
-            slope = -np.sign(miss) * np.clip(excess / width, 0, 1)
-            active = design[(excess > 0) & (excess < width)]
-            total[0] += _smooth_loss(excess, width).sum()
-            total[1 : 1 + size] += design.T @ slope
-            total[1 + size :] += (active.T @ active / width).ravel()
-        yield pa.RecordBatch.from_pydict(
-            {"part": pa.array(range(size + 2), pa.int32()), "vals": pa.array(_pieces(total, size), pa.list_(pa.float64()))}
-        )
+    def judged(thetas):
+        losses, shares, slopes = _epsilon_pass(data, shift, np.array(thetas).T, epsilon, width)
+        return [(c * x + 0.5 * t[1:] @ t[1:], c * g + ridge * t, a / n) for t, x, a, g in zip(thetas, losses, shares, slopes)]
+
+    def best_of(thetas):
+        found = judged(thetas)
+        least = min(range(len(found)), key=lambda k: found[k][0])
+        return thetas[least], *found[least]
+
+    # the label's mean alone, and squared-error fits of several strengths
+    starts = [back(turn(cross) * k / (scale * k + 1.0)) for k in c * np.array([0.0, 0.1, 1.0, 10.0, 100.0])]
+    theta, value, slope, share = best_of([np.concatenate([[0.0], w]) for w in starts])
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(passes):
+        curve = c * max(share, SHARE) / width
+        direction = _two_loops(slope, steps, lambda g: np.concatenate([g[:1] / (curve * n), back(turn(g[1:]) / (curve * scale + 1.0))]))
+        at, after, after_slope, after_share = best_of([theta - k * direction for k in LENGTHS])
+        gain = value - after
+        if not gain > 0:
+            break
+        step, change = at - theta, after_slope - slope
+        if step @ change > 1e-12 * np.linalg.norm(step) * np.linalg.norm(change):
+            steps = [*steps, (step, change)][-MEMORY:]
+        theta, value, slope, share = at, after, after_slope, after_share
+        small = small - 1 if gain <= tol * value else patience
+        if not small:
+            break
+    return theta[1:], float(shift[-1] + theta[0] - theta[1:] @ shift[:-1])
 
-    parts = inputs(data, "spectrum", "label", None).mapInArrow(partial, "part int, vals array<double>")
-    rows = parts.groupBy("part").agg(Summarizer.sum(array_to_vector("vals")).alias("v")).collect()
-    pieces = {r["part"]: np.array(r["v"].toArray()) for r in rows}
-    return float(pieces[0][0]), pieces[1], np.array([pieces[2 + i] for i in range(size)])
 
+def _two_loops(slope, steps, solve):
+    """Inverse curvature times ``slope``: ``solve`` corrected by the past ``(step, change of slope)``."""
+    rest, pulls = slope.copy(), []
+    for step, change in reversed(steps):
+        pulls.append(step @ rest / (step @ change))
+        rest = rest - pulls[-1] * change
+    out = solve(rest)
+    for (step, change), pull in zip(steps, reversed(pulls)):
+        out = out + (pull - change @ out / (step @ change)) * step
+    return out
 
-def _pieces(total, size):
-    yield total[:1]
-    yield total[1 : 1 + size]
-    for i in range(size):
-        yield total[1 + size + i * size : 1 + size + (i + 1) * size]
 
+def _metric(data):
+    """Means, rows, spread of the label, ``S_xy`` and the channel scatter as ``back(scale * turn(v))``.
+
+    The whole scatter where its moments fit the driver, otherwise its diagonal.
+    """
+    shift = provisional_shift(data)
+    if dense_fits(len(shift) - 1):
+        m = moments(data, "spectrum", "label", shift)
+        scatter = m.scatter
+        scale, axes = np.linalg.eigh(scatter[:-1, :-1])
+        spread = float(np.sqrt(max(scatter[-1, -1], 0.0) / m.n)) or 1.0
+        return np.append(m.mean, m.label_mean), m.n, spread, scatter[:-1, -1], lambda v: axes.T @ v, lambda v: axes @ v, np.maximum(scale, 0.0)
+    n, mean, level, cross, squares = first_moments(data, "spectrum", "label")
+    spread = data.agg(F.stddev_pop("label")).first()[0] or 1.0
+    return np.append(mean, level), n, spread, cross, lambda v: v, lambda v: v, squares
 
-def _line_search(data, theta, direction, c, epsilon, width):
-    """Best of several step lengths, all tried in one pass."""
-    lengths = np.array([0.0, 0.7, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001])
-    trials = theta[:, None] + direction[:, None] * lengths
-    zero = np.zeros(len(theta))
+
+def _epsilon_pass(data, shift, trials, epsilon, width):
+    """Losses, rows in the corner and slopes of the columns of ``trials``; the driver adds up the sums of about sqrt(tasks) lots."""
+    size, count = trials.shape
 
     def partial(batches):
-        total = np.zeros(len(lengths))
+        total = np.zeros((count, size + 2))
         for batch in batches:
-            rows, _ = rows_of(batch, zero)
-            excess = np.abs(rows[:, -1:] - rows[:, :-1] @ trials) - epsilon
-            total += _smooth_loss(excess, width).sum(axis=0)
-        yield pa.RecordBatch.from_pydict({"vals": pa.array([total], pa.list_(pa.float64()))})
-
-    parts = inputs(data, "spectrum", "label", None).mapInArrow(partial, "vals array<double>")
-    losses = parts.agg(Summarizer.sum(array_to_vector("vals"))).first()[0].toArray()
-    objective = c * losses + 0.5 * (trials[1:] ** 2).sum(axis=0)
-    best = int(objective.argmin())
-    return trials[:, best], best != 0
+            rows, _ = rows_of(batch, shift)
+            design = rows[:, :-1]
+            miss = rows[:, -1:] - design @ trials
+            excess = np.abs(miss) - epsilon
+            inside = np.clip(excess, 0, width)
+            total[:, 0] += (inside**2 / (2 * width) + np.maximum(excess - width, 0)).sum(axis=0)
+            total[:, 1] += ((excess > 0) & (excess < width)).sum(axis=0)
+            total[:, 2:] -= (np.sign(miss) * inside / width).T @ design
+        yield pa.RecordBatch.from_pydict({"lot": pa.array([lot()], pa.int32()), "vals": pa.array([total.ravel()], pa.list_(pa.float64()))})
+
+    parts = inputs(data, "spectrum", "label", None).mapInArrow(partial, "lot int, vals array<double>")
+    lots = parts.groupBy("lot").agg(Summarizer.sum(array_to_vector("vals")).alias("v")).collect()
+    total = sum(r["v"].toArray() for r in lots).reshape(count, size + 2)
+    return total[:, 0], total[:, 1], total[:, 2:]
 
 
 def epsilon_objective(df: DataFrame, label: str, prediction: str, coefficients, c: float, epsilon: float) -> float:

@@ -8,6 +8,7 @@ from wavetable.operators.outliers import OutlierDetector
 from wavetable.operators.transform import MSC, SNV, ChannelPCA, ChannelScaler, SavGol
 
 
+# Chain names, their window of 15, order of 2 and ten components.
 def chains(spectrum: str = "spectrum") -> dict[str, list]:
     """Stages by chain name."""
     on = {"spectrumCol": spectrum}

@@ -216,6 +216,25 @@ def correlation_cut(spark, folder):
     return spark.createDataFrame([(int(i),) for i in chosen], "k long")
 
 
+@query(
+    "selected_channels_cut",
+    with_views(
+        T, L, _VIP,
+        body="""select k::bigint as k, round(score, 6) as score from (
+          select k, score, row_number() over (order by abs(r.r) desc, k desc) as n from r join vip using (k) where score >= 1.0)
+        where n <= 10""",
+    ),
+)
+def selected_channels_cut(spark, folder):
+    """The channels that a selector chose, cut to the ten most correlated with the label."""
+    scans = spectra(spark, folder)
+    found = select.VIPSelector(nComponents=1).fit(scans)
+    strength = np.abs(moments(scans).label_correlation())
+    kept = select.cut_by_correlation(np.asarray(found.value("channels")), strength, 10)
+    scores = found.table(spark).filter("selected").select(F.col("channel").cast("long").alias("k"), rounded("score").alias("score"))
+    return scores.filter(F.col("k").isin([int(k) for k in kept]))
+
+
 _SINGLE = "a as (select row_id, label as y, x[1] as a from t)"
 
 

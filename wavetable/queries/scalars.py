@@ -8,6 +8,7 @@ from wavetable.functions import names
 from wavetable.operators.clean import add_sample_id
 from wavetable.operators.columns import rename_columns
 from wavetable.queries.registry import query, rounded, table
+from wavetable.sources.tables import prediction_table
 
 
 @query(
@@ -86,8 +87,8 @@ def experiment_names(spark, folder):
 
 @query("prediction_errors", "select o_orderkey, round(o_totalprice - o_custkey, 4) + 0.0 as error from orders")
 def prediction_errors(spark, folder):
-    error = F.col("o_totalprice") - F.col("o_custkey")
-    return table(spark, folder, "orders").select("o_orderkey", rounded(error, 4).alias("error"))
+    judged = prediction_table(table(spark, folder, "orders"), "o_totalprice", "o_custkey", ["o_orderkey"])
+    return judged.select("o_orderkey", rounded(F.col("error"), 4).alias("error"))
 
 
 @query("event_stamps", "select event_id, strftime(ts, '%Y%m%d_%H%M%S') as stamp from events")

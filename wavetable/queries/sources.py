@@ -197,6 +197,38 @@ def run_log_lines(spark, folder):
     return runs.metric_lines(back).drop("experiment")
 
 
+@query(
+    "run_log_files",
+    """select 'events' as experiment, strftime(ts, '%Y%m%d') as run_id, event_type as key, value, epoch_us(ts) // 1000 as ts,
+      event_id as step from events""",
+)
+def run_log_files(spark, folder):
+    """A run a day, a file for each of its metrics, scanned again."""
+    place = scratch(spark)
+    entries = table(spark, folder, "events").select(
+        F.lit("events").alias("experiment"), F.date_format("ts", "yyyyMMdd").alias("run_id"), F.col("event_type").alias("key"),
+        "value", F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("ts"), F.col("event_id").alias("step"),
+    )
+    runs.write_run_files(entries, place)
+    return runs.scan_metrics(spark, place)
+
+
+@query(
+    "run_param_files",
+    """select 'nation ' || s_nationkey as experiment, s_suppkey::varchar as run_id, unnest(['name', 'nation']) as key,
+      unnest([s_name, s_nationkey::varchar]) as value from supplier""",
+)
+def run_param_files(spark, folder):
+    """A run for each supplier, a file for each of its parameters, scanned again."""
+    place = scratch(spark)
+    params = F.create_map(F.lit("name"), F.col("s_name"), F.lit("nation"), F.col("s_nationkey").cast("string"))
+    entries = table(spark, folder, "supplier").select(
+        F.concat(F.lit("nation "), F.col("s_nationkey")).alias("experiment"), F.col("s_suppkey").cast("string").alias("run_id"), F.explode(params),
+    )
+    runs.write_run_files(entries, place, "params")
+    return runs.scan_params(spark, place)
+
+
 @query(
     "run_log_appended",
     """select user_id::varchar as run_id, event_type as key, value, epoch_us(ts) as ts, event_id as step from events""",
