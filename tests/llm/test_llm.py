@@ -286,6 +286,22 @@ def test_keep_first_with_null_and_reused_ids(spark):
     assert minhash.keep_first(table.limit(0)).collect() == []
 
 
+def test_near_duplicates_with_null_ids(spark):
+    """A null id links others and is never chosen before an id."""
+    words = prose(41, 100).split()
+    steps = [" ".join(["x"] * k + words[k:]) for k in (0, 12, 24)]  # neighbours are near, the ends are not
+    lone = prose(42, 60)
+    rows = [(5, steps[0]), (None, steps[1]), (3, steps[2]), (None, lone), (None, lone), (7, None), (None, ""), (9, prose(43, 60)), (9, steps[0]), (9, " ")]
+    table = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, id string").repartition(3)
+    sets = [{tuple(w[k : k + 2]) for k in range(len(w) - 1)} for w in (s.split() for s in steps)]
+    near = [100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for a, b in ((0, 1), (1, 2), (0, 2))]
+    assert near == [True, True, False]
+    got = [(r.doc_id, r.n_shingles > 0, r.component_id, r.kept) for r in minhash.near_duplicates(table, width=2).collect()]
+    want = [(5, True, 3, False), (None, True, 3, False), (3, True, 3, True), (None, True, None, True), (None, True, None, True)]
+    want += [(7, False, 7, True), (None, False, None, True), (9, True, 3, False), (9, True, 3, False), (9, False, 3, False)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_components_of_a_path(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 200), (200, 300), (7, 7)]
     out = minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
@@ -311,6 +327,17 @@ def test_chat_round_trip(spark):
         assert chat.loss_text(r.formatted, r.starts, r.ends, r["mask"]) == "".join(said for role, said in expected if role == "assistant")
 
 
+def test_loss_mask_against_every_character():
+    rng = random.Random(11)
+    for _ in range(300):
+        cuts = sorted({0, *rng.choices(range(40), k=rng.randint(0, 12)), 40})
+        starts, ends = np.array(cuts[:-1]), np.array(cuts[1:])
+        bounds = sorted(rng.choices(range(41), k=2 * rng.randint(0, 4)))
+        spans = list(zip(bounds[::2], bounds[1::2]))
+        plain = [any(a <= c < b for a, b in spans) for c in range(40)]
+        assert chat.loss_mask(starts, ends, spans).tolist() == [any(plain[a:b]) for a, b in zip(starts, ends)]
+
+
 def test_chat_empty(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), byte_bpe()).collect() == []
 

@@ -8,10 +8,11 @@ bit-parallel distance decides around each hit. Letters' case, punctuation and wh
 from __future__ import annotations
 
 import re
+import uuid
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -151,6 +152,29 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str):
         yield chunk
 
 
+#: The automaton of the last block that this worker has seen, by the block's number.
+_BUILT: dict[str, Items] = {}
+
+
+def built(shared, percent: int, min_words: int) -> Items:
+    """The automaton of a block that was broadcast, built once in each worker."""
+    if shared.id not in _BUILT:
+        _BUILT.clear()
+        _BUILT[shared.id] = Items(shared.value, percent, min_words)
+    return _BUILT[shared.id]
+
+
+class Block:
+    """A broadcast block of items (see BLOCK_CHARS for its bound) under a number of its own."""
+
+    def __init__(self, spark: SparkSession, items: list):
+        self.id, self._items = uuid.uuid4().hex, spark.sparkContext.broadcast(items)
+
+    @property
+    def value(self) -> list:
+        return self._items.value
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
     percent: int = PERCENT, min_words: int = MIN_WORDS,
@@ -174,8 +198,10 @@ def leaks(
     types = [pa.int32()] * 3
 
     def search(items):
+        shared = Block(docs.sparkSession, items)
+
         def run(batches):
-            tool = Items(items, percent, min_words)
+            tool = built(shared, percent, min_words)
             for batch in batches:
                 for low in range(0, len(batch), 512):
                     texts = batch.column(1).slice(low, 512).to_pylist()
@@ -206,8 +232,10 @@ def drop_contaminated(
     """Rows of ``docs`` in which no test item occurs; all columns stay. See ``leaks`` for what counts."""
 
     def keep(items):
+        shared = Block(docs.sparkSession, items)
+
         def run(batches):
-            tool = Items(items, percent, min_words)
+            tool = built(shared, percent, min_words)
             for batch in batches:
                 clean = [not tool.hits(normal(t or "")) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))

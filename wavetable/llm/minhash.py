@@ -324,8 +324,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents are linked if 100 * intersection >= percent * union of their shingle sets; ``component_id`` is
     the smallest id that a document reaches, and the document with that id is kept. A document without
     words (null, empty or blank text) is linked with nothing. Rows with the same id are one document; if their
-    texts differ, it has the links of all of them. Ids must not be null. Other columns are not carried on.
+    texts differ, it has the links of all of them. Rows with a null id are documents of their own that link
+    others too; one that reaches no id has a null ``component_id`` and is kept, any other is not. Other columns
+    are not carried on.
     """
+    if not docs.filter(F.col(id_col).isNull()).isEmpty():
+        return _by_text(docs, id_col, text_col, width, percent)
     signed = written(signatures(docs, id_col, text_col, width))
     classes = signed.filter("key is not null").groupBy("key").agg(F.min("id").alias("class"))
     placed = written(signed.select("id", "key").join(classes, "key").select("id", "class").distinct())
@@ -341,6 +345,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
+def _by_text(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """``near_duplicates`` of a table with null ids: texts stand for their rows, and ids with several texts link these."""
+    text = F.col(text_col).cast("string")
+    rows = written(docs.select(F.col(id_col).alias("id"), text_key(text).alias("key"), text.alias("text")))
+    found = written(near_duplicates(rows.groupBy("key").agg(F.first("text").alias("text")), "key", "text", width, percent))
+    placed = written(rows.join(found.select("key", "n_shingles", F.col("component_id").alias("component")), "key").select("id", "n_shingles", "component"))
+    lows = placed.filter("n_shingles > 0 and id is not null").groupBy("id").agg(F.min("component").alias("low"))
+    bridges = placed.filter("n_shingles > 0").join(lows, "id").filter("component <> low").select(F.col("component").alias("a"), F.col("low").alias("b"))
+    joined = components(bridges.distinct()).select(F.col("id").alias("component"), F.col("component").alias("whole"))
+    placed = written(placed.join(joined, "component", "left").withColumn("whole", F.when(F.col("n_shingles") > 0, F.coalesce("whole", "component"))))
+    least = placed.filter("whole is not null").groupBy("whole").agg(F.min("id").alias("low"))
+    # a row without words belongs to its id, which other rows of the id may have linked
+    of_id = placed.filter("id is not null").join(least, "whole", "left").groupBy("id").agg(F.min("low").alias("mine"))
+    out = placed.join(least, "whole", "left").join(of_id, "id", "left")
+    component = F.coalesce("mine", "low", "id")
+    kept = F.when(F.col("id").isNull(), component.isNull()).otherwise(F.col("id") == component)
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = PERCENT) -> DataFrame:
     """Rows of ``docs`` without near duplicates; all columns stay.
 
