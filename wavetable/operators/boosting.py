@@ -37,15 +37,15 @@ class Boost:
 
 def local_rounds(shared, boost: Boost, least: float):
     """(base, trees) of one booster on a broadcast table; tree values are scaled by the rate."""
-    keys, t, x, order = train_part(shared, boost.fold)
-    rows, base = np.ascontiguousarray(x.T), float(t.mean()) if len(t) else 0.0
+    keys, t, x = train_part(shared, boost.fold)
+    base = float(t.mean()) if len(t) else 0.0
     score, trees = np.full(len(t), base), []
     for tree in range(boost.rounds):
         key = tree_key(boost.seed, tree)
         w = row_weights(keys, key, boost.share)
-        arrays = grow_tree(x, order, t - score, w, boost.rule, key, least).arrays()
+        arrays = grow_tree(x, t - score, w, boost.rule, key, least)
         arrays["value"] = arrays["value"] * boost.rate
-        score += arrays["value"][route(rows, arrays)]
+        score += arrays["value"][route(x, arrays)]
         trees.append(arrays)
     return base, trees
 
@@ -85,7 +85,7 @@ def score_boosters(data: Binned, boosts: list[Boost], stops: list[list[int]]) ->
             for m in batch.column(0).to_pylist():
                 base, trees = local_rounds(shared.value, boosts[m], least)
                 held = folds == boosts[m].fold
-                rows, y = np.ascontiguousarray(x[:, held].T), t[held]
+                rows, y = x[held], t[held]
                 score, errors = np.full(len(y), base), {}
                 for i, arrays in enumerate(trees, 1):
                     score += arrays["value"][route(rows, arrays)]

@@ -35,6 +35,8 @@ LOCAL_BYTES = 1 << 26
 SMALL = 20_000
 #: Histograms of one pass and task.
 HISTOGRAM_BYTES = 1 << 26
+#: Nodes of at most FEW rows are sorted many at once, larger ones counted into bins; so many rows and channels at a time.
+FEW, ROWS_AT_ONCE, CHANNELS_AT_ONCE = 256, 2048, 64
 #: Gains below this share of the label's variance are rounding.
 NOISE = 1e-9
 
@@ -107,7 +109,7 @@ class Binned:
         """The whole table as arrays on every executor; only for tables that are ``local``."""
         part = self.table.orderBy("key", "label", "bins").toArrow()
         x = np.frombuffer(b"".join(part.column("bins").to_pylist()), np.uint8).reshape(-1, self.channels)
-        arrays = (part.column("key").to_numpy(), part.column("fold").to_numpy(), part.column("label").to_numpy() - self.mean, np.ascontiguousarray(x.T))
+        arrays = (part.column("key").to_numpy(), part.column("fold").to_numpy(), part.column("label").to_numpy() - self.mean, x)
         return self.table.sparkSession.sparkContext.broadcast(arrays)
 
 
@@ -246,60 +248,179 @@ def gains(left_weight, left_sum, weight, total, smoothing):
 
 
 def best_of_sorted(x, order, node, starts, t, w, rule: Rule, allowed):
-    """Best split of each node; ``order`` has the rows of all nodes sorted by bin, for each channel."""
-    order = np.take_along_axis(order, np.argsort(node[order], axis=1, kind="stable"), axis=1)
-    counts = np.diff(np.append(starts, order.shape[1]))
-    segment = np.repeat(np.arange(len(starts)), counts)
-    bins = np.take_along_axis(x, order, axis=1)
-    weight, total = np.cumsum(w[order], axis=1), np.cumsum((w * t)[order], axis=1)
-    before = lambda c: np.where(starts > 0, c[:, starts - 1], 0.0)
-    ends = starts + counts - 1
-    base_w, base_t = before(weight), before(total)
-    all_w, all_t = (weight[:, ends] - base_w)[0], (total[:, ends] - base_t)[0]
-    left_w, left_t = weight - base_w[:, segment], total - base_t[:, segment]
-    left_n = np.arange(order.shape[1]) - starts[segment] + 1
-    fits = (left_n >= rule.min_leaf) & (counts[segment] - left_n >= max(1, rule.min_leaf))
-    valid = np.zeros(order.shape, bool)
-    valid[:, :-1] = (bins[:, :-1] != bins[:, 1:]) & fits[:-1]
+    """Best split of each node, one by one; ``x`` is (channels, rows), ``order`` has the rows of all nodes for each channel."""
+    rows = order[0][np.argsort(node[order[0]], kind="stable")]
+    found = best_splits(np.ascontiguousarray(x.T), rows, starts, t, w, rule, allowed)
+    for k, split in enumerate(zip(*(column.tolist() for column in found))):
+        yield k, *split
+
+
+def best_splits(x, rows, starts, t, w, rule: Rule, allowed):
+    """(gain, feature, bin, rows, weight, sum) of the best split of each node, as arrays; the last three are its left side's.
+
+    ``x`` is (rows, channels), ``rows`` lists the rows of one node after another, ``starts`` where each begins. Blocks of
+    rows and channels bound the memory, however many rows there are.
+    """
+    counts = np.diff(np.append(starts, len(rows)))
+    best = [np.full(len(starts), -np.inf), *(np.zeros(len(starts), kind) for kind in (np.int64, np.int64, np.int64, float, float))]
+    small = np.flatnonzero(counts <= FEW)
+    ends, groups, low = np.cumsum(counts[small]), [], 0
+    while low < len(small):
+        high = int(np.searchsorted(ends, (ends[low - 1] if low else 0) + ROWS_AT_ONCE, "right"))
+        groups.append(small[low:high])
+        low = high
+    for first in range(0, x.shape[1], CHANNELS_AT_ONCE):
+        part = slice(first, first + CHANNELS_AT_ONCE)
+        mask = None if allowed is None else allowed[:, part]
+        for k in np.flatnonzero(counts > FEW).tolist():
+            table = histogram_of(x, part, rows[starts[k] : starts[k] + counts[k]], t, w)
+            keep(best, np.array([k]), first, [np.array([v]) for v in best_of_histogram(table, rule, None if mask is None else mask[k])])
+        for nodes in groups:
+            sizes = counts[nodes]
+            begin = np.cumsum(sizes) - sizes
+            some = rows[np.arange(sizes.sum()) + np.repeat(starts[nodes] - begin, sizes)]
+            keep(best, nodes, first, best_of_rows(x[some, part], begin, sizes, t[some], w[some], rule, None if mask is None else mask[nodes]))
+    return best
+
+
+def keep(best, nodes, first, found) -> None:
+    """Put what beats the best split so far in its place; equal gains leave the lower channel."""
+    won = found[0] > best[0][nodes]
+    for i, values in enumerate(found):
+        best[i][nodes[won]] = values[won] + first if i == 1 else values[won]
+
+
+def histogram_of(x, part: slice, rows, t, w) -> np.ndarray:
+    """(3, channels, bins): rows, weights and sums of one node."""
+    channels = x[:1, part].shape[1]
+    table, plain = np.zeros((3, channels * BINS)), bool((w[rows] == 1).all())
+    for low in range(0, len(rows), ROWS_AT_ONCE):
+        some = rows[low : low + ROWS_AT_ONCE]
+        index = (x[some, part] + np.arange(channels) * BINS).ravel()
+        table[0] += np.bincount(index, minlength=table.shape[1])
+        if not plain:
+            table[1] += np.bincount(index, np.repeat(w[some], channels), table.shape[1])
+        table[2] += np.bincount(index, np.repeat(w[some] * t[some], channels), table.shape[1])
+    if plain:
+        table[1] = table[0]
+    return table.reshape(3, channels, BINS)
+
+
+def best_of_rows(x, begin, sizes, t, w, rule: Rule, allowed):
+    """The same for many small nodes; all arrays hold their rows one node after another, at most 4,096 rows."""
+    count, nodes = len(x), np.arange(len(begin))
+    slot, place = np.repeat(nodes, sizes), np.arange(count)
+    # one sort by node, bin and row: twelve, eight and twelve bits
+    head = ((slot << 20) | place).astype(np.uint32)
+    order = (np.ascontiguousarray(x.T).astype(np.uint32) << np.uint32(12)) | head
+    order.sort(axis=1)
+    row = (order & np.uint32(4095)).astype(np.intp)
+    weight, total = (np.add.reduceat(v, begin) for v in (w, w * t))
+
+    def sums(values, of_node):
+        """Running sums within nodes: every node's first value takes back the sum of the node before."""
+        out = values[row]
+        out[:, begin[1:]] -= of_node[:-1]
+        return np.cumsum(out, axis=1, out=out)
+
+    left_n = place - begin[slot] + 1
+    at = np.flatnonzero((left_n >= rule.min_leaf) & (sizes[slot] - left_n >= max(1, rule.min_leaf)))
+    left_n, slot = left_n[at], slot[at]
+    left_t = sums(w * t, total)[:, at]
+    left_w = np.broadcast_to(left_n.astype(float), left_t.shape) if (w == 1).all() else sums(w, weight)[:, at]
+    gain = gains(left_w, left_t, weight[slot], total[slot], rule.smoothing)
+    bins = order >> np.uint32(12)
+    wrong = bins[:, at] == bins[:, at + 1]
     if rule.min_weight:
-        valid &= (left_w >= rule.min_weight) & (all_w[segment] - left_w >= rule.min_weight)
+        wrong |= (left_w < rule.min_weight) | (weight[slot] - left_w < rule.min_weight)
     if allowed is not None:
-        valid &= allowed.T[:, segment]
-    gain = np.where(valid, gains(left_w, left_t, all_w[segment], all_t[segment], rule.smoothing), -np.inf)
-    best = np.maximum.reduceat(gain, starts, axis=1)
-    for k, (f, a, b) in enumerate(zip(best.argmax(axis=0), starts, starts + counts)):
-        at = a + int(gain[f, a:b].argmax())
-        yield k, float(gain[f, at]), int(f), int(bins[f, at]), int(left_n[at]), float(left_w[f, at]), float(left_t[f, at])
-
-
-def grow_tree(x, sorted_rows, t, w, rule: Rule, key, least: float, depth: int = 0, tree=None) -> Builder:
-    """A whole tree of the rows with a weight; ``x`` is (channels, rows), ``sorted_rows`` their order by bin."""
-    used = w > 0
-    order = sorted_rows[used[sorted_rows]].reshape(len(x), -1) if not used.all() else sorted_rows
-    builder = Builder(rule, key, len(x), int(used.sum()), float(w.sum()), float((w * t).sum()), depth, tree)
-    place = np.where(used, 0, -1)  # node of every row
+        wrong |= ~allowed[slot].T
+    gain[wrong] = -np.inf
+    most = np.maximum.reduceat(gain, np.searchsorted(slot, nodes), axis=1)
+    f = most.argmax(axis=0)
+    top = most[f, nodes]
+    hits = np.flatnonzero(gain[f[slot], np.arange(len(slot))] == top[slot])
+    first = hits[np.unique(slot[hits], return_index=True)[1]]
+    return top.astype(float), f, (bins[f, at[first]] & np.uint32(255)).astype(np.int64), left_n[first], left_w[f, first], left_t[f, first]
+
+
+def grow_tree(x, t, w, rule: Rule, key, least: float, depth: int = 0, tree=None) -> dict[str, np.ndarray]:
+    """A whole tree of the rows with a weight; ``x`` is (rows, channels)."""
+    if rule.max_leaves is not None:
+        return grow_leafwise(x, t, w, rule, key, least, depth, tree)
+    rows = np.flatnonzero(w > 0)
+    keys, sizes = np.array([key], np.uint64), np.array([len(rows)])
+    weight, total = np.array([w[rows].sum()]), np.array([(w[rows] * t[rows]).sum()])
+    only = None if rule.tree_channels is None else drawn_channels(np.array([key if tree is None else tree]), x.shape[1], rule.tree_channels)
+    enough, levels, before = max(rule.min_split, 2 * rule.min_leaf, 2), [], 0
     while True:
+        count = len(keys)
+        value = np.divide(total, weight + rule.smoothing, out=np.zeros(count), where=weight > 0)
+        level = {"feature": np.full(count, -1), "bin": np.zeros(count, int), "left": np.full(count, -1), "value": value, "rows": sizes,
+                 "weight": weight, "gain": np.zeros(count), "depth": np.full(count, depth)}
+        levels.append(level)
+        open_ = sizes >= enough
+        if rule.max_depth is not None and depth >= rule.max_depth:
+            open_[:] = False
+        if open_.any():
+            rows = rows[np.repeat(open_, sizes)]
+            starts = np.cumsum(sizes[open_]) - sizes[open_]
+            label = t[rows]
+            mixed = np.maximum.reduceat(label, starts) > np.minimum.reduceat(label, starts)  # equal labels have nothing to gain
+            rows = rows[np.repeat(mixed, sizes[open_])]
+            open_[np.flatnonzero(open_)[~mixed]] = False
+        nodes = np.flatnonzero(open_)
+        if not len(nodes):
+            break
+        starts = np.cumsum(sizes[nodes]) - sizes[nodes]
+        if rule.node_channels is not None:
+            allowed = drawn_channels(keys[nodes], x.shape[1], rule.node_channels)
+        else:
+            allowed = None if only is None else np.repeat(only, len(nodes), axis=0)
+        gain, feature, at, left_n, left_w, left_t = best_splits(x, rows, starts, t, w, rule, allowed)
+        good = (gain > least) & (gain > 2 * rule.min_gain)
+        rows = rows[np.repeat(good, sizes[nodes])]
+        nodes, gain, feature, at, left_n, left_w, left_t = (c[good] for c in (nodes, gain, feature, at, left_n, left_w, left_t))
+        if not len(nodes):
+            break
+        before += count
+        level["feature"][nodes], level["bin"][nodes], level["gain"][nodes] = feature, at, gain
+        level["left"][nodes] = before + 2 * np.arange(len(nodes))
+        right = x[rows, np.repeat(feature, sizes[nodes])] > np.repeat(at, sizes[nodes])
+        pairs = lambda a, b: np.stack([a, b], axis=1).ravel()
+        parts = pairs(left_n, sizes[nodes] - left_n)
+        goes = np.repeat(np.arange(len(parts)) % 2 == 1, parts)
+        moved = np.empty_like(rows)
+        moved[~goes], moved[goes] = rows[~right], rows[right]
+        rows, sizes = moved, parts
+        keys = pairs(mix(keys[nodes], 1), mix(keys[nodes], 2))
+        weight, total = pairs(left_w, weight[nodes] - left_w), pairs(left_t, total[nodes] - left_t)
+        depth += 1
+    return {name: np.concatenate([level[name] for level in levels]).astype(kind) for name, kind in FIELDS.items()}
+
+
+def grow_leafwise(x, t, w, rule: Rule, key, least: float, depth: int = 0, tree=None) -> dict[str, np.ndarray]:
+    """A tree whose best leaf is split first, until it has its leaves."""
+    rows = np.flatnonzero(w > 0)
+    builder = Builder(rule, key, x.shape[1], len(rows), float(w[rows].sum()), float((w[rows] * t[rows]).sum()), depth, tree)
+    rows_of = {0: rows}
+    while builder.leaves < rule.max_leaves:
         nodes = builder.wanted()
         if nodes:
-            rank = np.full(len(builder.keys) + 1, -1)
-            rank[nodes] = np.arange(len(nodes))
-            node = rank[place]
-            inside = node >= 0
-            some = order if inside[order[0]].all() else order[inside[order]].reshape(len(x), -1)
-            starts = np.concatenate([[0], np.cumsum(np.bincount(node[inside], minlength=len(nodes)))[:-1]])
-            kind = np.uint8 if len(nodes) < 256 else np.uint16 if len(nodes) < 65536 else np.int64
-            for k, *split in best_of_sorted(x, some, np.where(inside, node, 0).astype(kind), starts, t, w, rule, builder.allowed(nodes)):
-                builder.offer(nodes[k], *split, least)
+            parts = [rows_of[k] for k in nodes]
+            starts = np.cumsum([0, *map(len, parts[:-1])])
+            found = best_splits(x, np.concatenate(parts), starts, t, w, rule, builder.allowed(nodes))
+            for k, *split in zip(nodes, *(column.tolist() for column in found)):
+                builder.offer(k, *split, least)
         taken = builder.advance()
         if not taken:
-            return builder
+            break
         c = builder.columns
-        split = np.zeros(len(builder.keys) + 1, bool)
-        split[taken] = True
-        rows = np.flatnonzero(split[place])
-        at = place[rows]
-        feature, bound, left = (np.array(c[name])[at] for name in ("feature", "bin", "left"))
-        place[rows] = left + (x[feature, rows] > bound)
+        for k in taken:
+            mine = rows_of.pop(k)
+            right = x[mine, c["feature"][k]] > c["bin"][k]
+            rows_of[c["left"][k]], rows_of[c["left"][k] + 1] = mine[~right], mine[right]
+    return builder.arrays()
 
 
 def sorted_by_bin(x: np.ndarray) -> np.ndarray:
@@ -343,6 +464,23 @@ class Forest:
             moving = moving[~final[here]]
         return n["value"][at].reshape(len(x), len(self))
 
+    def predict_depths(self, x: np.ndarray, depths: list, min_split: int = 2) -> dict:
+        """What ``predict`` gives for each of several depths, from one walk."""
+        n, out, step = self.nodes, {}, 0
+        final = (n["left"] < 0) | (n["rows"] < min_split)
+        at = np.repeat(self.roots[None, :-1], len(x), axis=0).ravel()
+        row = np.repeat(np.arange(len(x)), len(self))
+        moving = np.flatnonzero(~final[at])
+        while len(moving):
+            if step in depths:
+                out[step] = n["value"][at].reshape(len(x), len(self))
+            here = at[moving]
+            at[moving] = here = n["left"][here] + (x[row[moving], n["feature"][here]] > n["bin"][here])
+            moving = moving[~final[here]]
+            step += 1
+        last = n["value"][at].reshape(len(x), len(self))
+        return {depth: out.get(depth, last) for depth in depths}
+
     def importances(self, channels: int) -> np.ndarray:
         """Gains of each channel as a share of its tree's gains, averaged over the trees that split at all."""
         split, tree = self.nodes["left"] >= 0, np.repeat(np.arange(len(self)), np.diff(self.roots))
@@ -397,11 +535,10 @@ class Growth:
 
 
 def train_part(shared, fold):
-    """(keys, labels, bins, order) of the rows outside ``fold``."""
+    """(keys, labels, bins) of the rows outside ``fold``."""
     keys, folds, t, x = shared
     part = slice(None) if fold is None else np.flatnonzero(folds != fold)
-    x = np.ascontiguousarray(x[:, part])
-    return keys[part], t[part], x, sorted_by_bin(x)
+    return keys[part], t[part], x[part]
 
 
 def tree_blocks(growths: list[Growth], size: int) -> list[tuple[int, int, int]]:
@@ -409,12 +546,12 @@ def tree_blocks(growths: list[Growth], size: int) -> list[tuple[int, int, int]]:
 
 
 def block_forest(growth: Growth, part, low: int, high: int, least: float) -> list[dict[str, np.ndarray]]:
-    keys, t, x, order = part
+    keys, t, x = part
     out = []
     for tree in range(low, high):
         key = tree_key(growth.seed, tree)
         w = row_weights(keys, key, None if growth.bootstrap else 1.0)
-        out.append(grow_tree(x, order, t, w, growth.rule, key, least).arrays())
+        out.append(grow_tree(x, t, w, growth.rule, key, least))
     return out
 
 
@@ -464,9 +601,10 @@ def score_forests(data: Binned, growths: list[Growth], cuts: list[list[Cut]], bl
             for g, low, high in zip(*(c.to_pylist() for c in batch.columns)):
                 growth = growths[g]
                 forest = Forest.of(block_forest(growth, train_part(shared.value, growth.fold), low, high, least))
-                held = np.ascontiguousarray(x[:, folds == growth.fold].T)
+                held = x[folds == growth.fold]
+                found = {split: forest.predict_depths(held, [c.max_depth for c in cuts[g] if c.min_split == split], split) for split in {c.min_split for c in cuts[g]}}
                 for depth, split in sorted({(c.max_depth, c.min_split) for c in cuts[g]}, key=str):
-                    sums = np.cumsum(forest.predict(held, depth, split), axis=1)
+                    sums = np.cumsum(found[split][depth], axis=1)
                     stops = sorted({min(c.trees, high) for c in cuts[g] if (c.max_depth, c.min_split) == (depth, split) and c.trees > low} | {high})
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -711,10 +849,10 @@ def finish_small(data: Binned, targets, weights, folds, builders: dict[int, Buil
     def grow(rows):
         m, k = rows.column("model")[0].as_py(), rows.column("node")[0].as_py()
         whole = lambda name, kind: np.frombuffer(b"".join(rows.column(name).to_pylist()), kind)
-        x = np.ascontiguousarray(whole("bins", np.uint8).reshape(-1, channels).T)
+        x = whole("bins", np.uint8).reshape(-1, channels)
         rule, key, depth, tree = starts[m, k]
-        part = grow_tree(x, sorted_by_bin(x), whole("target", float), whole("weight", float), rule, key, least, depth, tree)
-        return pa.Table.from_arrays([pa.array([m], pa.int32()), pa.array([k], pa.int32()), pa.array([tree_bytes(part.arrays())], pa.binary())], names=["model", "tree", "arrays"])
+        part = grow_tree(x, whole("target", float), whole("weight", float), rule, key, least, depth, tree)
+        return pa.Table.from_arrays([pa.array([m], pa.int32()), pa.array([k], pa.int32()), pa.array([tree_bytes(part)], pa.binary())], names=["model", "tree", "arrays"])
 
     dealt = data.table.mapInArrow(deal, "model int, node int, bins binary, target binary, weight binary")
     for r in dealt.groupBy("model", "node").applyInArrow(grow, TREE).collect():
