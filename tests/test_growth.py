@@ -56,3 +56,31 @@ def test_growth_needs_few_bytes_beside_the_table(rule):
         peaks.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
     assert peaks[1] < 32 << 20 and peaks[1] - peaks[0] < 500 * 10_000
+
+
+def test_packed_forests_say_what_whole_ones_say(monkeypatch):
+    x, t, w = rows_of(2000, 6)
+    grown = [trees.grow_tree(x, t, w, rule, trees.tree_key(42, k), 1e-9) for k, rule in enumerate((Rule(), Rule(max_leaves=30), Rule(min_leaf=3000)))]
+    forest = Forest.of(grown)
+    packed = trees.PackedForest.decoded(forest.packed(6).encoded())
+    assert packed.trees == [trees.packed_tree(t, 6) for t in grown]
+    expected = forest.predict(x).sum(axis=1)
+    assert np.allclose(packed.total(x), expected, atol=1e-12) and "kept" in vars(packed)
+    assert np.allclose(packed.total(x), expected, atol=1e-12)
+    monkeypatch.setattr(trees, "UNPACKED_BYTES", 10)
+    large = forest.packed(6)
+    assert np.allclose(large.total(x), expected, atol=1e-12) and "kept" not in vars(large)
+    shares = [np.bincount(t["feature"][t["left"] >= 0], t["gain"][t["left"] >= 0], 6) for t in grown[:2]]
+    assert np.allclose(packed.importances(6), np.mean([s / s.sum() for s in shares], axis=0))
+
+
+def test_a_fitted_forest_is_small_on_the_driver(spark):
+    from conftest import table
+
+    from wavetable.operators import regress
+
+    rng = np.random.default_rng(3)
+    model = regress.train_model(table(spark, rng.normal(size=(1500, 4)), rng.integers(0, 10, 1500).astype(float)), "rf", {"n_estimators": 20})
+    text = model.stages[-1].value("forest")
+    nodes = sum(len(splits) for splits, *_ in trees.PackedForest.decoded(text).unpacked())
+    assert nodes > 20_000 and len(text) < 8 * nodes

@@ -150,8 +150,7 @@ def tree_score(spectrum: Column | str, forest, edges, base: float, scale: float)
 
     def kernel(x):
         binned = np.stack([np.searchsorted(e, x[:, k]) for k, e in enumerate(edges)], axis=1).astype(np.uint8)
-        sums = np.concatenate([forest.predict(binned[a : a + 4096]).sum(axis=1) for a in range(0, len(x), 4096)])
-        return np.where(np.isfinite(x).all(axis=1), base + scale * sums, np.nan)
+        return np.where(np.isfinite(x).all(axis=1), base + scale * forest.total(binned), np.nan)
 
     return _scoring_function(kernel, name="tree_score")(spectrum)
 

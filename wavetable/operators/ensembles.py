@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wavetable.functions.spectral import tree_score
 from wavetable.operators.boosting import Boost, grow_boosters, score_boosters
 from wavetable.operators.params import Settings, a_float, a_text, an_int, floats, ints
-from wavetable.operators.trees import Binned, Cut, Forest, Growth, Rule, binned, grow_forests, score_forests
+from wavetable.operators.trees import Binned, Cut, Growth, PackedForest, Rule, binned, fit_forests, score_forests
 
 
 def channel_count(share, channels: int) -> int | None:
@@ -113,11 +113,11 @@ class TreeEnsemble(Estimator, Settings):
         if kind == "rf":
             growth, cut = forest_growth(p, data.channels)
             rule = Rule(**{**growth.rule.__dict__, "max_depth": cut.max_depth, "min_split": cut.min_split})
-            forest, base = grow_forests(data, [Growth(None, cut.trees, rule, growth.bootstrap, growth.seed)])[0], data.mean
+            forest, base = fit_forests(data, [Growth(None, cut.trees, rule, growth.bootstrap, growth.seed)])[0], data.mean
             scale = 1.0 / len(forest)
         else:
-            (base, forest), scale = grow_boosters(data, [boost_of(kind, p, data.channels)])[0], 1.0
-            base += data.mean
+            base, forest = grow_boosters(data, [boost_of(kind, p, data.channels)])[0]
+            base, forest, scale = base + data.mean, forest.packed(data.channels), 1.0
         return self._copyValues(
             TreeEnsembleModel(base=base, scale=scale, forest=forest.encoded(), edges=np.concatenate(data.edges), bins=[len(e) for e in data.edges])
         )
@@ -138,8 +138,8 @@ class TreeEnsembleModel(Model, Settings):
         bounds = np.cumsum([0, *self.value("bins")])
         edges = [self.array("edges")[a:b] for a, b in zip(bounds, bounds[1:])]
         column = F.col(self.spectrum).cast("array<double>")
-        return df.withColumn(self.output, tree_score(column, Forest.decoded(self.value("forest")), edges, self.value("base"), self.value("scale")))
+        return df.withColumn(self.output, tree_score(column, PackedForest.decoded(self.value("forest")), edges, self.value("base"), self.value("scale")))
 
     @property
     def featureImportances(self) -> DenseVector:
-        return DenseVector(Forest.decoded(self.value("forest")).importances(len(self.value("bins"))))
+        return DenseVector(PackedForest.decoded(self.value("forest")).importances(len(self.value("bins"))))

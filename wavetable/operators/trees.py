@@ -481,24 +481,94 @@ class Forest:
         last = n["value"][at].reshape(len(x), len(self))
         return {depth: out.get(depth, last) for depth in depths}
 
+    def packed(self, channels: int) -> "PackedForest":
+        """The forest as a model keeps it."""
+        shift = lambda left, low: np.where(left >= 0, left - low, -1)
+        parts = [{name: c[a:b] for name, c in self.nodes.items()} for a, b in zip(self.roots[:-1], self.roots[1:])]
+        return PackedForest([packed_tree({**part, "left": shift(part["left"], low)}, channels) for part, low in zip(parts, self.roots)])
+
+
+def packed_tree(arrays: dict[str, np.ndarray], channels: int) -> bytes:
+    """What predictions and importances need of a tree, compressed. Nodes stand breadth first, so no node has to name its children."""
+    left, order, at = arrays["left"], [], np.zeros(1, int)
+    while len(at):
+        order.append(at)
+        inner = left[at][left[at] >= 0]
+        at = np.stack([inner, inner + 1], axis=1).ravel()
+    order = np.concatenate(order)
+    splits = left[order] >= 0
+    inner, leaves = order[splits], order[~splits]
+    gain = np.bincount(arrays["feature"][inner], arrays["gain"][inner], channels)
+    buffer = io.BytesIO()
+    np.savez_compressed(
+        buffer, nodes=len(order), splits=np.packbits(splits), feature=arrays["feature"][inner].astype(np.min_scalar_type(channels)),
+        bin=arrays["bin"][inner].astype(np.uint8), value=arrays["value"][leaves], gain=gain,
+    )
+    return buffer.getvalue()
+
+
+#: Trees up to this size together stay unpacked in a worker; those of larger forests are unpacked for every batch of rows.
+UNPACKED_BYTES = 1 << 27
+
+
+@dataclass
+class PackedForest:
+    """Packed trees: what a fitted model holds, saves and sends to its tasks."""
+
+    trees: list[bytes]
+
+    def __len__(self):
+        return len(self.trees)
+
+    def unpacked(self):
+        """(splits, how many of them up to a node, channel, bin, leaf values) of one tree after another."""
+        if "kept" in self.__dict__:
+            yield from self.kept
+            return
+        kept, size = [], 0
+        for data in self.trees:
+            with np.load(io.BytesIO(data)) as found:
+                splits = np.unpackbits(found["splits"], count=int(found["nodes"])).astype(bool)
+                tree = splits, np.cumsum(splits, dtype=np.int32), found["feature"], found["bin"], found["value"]
+            size += sum(a.nbytes for a in tree)
+            kept = [*kept, tree] if size <= UNPACKED_BYTES else []
+            yield tree
+        if size <= UNPACKED_BYTES:
+            self.kept = kept
+
+    def total(self, x: np.ndarray) -> np.ndarray:
+        """What all trees say to binned rows, added up."""
+        out = np.zeros(len(x))
+        for splits, rank, feature, bound, value in self.unpacked():
+            at = np.zeros(len(x), np.int64)
+            moving = np.arange(len(x) if splits[0] else 0)
+            while len(moving):
+                inner = rank[at[moving]] - 1
+                at[moving] = here = 2 * inner + 1 + (x[moving, feature[inner]] > bound[inner])
+                moving = moving[splits[here]]
+            out += value[at - rank[at]]
+        return out
+
     def importances(self, channels: int) -> np.ndarray:
         """Gains of each channel as a share of its tree's gains, averaged over the trees that split at all."""
-        split, tree = self.nodes["left"] >= 0, np.repeat(np.arange(len(self)), np.diff(self.roots))
-        cells = tree[split] * channels + self.nodes["feature"][split]
-        table = np.bincount(cells, self.nodes["gain"][split], len(self) * channels).reshape(-1, channels)
-        sums = table.sum(axis=1, keepdims=True)
-        shares = table[sums[:, 0] > 0] / sums[sums[:, 0] > 0]
-        return shares.mean(axis=0) if len(shares) else np.zeros(channels)
+        total, count = np.zeros(channels), 0
+        for data in self.trees:
+            with np.load(io.BytesIO(data)) as found:
+                gain = found["gain"]
+            if gain.sum() > 0:
+                total, count = total + gain / gain.sum(), count + 1
+        return total / max(count, 1)
 
     def encoded(self) -> str:
-        buffer = io.BytesIO()
-        np.savez_compressed(buffer, roots=self.roots, **self.nodes)
-        return base64.b64encode(buffer.getvalue()).decode()
+        sizes = np.array([len(self.trees), *map(len, self.trees)], np.int64)
+        return base64.b64encode(sizes.tobytes() + b"".join(self.trees)).decode()
 
     @classmethod
-    def decoded(cls, text: str) -> "Forest":
-        with np.load(io.BytesIO(base64.b64decode(text))) as found:
-            return cls(found["roots"], {name: found[name] for name in FIELDS})
+    def decoded(cls, text: str) -> "PackedForest":
+        data = base64.b64decode(text)
+        count = int(np.frombuffer(data, np.int64, 1)[0])
+        ends = 8 * (count + 1) + np.cumsum([0, *np.frombuffer(data, np.int64, count, 8)])
+        return cls([data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())])
 
 
 TREE = "model int, tree int, arrays binary"
@@ -556,27 +626,37 @@ def block_forest(growth: Growth, part, low: int, high: int, least: float) -> lis
 
 
 def grow_forests(data: Binned, growths: list[Growth], block: int = 10) -> list[Forest]:
-    """One forest for each growth. The nodes, not the rows, come to the driver: they are the model."""
-    spark, least = data.table.sparkSession, NOISE * data.variance
+    """One forest for each growth, with all that is known of its nodes, on the driver."""
     if not data.local:
         return grow_by_levels(data, growths)
-    shared = data.shared
+    return [Forest.of([tree_arrays(t) for t in trees]) for trees in grown_blocks(data, growths, tree_bytes, block)]
+
+
+def fit_forests(data: Binned, growths: list[Growth], block: int = 10) -> list[PackedForest]:
+    """The same forests as models: the driver gets packed trees alone."""
+    if not data.local:
+        return [forest.packed(data.channels) for forest in grow_by_levels(data, growths)]
+    channels = data.channels
+    return [PackedForest(trees) for trees in grown_blocks(data, growths, lambda tree: packed_tree(tree, channels), block)]
+
+
+def grown_blocks(data: Binned, growths: list[Growth], write, block: int) -> list[list[bytes]]:
+    """Every growth's trees as ``write`` gives them; a task grows a block of whole trees."""
+    spark, least, shared = data.table.sparkSession, NOISE * data.variance, data.shared
 
     def work(batches):
         for batch in batches:
             for g, low, high in zip(*(c.to_pylist() for c in batch.columns)):
-                trees = block_forest(growths[g], train_part(shared.value, growths[g].fold), low, high, least)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([g] * len(trees), pa.int32()), pa.array(range(low, high), pa.int32()), pa.array(map(tree_bytes, trees), pa.binary())],
-                    names=["model", "tree", "arrays"],
-                )
+                part = train_part(shared.value, growths[g].fold)
+                for tree in range(low, high):
+                    made = [write(t) for t in block_forest(growths[g], part, tree, tree + 1, least)]
+                    yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([tree], pa.int32()), pa.array(made, pa.binary())], names=["model", "tree", "arrays"])
 
     tasks = spread(spark, tree_blocks(growths, block), "model int, low int, high int")
-    found = tasks.mapInArrow(work, TREE).collect()
     trees = [{} for _ in growths]
-    for r in found:
-        trees[r["model"]][r["tree"]] = tree_arrays(r["arrays"])
-    return [Forest.of([t[i] for i in sorted(t)]) for t in trees]
+    for r in tasks.mapInArrow(work, TREE).collect():
+        trees[r["model"]][r["tree"]] = bytes(r["arrays"])
+    return [[t[i] for i in sorted(t)] for t in trees]
 
 
 @dataclass(frozen=True)
