@@ -84,3 +84,11 @@ def test_a_fitted_forest_is_small_on_the_driver(spark):
     text = model.stages[-1].value("forest")
     nodes = sum(len(splits) for splits, *_ in trees.PackedForest.decoded(text).unpacked())
     assert nodes > 20_000 and len(text) < 8 * nodes
+
+
+def test_a_leafwise_tree_searches_no_node_in_vain(monkeypatch):
+    x, t, w = rows_of(3000, 4)
+    searched, plain = [], trees.best_splits
+    monkeypatch.setattr(trees, "best_splits", lambda *a: (searched.append(len(a[2])), plain(*a))[1])
+    trees.grow_tree(x, t, w, Rule(max_leaves=8), trees.tree_key(42, 0), 1e-9)
+    assert sum(searched) == 13  # the root and all children but those of the last split
