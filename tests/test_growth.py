@@ -38,6 +38,36 @@ def test_a_level_is_searched_at_once(monkeypatch):
     assert len(tree["left"]) > 1000 and len(calls) <= tree["depth"].max() + 1
 
 
+@pytest.mark.parametrize("given", [{}, {"max_depth": 5}, {"node_channels": 2}, {"min_split": 9, "min_weight": 3.0}, {"max_leaves": 20}])
+def test_siblings_are_the_trees_grown_alone(given):
+    x, t, w = rows_of(900, 5)
+    rules = [Rule(min_leaf=leaf, **given) for leaf in (1, 2, 4, 30)]
+    together = trees.grow_siblings(x, t, w, rules, trees.tree_key(42, 0), 1e-9)
+    for rule, found in zip(rules, together):
+        alone = trees.grow_tree(x, t, w, rule, trees.tree_key(42, 0), 1e-9)
+        assert all(np.allclose(alone[c], found[c], atol=1e-9) for c in alone)
+        inner = np.flatnonzero(found["left"] >= 0)
+        assert len(inner) and all((found["rows"][found["left"][inner] + side] >= rule.min_leaf).all() for side in (0, 1))
+
+
+def test_siblings_share_their_searches(monkeypatch):
+    x, t, w = rows_of(3000, 4)
+    searched, plain = [], trees.best_splits
+    monkeypatch.setattr(trees, "best_splits", lambda *a: (searched.append(len(a[1])), plain(*a))[1])
+    rules = [Rule(min_leaf=leaf) for leaf in (1, 2, 4)]
+    for rule in rules:
+        trees.grow_tree(x, t, w, rule, trees.tree_key(42, 0), 1e-9)
+    alone = sum(searched)
+    searched.clear()
+    trees.grow_siblings(x, t, w, rules, trees.tree_key(42, 0), 1e-9)
+    assert sum(searched) < 0.6 * alone
+
+
+def test_forests_of_a_grid_are_siblings_by_their_leaves():
+    growths = [trees.Growth(fold, 3, Rule(min_leaf=leaf)) for leaf in (4, 1, 2) for fold in (0, 1)]
+    assert trees.siblings([*growths, trees.Growth(0, 4, Rule())]) == [[2, 4, 0], [3, 5, 1], [6]]
+
+
 def test_one_walk_gives_all_depths():
     x, t, w = rows_of(500, 4)
     forest = Forest.of([trees.grow_tree(x, t, w, Rule(), trees.tree_key(42, k), 1e-9) for k in range(3)])
