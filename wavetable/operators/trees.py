@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavetable.functions.arrow import to_block
+from wavetable.operators.compiled import columns_of, grown_in_jvm, jvm_table
 from wavetable.session import durable
 
 BINS = 256
@@ -104,10 +105,25 @@ class Binned:
     def local(self) -> bool:
         return self.rows * (self.channels + 24) <= LOCAL_BYTES
 
+    @property
+    def ordered(self) -> DataFrame:
+        return self.table.orderBy("key", "label", "bins")
+
+    @cached_property
+    def compiled(self):
+        """The whole table in the JVM of every executor; only for tables that are ``local``."""
+        return jvm_table(self)
+
+    @cached_property
+    def labels(self):
+        """Folds and labels around their mean on every executor."""
+        part = self.ordered.select("fold", "label").toArrow()
+        return self.table.sparkSession.sparkContext.broadcast((part.column("fold").to_numpy(), part.column("label").to_numpy() - self.mean))
+
     @cached_property
     def shared(self):
         """The whole table as arrays on every executor; only for tables that are ``local``."""
-        part = self.table.orderBy("key", "label", "bins").toArrow()
+        part = self.ordered.toArrow()
         x = np.frombuffer(b"".join(part.column("bins").to_pylist()), np.uint8).reshape(-1, self.channels)
         arrays = (part.column("key").to_numpy(), part.column("fold").to_numpy(), part.column("label").to_numpy() - self.mean, x)
         return self.table.sparkSession.sparkContext.broadcast(arrays)
@@ -655,10 +671,6 @@ def tree_blocks(growths: list[Growth], size: int) -> list[tuple[int, int, int]]:
     return [(g, low, min(low + size, growth.trees)) for g, growth in enumerate(growths) for low in range(0, growth.trees, size)]
 
 
-def block_forest(growth: Growth, part, low: int, high: int, least: float) -> list[dict[str, np.ndarray]]:
-    return [sibling_trees([growth], part, tree, least)[0] for tree in range(low, high)]
-
-
 def siblings(growths: list[Growth]) -> list[list[int]]:
     """Places of the growths that differ in ``min_leaf`` alone, the smallest first."""
     found: dict[Growth, list[int]] = {}
@@ -674,14 +686,14 @@ def sibling_trees(growths: list[Growth], part, tree: int, least: float) -> list[
     return grow_siblings(x, t, w, [g.rule for g in growths], key, least)
 
 
-def grow_forests(data: Binned, growths: list[Growth], block: int = 10) -> list[Forest]:
+def grow_forests(data: Binned, growths: list[Growth], block: int = 1) -> list[Forest]:
     """One forest for each growth, with all that is known of its nodes, on the driver."""
     if not data.local:
         return grow_by_levels(data, growths)
     return [Forest.of([tree_arrays(t) for t in trees]) for trees in grown_blocks(data, growths, tree_bytes, block)]
 
 
-def fit_forests(data: Binned, growths: list[Growth], block: int = 10) -> list[PackedForest]:
+def fit_forests(data: Binned, growths: list[Growth], block: int = 1) -> list[PackedForest]:
     """The same forests as models: the driver gets packed trees alone."""
     if not data.local:
         return [forest.packed(data.channels) for forest in grow_by_levels(data, growths)]
@@ -689,21 +701,27 @@ def fit_forests(data: Binned, growths: list[Growth], block: int = 10) -> list[Pa
     return [PackedForest(trees) for trees in grown_blocks(data, growths, lambda tree: packed_tree(tree, channels), block)]
 
 
+def plain(growths: list[Growth]) -> list[Growth]:
+    """The growths, if they are such as the JVM grows."""
+    for g in growths:
+        if replace(g.rule, max_depth=None, min_split=2, min_leaf=1, node_channels=None) != Rule():
+            raise ValueError(f"not a rule of a forest: {g.rule}")
+    return growths
+
+
 def grown_blocks(data: Binned, growths: list[Growth], write, block: int) -> list[list[bytes]]:
     """Every growth's trees as ``write`` gives them; a task grows a block of whole trees."""
-    spark, least, shared = data.table.sparkSession, NOISE * data.variance, data.shared
 
-    def work(batches):
+    def written(batches):
         for batch in batches:
-            for g, low, high in zip(*(c.to_pylist() for c in batch.columns)):
-                part = train_part(shared.value, growths[g].fold)
-                for tree in range(low, high):
-                    made = [write(t) for t in block_forest(growths[g], part, tree, tree + 1, least)]
-                    yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([tree], pa.int32()), pa.array(made, pa.binary())], names=["model", "tree", "arrays"])
+            for g, tree, arrays in zip(*(c.to_pylist() for c in batch.columns)):
+                made = [write(columns_of(arrays))]
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([tree], pa.int32()), pa.array(made, pa.binary())], names=["model", "tree", "arrays"])
 
-    tasks = spread(spark, tree_blocks(growths, block), "model int, low int, high int")
+    tasks = spread(data.table.sparkSession, tree_blocks(growths, block), "family int, low int, high int")
+    found = grown_in_jvm(data, [[(g, growth)] for g, growth in enumerate(plain(growths))], tasks, _POISSON, NOISE * data.variance)
     trees = [{} for _ in growths]
-    for r in tasks.mapInArrow(work, TREE).collect():
+    for r in found.mapInArrow(written, TREE).collect():
         trees[r["model"]][r["tree"]] = bytes(r["arrays"])
     return [[t[i] for i in sorted(t)] for t in trees]
 
@@ -719,34 +737,12 @@ class Cut:
 
 def score_forests(data: Binned, growths: list[Growth], cuts: list[list[Cut]], block: int = 10) -> list[list[float]]:
     """Root mean squared error on the held-out fold, for every growth and each of its cuts."""
-    spark, least = data.table.sparkSession, NOISE * data.variance
     if not data.local:
         return score_by_broadcast(data, growths, cuts, grow_by_levels(data, growths))
-    shared, families = data.shared, siblings(growths)
-
-    def work(batches):
-        _, folds, _, x = shared.value
-        for batch in batches:
-            for f, low, high in zip(*(c.to_pylist() for c in batch.columns)):
-                mine = [growths[g] for g in families[f]]
-                part, held = train_part(shared.value, mine[0].fold), x[folds == mine[0].fold]
-                sums = {(g, c.max_depth, c.min_split): np.zeros(len(held)) for g in families[f] for c in cuts[g]}
-                for tree in range(low, high):
-                    for g, arrays in zip(families[f], sibling_trees(mine, part, tree, least)):
-                        one = Forest.of([arrays])
-                        for split in {c.min_split for c in cuts[g]}:
-                            found = one.predict_depths(held, [c.max_depth for c in cuts[g] if c.min_split == split], split)
-                            for depth, values in found.items():
-                                sums[g, depth, split] += values[:, 0]
-                    for g in families[f]:
-                        stops = {(c.max_depth, c.min_split) for c in cuts[g] if tree + 1 in (c.trees, high)}
-                        rows = [(g, depth or -1, split, low, tree + 1, sums[g, depth, split].tobytes()) for depth, split in stops]
-                        if rows:
-                            columns = zip(zip(*rows), [pa.int32()] * 5 + [pa.binary()])
-                            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in columns], names=["model", "depth", "split", "low", "stop", "sums"])
+    labels, families = data.labels, siblings(plain(growths))
 
     def errors(rows):
-        _, folds, t, _ = shared.value
+        folds, t = labels.value
         g, depth, split = (rows.column(c)[0].as_py() for c in ("model", "depth", "split"))
         held = t[folds == growths[g].fold]
         parts = sorted(zip(*(rows.column(c).to_pylist() for c in ("low", "stop", "sums"))))
@@ -764,8 +760,9 @@ def score_forests(data: Binned, growths: list[Growth], cuts: list[list[Cut]], bl
             names=["model", "depth", "split", "trees", "rmse"],
         )
 
-    tasks = spread(spark, tree_blocks([growths[f[0]] for f in families], block), "family int, low int, high int")
-    sums = tasks.mapInArrow(work, "model int, depth int, split int, low int, stop int, sums binary")
+    tasks = spread(data.table.sparkSession, tree_blocks([growths[f[0]] for f in families], block), "family int, low int, high int")
+    stops = [[(c.trees, c.max_depth or -1, c.min_split) for c in mine] for mine in cuts]
+    sums = grown_in_jvm(data, [[(g, growths[g]) for g in f] for f in families], tasks, _POISSON, NOISE * data.variance, stops)
     found = sums.groupBy("model", "depth", "split").applyInArrow(errors, "model int, depth int, split int, trees int, rmse double").collect()
     known = {(r["model"], r["depth"], r["split"], r["trees"]): r["rmse"] for r in found}
     return [[known[g, c.max_depth or -1, c.min_split, c.trees] for c in mine] for g, mine in enumerate(cuts)]
