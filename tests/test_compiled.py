@@ -101,3 +101,19 @@ def test_grids_are_searched_and_walked_in_the_jvm(data, monkeypatch):
 def test_rules_of_boosters_are_refused(data):
     with pytest.raises(ValueError, match="not a rule of a forest"):
         trees.grow_forests(data, [Growth(None, 1, Rule(smoothing=1.0))])
+
+
+def test_a_study_grows_its_forests_in_the_jvm(spark, monkeypatch):
+    from wavetable.plans import jobs
+
+    def forbidden(*args):
+        raise AssertionError("a split is searched in Python")
+
+    monkeypatch.setattr(trees, "best_splits", forbidden)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 4))
+    grids = {"rf": {"n_estimators": [2, 4], "min_samples_leaf": [1, 3]}}
+    study = jobs.Study(table(spark, x, x[:, 0] + 0.1 * rng.normal(size=200)), grids=grids, folds=2)
+    experiments = [jobs.Experiment("rf", "none", False, tuned=tuned, params={"n_estimators": 3}) for tuned in (True, False)]
+    found = study.run(experiments).collect()
+    assert [r["status"] for r in found] == ["ok", "ok"] and all(r["r2"] > 0.4 for r in found)
